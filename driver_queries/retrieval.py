@@ -4,24 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from driver_queries.registry import Registry
 from driver_queries.tables import (
     CHUNKS_SQL, QUESTIONS_SQL, TERMS_SQL, chunks, general_plans, general_targets, load, questions,
 )
 from evidentia.operators import candidates as find, fusion
 from evidentia.plans.retrieval import retrieve, retrieve_targets
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(oracle: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if oracle:
-            ORACLES[fn.__name__] = oracle
-        return fn
-
-    return add
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
 
 
 VECTOR_SQL = """
@@ -93,7 +84,6 @@ def lexical_topk(spark, sf_dir):
     )
 
 
-# Aliases: every project label is called "src<label>", an alias that occurs in the tags.
 HYBRID_SQL = f"""WITH {CHUNKS_SQL},{QUESTIONS_SQL},{TERMS_SQL},{VECTOR_SQL.format(k=20)},{LEXICAL_SQL.format(k=20)},
 fused AS (
   SELECT question_id, chunk_id, greatest(0.0, least(1.0, coalesce(sim, 0))) AS v, coalesce(lex, 0.0) AS l,
