@@ -8,7 +8,12 @@ from evidentia.session import prepare
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    table = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    # The tables hold UTC times without a zone; the session zone is UTC.
+    zoned = {
+        f.name: F.col(f.name).cast("timestamp") for f in table.schema if f.dataType.typeName() == "timestamp_ntz"
+    }
+    return table.withColumns(zoned) if zoned else table
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

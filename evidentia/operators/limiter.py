@@ -16,7 +16,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from evidentia.operators.skew import salted_join
 from evidentia.session import broadcast_if_small, cut_lineage
@@ -43,7 +43,7 @@ def sliding_log_limit(requests: DataFrame, window_seconds: int = 60) -> DataFram
         .repartition(*key, "_run")
         .sortWithinPartitions(*key, "_run", "_us", "request_id")
     )
-    schema = requests.schema.add("accepted", "boolean")
+    schema = T.StructType([*requests.schema.fields, T.StructField("accepted", T.BooleanType())])
     replayed = ordered.mapInPandas(_replay(width, requests.columns), schema)
     return quiet.unionByName(replayed)
 
@@ -189,12 +189,15 @@ def admit(
     ``requests``: request_id, ip, visitor, ts. The address log counts a request even
     if the visitor step then refuses it.
     """
-    by_ip = sliding_log_limit(
-        requests.select(
-            "request_id", "visitor", "ts", F.lit("ip").alias("namespace"), F.col("ip").alias("client"),
-            F.lit(ip_limit).alias("minute_limit"),
-        ),
-        window_seconds,
+    # Every round of the visitor step starts from these few columns, so they are kept.
+    by_ip = cut_lineage(
+        sliding_log_limit(
+            requests.select(
+                "request_id", "visitor", "ts", F.lit("ip").alias("namespace"), F.col("ip").alias("client"),
+                F.lit(ip_limit).alias("minute_limit"),
+            ),
+            window_seconds,
+        )
     )
     policy = by_ip.sparkSession.range(1).select(
         F.lit("visitor").alias("namespace"), F.lit(visitor_limit).alias("minute_limit"),
