@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def read_markdown(spark: SparkSession, root: str) -> DataFrame:
-    """``source_id, text, read_error`` of every ``*.md`` below ``root``.
+def read_markdown(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
+    """``source_id, text, read_error`` of every file below ``root`` that fits ``pattern``.
 
     ``source_id`` starts with the last folder name of ``root``. Files that are not
     valid UTF-8 have a null text.
     """
     files = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.md")
+        .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
         .load(root)
     )
