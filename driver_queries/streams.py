@@ -136,8 +136,8 @@ def stream_ingest(spark, sf_dir):
 def markdown_scan(spark, sf_dir):
     """Every document written as a file of its own (the writer ends it with a line break), then scanned."""
     root = runs.new_folder(spark, "markdown")
-    documents = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value"))
-    documents.write.partitionBy("doc_id").text(f"{root}/docs")
+    documents = load(spark, sf_dir, "documents").select(F.col("text").alias("value"))
+    documents.write.option("maxRecordsPerFile", 1).text(f"{root}/docs")
     scanned = markdown.read_markdown(spark, f"{root}/docs", "*.txt")
     return scanned.agg(
         F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"),

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidentia.session import prepare
+from evidentia.session import prepare, spread
+
+# Tables with long texts, and the column their rows may be spread by.
+_TEXTS = {"documents": "doc_id", "pages": "page_id"}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,6 +16,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     zoned = {
         f.name: F.col(f.name).cast("timestamp") for f in table.schema if f.dataType.typeName() == "timestamp_ntz"
     }
+    if name in _TEXTS:
+        table = spread(table, _TEXTS[name])
     return table.withColumns(zoned) if zoned else table
 
 

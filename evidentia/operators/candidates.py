@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evidentia import fixed_values as fixed
 from evidentia.functions.text import lexical_terms, like_literal, searchable_tokens
 from evidentia.operators.block_topk import topk_by_block
+from evidentia.operators.skew import salted_join
 from evidentia.operators.substring_join import substring_join
-from evidentia.session import broadcast_if_small
+from evidentia.session import broadcast_if_small, cut_lineage, holds_at_most
 
 # Relaxation passes: both filters, without the section filter, without the entity filter.
 PASSES = (1, 2, 3)
@@ -94,64 +95,53 @@ def lexical_topk(
     )
 
 
-def term_hits(chunks: DataFrame, terms: DataFrame, salts: int = 8) -> DataFrame:
-    """Per chunk with a hit: which terms occur in it and with what weight.
+def term_hits(chunks: DataFrame, terms: DataFrame, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Per chunk with a hit: which terms occur in which of its fields.
 
     The corpus vocabulary, not the corpus, is searched for the terms. Chunks then
-    meet the terms by an equi-join on their own words. Whole texts are read; a
-    frequent word is spread over ``salts``.
+    meet the terms by an equi-join on their own words, without a shuffle while the
+    word-to-term list is proven small, else with frequent words salted. Whole texts
+    are read.
     """
     carried = ["chunk_id", *_filter_columns(chunks)]
     words = chunks.select(
         *carried,
-        F.explode(
-            F.concat(*[_words_of(field, n) for n, field in enumerate(fixed.LEXICAL_WEIGHTS)])
-        ).alias("at"),
+        F.explode(F.concat(*[_words_of(field, n) for n, field in enumerate(fixed.LEXICAL_WEIGHTS)])).alias("at"),
     ).select(*carried, "at.field", "at.word")
 
     # "_" in a term matches any character, also outside a word: such a term is
     # looked up by its longest literal part and verified against the text below.
+    wild = F.contains("term", F.lit("_"))
     parts = F.array_sort(
         F.transform(F.split("term", "_"), lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))
     )
-    wild = F.contains("term", F.lit("_"))
     lookup = terms.select("term", F.when(wild, parts[0]["p"]).otherwise(F.col("term")).alias("part"))
     vocabulary = words.select("word").distinct()
-    word_terms = (
-        substring_join(vocabulary, "word", lookup, "part")
-        .select("word", "term")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    found = (
-        words.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
-        .join(word_terms, ["word", "salt"])
-        .groupBy(*carried, "term")
-        .agg(*[F.max(F.col("field") == n).alias(f"in_{f}") for n, f in enumerate(fixed.LEXICAL_WEIGHTS)])
-    )
-    exact = found.where(~wild)
-    # Every field is tested again: the literal part may sit in one field only by chance.
-    checked = (
-        found.where(wild)
-        .select("chunk_id", "term")
-        .join(chunks.select(*carried, *[F.col(f).alias(f"{f}_text") for f in fixed.LEXICAL_WEIGHTS]), "chunk_id")
-        .select(
-            *carried, "term",
-            *[
-                F.ilike(F.coalesce(f"{f}_text", F.lit("")), like_literal(F.col("term"))).alias(f"in_{f}")
-                for f in fixed.LEXICAL_WEIGHTS
-            ],
-        )
-    )
-    weight = sum(
-        F.when(F.col(f"in_{f}"), F.lit(w)).otherwise(F.lit(0.0)) for f, w in fixed.LEXICAL_WEIGHTS.items()
+    # Read several times below, and far smaller than the corpus.
+    word_terms = cut_lineage(substring_join(vocabulary, "word", lookup, "part").select("word", "term"))
+    if holds_at_most(word_terms, max_broadcast_rows):
+        found = words.join(F.broadcast(word_terms), "word")
+    else:
+        found = salted_join(words, word_terms, ["word"], ["chunk_id"])
+    hits = found.where(~wild).select(*carried, "field", "term")
+    if not terms.where(wild).isEmpty():
+        hits = hits.unionByName(_verified(found.where(wild), chunks, carried))
+    return hits.groupBy(*carried).agg(F.collect_set(F.struct("field", "term")).alias("hits")).select(
+        *carried, F.col("hits.field").alias("hit_fields"), F.col("hits.term").alias("hit_terms")
     )
-    return (
-        exact.unionByName(checked)
-        .withColumn("weight", weight)
-        .where(F.col("weight") > 0)
-        .groupBy(*carried)
-        .agg(F.collect_list("term").alias("hit_terms"), F.collect_list("weight").alias("hit_weights"))
+
+
+def _verified(found: DataFrame, chunks: DataFrame, carried: list[str]) -> DataFrame:
+    """Every field of a chunk tested for the terms whose literal part occurs in it."""
+    suspects = cut_lineage(found.select("chunk_id", "term").distinct())
+    hit = [
+        F.when(F.ilike(F.coalesce(F.col(name), F.lit("")), like_literal(F.col("term"))), F.lit(n))
+        for n, name in enumerate(fixed.LEXICAL_WEIGHTS)
+    ]
+    tested = chunks.select(*dict.fromkeys([*carried, *fixed.LEXICAL_WEIGHTS])).join(
+        broadcast_if_small(suspects, 200_000), "chunk_id"
     )
+    return tested.select(*carried, F.explode(F.array_compact(F.array(*hit))).alias("field"), "term")
 
 
 def _words_of(field: str, number: int) -> Column:
@@ -193,10 +183,11 @@ def _term_weights(block: pa.Table, questions: pa.Table) -> np.ndarray:
     hit = block.column("hit_terms").combine_chunks()
     rows = np.repeat(np.arange(len(block)), hit.value_lengths().to_numpy())
     columns = np.array([index.get(t, -1) for t in hit.flatten().to_pylist()], dtype="int64")
-    weights = block.column("hit_weights").combine_chunks().flatten().to_numpy()
+    fields = block.column("hit_fields").combine_chunks().flatten().to_numpy()
+    weights = np.array(list(fixed.LEXICAL_WEIGHTS.values()))[fields]
     known = columns >= 0
     present = np.zeros((len(block), len(index)))
-    present[rows[known], columns[known]] = weights[known]
+    np.add.at(present, (rows[known], columns[known]), weights[known])
     scores = present @ wanted
     return np.where(scores > 0, scores, np.nan)
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evidentia.functions.text import substrings
+from evidentia.operators.skew import salted_join
+from evidentia.session import holds_at_most
 
 _WIDTHS = (1, 2, 4)
 
@@ -25,24 +27,22 @@ def _anchor(c: Column) -> Column:
 
 
 def substring_join(
-    texts: DataFrame, text: str, phrases: DataFrame, phrase: str, salts: int = 8
+    texts: DataFrame, text: str, phrases: DataFrame, phrase: str, salts: int = 8,
+    max_broadcast_rows: int = 50_000,
 ) -> DataFrame:
     """All columns of both sides for each (text, phrase) with the phrase inside the text.
 
-    An empty phrase occurs in every text. A text that meets a phrase on a frequent
-    anchor cannot pile up in one task: its rows are spread over ``salts`` and the
-    phrases, the short side, are repeated for each salt.
+    An empty phrase occurs in every text. Phrases proven few are broadcast. Else a
+    frequent anchor cannot pile up in one task: texts are spread over ``salts`` and
+    the phrases, the short side, are repeated for each salt.
     """
     anchors = F.array_distinct(
         F.concat(F.array(F.lit("")), *[substrings(F.col(text), w) for w in _WIDTHS])
     )
-    spread = texts.withColumn("_salt", F.pmod(F.xxhash64(text), F.lit(salts)).cast("int"))
-    left = spread.withColumn("_anchor", F.explode(anchors))
-    right = phrases.where(F.col(phrase).isNotNull()).withColumn(
-        "_anchor", _anchor(F.col(phrase))
-    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (
-        left.join(right, ["_anchor", "_salt"])
-        .where(F.contains(F.col(text), F.col(phrase)))
-        .drop("_anchor", "_salt")
-    )
+    left = texts.withColumn("_anchor", F.explode(anchors))
+    right = phrases.where(F.col(phrase).isNotNull()).withColumn("_anchor", _anchor(F.col(phrase)))
+    if holds_at_most(phrases, max_broadcast_rows):
+        joined = left.join(F.broadcast(right), "_anchor")
+    else:
+        joined = salted_join(left, right, ["_anchor"], [text], salts=salts)
+    return joined.where(F.contains(F.col(text), F.col(phrase))).drop("_anchor")

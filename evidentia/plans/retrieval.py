@@ -26,6 +26,8 @@ def retrieve_targets(
     the strictest productive one is kept, so no scan is repeated for relaxation.
     """
     corpus = find.filter_chunks(chunks)
+    # Both searches and the scoring read the targets; their vectors may come from a model.
+    targets = cut_lineage(targets)
     relaxable = "project_id" in targets.columns or "section_terms" in targets.columns
     passes = find.PASSES if relaxable else (1,)
     vector = find.vector_topk(targets, corpus, max_k=2 * max_k, passes=passes)

@@ -54,3 +54,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
 
 def holds_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.select(F.lit(1).alias("one")).limit(max_rows + 1).count() <= max_rows
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Spread a file scan that has no more splits than the cluster has cores.
+
+    A large table already has many splits and is returned as it is, without a
+    shuffle. ``scan`` must be a plain scan, so that counting its splits runs nothing.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() > cores else scan.repartition(cores, key)
