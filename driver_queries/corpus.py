@@ -99,8 +99,8 @@ split{edition} AS (
   SELECT source_id, text, closed,
          CASE WHEN closed THEN regexp_replace(substr(text, 4, e - 4), '^\\s+|\\s+$', '', 'g') ELSE '' END AS header,
          CASE WHEN closed THEN regexp_replace(substr(text, e + 4), '^\\s+|\\s+$', '', 'g') ELSE text END AS body
-  FROM (SELECT *, at + 3 AS e, starts_with(text, '---') AND at > 0 AS closed
-        FROM (SELECT *, instr(substr(text, 4), chr(10) || '---') AS at FROM files{edition}))
+  FROM (SELECT *, brk + 3 AS e, starts_with(text, '---') AND brk > 0 AS closed
+        FROM (SELECT *, instr(substr(text, 4), chr(10) || '---') AS brk FROM files{edition}))
 ),
 meta{edition} AS (
   SELECT source_id, text, closed, header, body, nullif({key('id')}, '') AS id,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, functions as F
 
@@ -13,6 +13,11 @@ _STATE = "struct<key:string,items:array<string>,open:boolean,entries:array<struc
 _STRINGS = "array<string>"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once instead of wherever it occurs."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def split_front_matter(c: Column) -> Column:
     """``struct<header, body>``; no header (null) unless the text starts with a closed ``---`` block."""
     end = F.locate("\n---", c, 4)
@@ -47,6 +52,16 @@ def parse_front_matter(c_header: Column, keep_empty: bool = True) -> Column:
             F.when(ready, F.concat(s["entries"], F.array(entry))).otherwise(s["entries"]).alias("entries"),
         ).cast(_STATE)
 
+    def after_key(done: Column, f: Column) -> Column:
+        has_value = (f["raw"] if keep_empty else f["value"]) != ""
+        entry = F.struct(f["key"].alias("key"), F.array(f["value"]).alias("values"), F.lit(False).alias("is_list"))
+        return F.struct(
+            f["key"].alias("key"),
+            done["items"].alias("items"),
+            ((done["open"] & has_value) if keep_empty else F.lit(False)).alias("open"),
+            F.when(has_value, F.concat(done["entries"], F.array(entry))).otherwise(done["entries"]).alias("entries"),
+        ).cast(_STATE)
+
     def step(s: Column, line: Column) -> Column:
         item = F.startswith(line, F.lit("- ")) | F.startswith(line, F.lit("  - "))
         added = F.struct(
@@ -56,18 +71,13 @@ def parse_front_matter(c_header: Column, keep_empty: bool = True) -> Column:
             s["entries"].alias("entries"),
         ).cast(_STATE)
         colon = F.locate(":", line)
-        name = strip(F.substring(line, F.lit(1), colon - 1))
         raw = strip(F.substring(line, colon + 1, F.length(line)))
-        value = F.regexp_replace(raw, r"\A['\"]+|['\"]+\z", "")
-        done = close(s)
-        has_value = (raw != "") if keep_empty else (value != "")
-        entry = F.struct(name.alias("key"), F.array(value).alias("values"), F.lit(False).alias("is_list"))
-        keyed = F.struct(
-            name.alias("key"),
-            done["items"].alias("items"),
-            ((done["open"] & has_value) if keep_empty else F.lit(False)).alias("open"),
-            F.when(has_value, F.concat(done["entries"], F.array(entry))).otherwise(done["entries"]).alias("entries"),
-        ).cast(_STATE)
+        found = F.struct(
+            strip(F.substring(line, F.lit(1), colon - 1)).alias("key"),
+            raw.alias("raw"),
+            F.btrim(raw, F.lit("'\"")).alias("value"),
+        )
+        keyed = _let(found, lambda f: _let(close(s), lambda done: after_key(done, f)))
         return F.when(item, added).when(colon > 0, keyed).otherwise(s)
 
     entries = F.aggregate(lines(c_header), start, step, lambda s: close(s)["entries"])
@@ -109,8 +119,7 @@ def split_sections(c_body: Column, c_section: Column, keep_preamble: bool = Fals
     is_section = lambda p: F.rlike(p, F.lit(r"\A## ."))
     base = F.coalesce(c_section, F.lit(""))
 
-    def headed(part: Column) -> Column:
-        rows = lines(strip(part))
+    def headed(rows: Column) -> Column:
         title = strip(F.regexp_replace(rows[0], r"\A#+", ""))
         return F.struct(
             F.when(base != "", F.concat(base, F.lit(" > "), title)).otherwise(title).alias("section"),
@@ -119,7 +128,7 @@ def split_sections(c_body: Column, c_section: Column, keep_preamble: bool = Fals
         )
 
     whole = F.struct(base.alias("section"), c_body.alias("body"), F.lit(False).alias("headed"))
-    sections = F.transform(F.filter(parts, is_section), headed)
+    sections = F.transform(F.transform(F.filter(parts, is_section), lambda p: lines(strip(p))), headed)
     if keep_preamble:
         lead = F.struct(base.alias("section"), strip(parts[0]).alias("body"), F.lit(False).alias("headed"))
         sections = F.when(~is_section(parts[0]), F.concat(F.array(lead), sections)).otherwise(sections)

@@ -26,11 +26,14 @@ def content_hash(c_text: Column) -> Column:
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """``source_id, text`` → plus ``header, body, meta``."""
-    return files.withColumn("_fm", md.split_front_matter(F.col("text"))).select(
-        *files.columns, "_fm.header", "_fm.body",
-        md.parse_front_matter(F.col("_fm.header")).alias("meta"),
-    )
+    """``source_id, text`` → plus ``header, body, meta``.
+
+    Both steps go through a generator of one row, so that a later filter on the
+    metadata is not rewritten into the scan, where it would parse whole texts again.
+    """
+    split = files.select(*files.columns, F.inline(F.array(md.split_front_matter(F.col("text")))))
+    meta = F.struct(md.parse_front_matter(F.col("header")).alias("meta"))
+    return split.select(*split.columns, F.inline(F.array(meta)))
 
 
 def filter_sources(parsed: DataFrame, skipped: Sequence[str] = fixed.SKIPPED_FOLDERS) -> DataFrame:

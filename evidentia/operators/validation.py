@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evidentia import fixed_values as fixed
 from evidentia.functions import markdown as md
 from evidentia.operators.skew import salted_join
+from evidentia.session import cut_lineage
 
 _FINDING = "array<struct<level:string,rule:string,detail:string>>"
 
@@ -26,8 +27,9 @@ def validate_corpus(
 ) -> DataFrame:
     """Findings for ``files(source_id, text[, read_error])``.
 
-    All rules about a single file are evaluated in one scan; only the check for
-    repeated ids shuffles, and only ids and paths.
+    Texts are read in one scan, which evaluates all rules about a single file and
+    keeps its findings and id. Only the check for repeated ids shuffles, and only
+    ids and paths.
     """
     checked = _checked(files)
     meta = F.col("meta")
@@ -56,18 +58,23 @@ def validate_corpus(
         )
     ).cast(_FINDING)
     findings = F.when(usable, F.concat(missing, single)).otherwise(F.array_compact(F.array(header)).cast(_FINDING))
-    per_file = checked.select("source_id", F.explode(findings).alias("f")).select("source_id", "f.*")
-    return per_file.unionByName(repeated_ids(checked.where(usable)))
+    judged = cut_lineage(
+        checked.select("source_id", findings.alias("findings"), F.when(usable, value("id")).alias("id"))
+    )
+    per_file = judged.select("source_id", F.explode("findings").alias("f")).select("source_id", "f.*")
+    return per_file.unionByName(repeated_ids(judged))
 
 
 def _checked(files: DataFrame) -> DataFrame:
     readable = ~F.col("read_error") if "read_error" in files.columns else F.lit(True)
     text = F.coalesce("text", F.lit(""))
     return (
-        files.select("source_id", text.alias("text"), readable.alias("readable"), md.split_front_matter(text).alias("fm"))
-        .withColumn("meta", md.parse_front_matter(F.col("fm.header"), keep_empty=False))
+        files.select(
+            "source_id", text.alias("text"), readable.alias("readable"), F.inline(F.array(md.split_front_matter(text)))
+        )
+        .withColumn("meta", md.parse_front_matter(F.col("header"), keep_empty=False))
         .select(
-            "source_id", "meta", F.col("fm.body").alias("body"), F.col("fm.header").isNotNull().alias("closed"),
+            "source_id", "meta", "body", F.col("header").isNotNull().alias("closed"),
             F.when(~F.col("readable"), "unreadable")
             .when(~F.startswith(F.col("text"), F.lit("---")), "missing")
             .when(F.size("meta") == 0, "empty")
@@ -77,13 +84,13 @@ def _checked(files: DataFrame) -> DataFrame:
     )
 
 
-def repeated_ids(checked: DataFrame) -> DataFrame:
-    """Every file after the first, in path order, that uses an id again.
+def repeated_ids(files: DataFrame) -> DataFrame:
+    """Every file (``source_id, id``) after the first, in path order, that uses an id again.
 
     Ids are counted with a pre-aggregation; only ids used more than once meet the
     files again, and a very frequent id is spread by salting.
     """
-    ids = checked.select("source_id", md.meta_value(F.col("meta"), "id").alias("id")).where(F.col("id").isNotNull())
+    ids = files.select("source_id", "id").where(F.col("id").isNotNull())
     first = (
         ids.groupBy("id").agg(F.min("source_id").alias("first_file"), F.count("*").alias("n")).where(F.col("n") > 1)
     )
