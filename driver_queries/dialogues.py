@@ -469,8 +469,8 @@ def sliding_log_limit(spark, sf_dir):
 )
 def daily_cap(spark, sf_dir):
     asked = requests(spark, sf_dir).withColumn("namespace", F.lit("chat")).withColumn("minute_limit", F.lit(1))
-    accepted = limiter.sliding_log_limit(asked, 3600).where("accepted").withColumn("daily_limit", F.lit(300))
-    return limiter.daily_cap(accepted).select("request_id", "within_cap")
+    accepted = limiter.sliding_log_limit(asked, 3600).where("accepted")
+    return limiter.daily_cap(accepted, 300).select("request_id", "within_cap")
 
 
 def _held(logs, client, width):

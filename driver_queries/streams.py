@@ -25,7 +25,9 @@ def table_stream(spark, sf_dir, name):
     """A given table as a file stream."""
     schema = load(spark, sf_dir, name).schema
     stored_schema = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet").schema
-    stream = spark.readStream.schema(stored_schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(stored_schema).option("pathGlobFilter", f"{name}.parquet").option(
+        "maxBytesPerTrigger", 4 << 30
+    ).parquet(sf_dir)
     return stream.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 

@@ -15,10 +15,10 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from evidentia.operators.skew import salted_join
 from evidentia.session import broadcast_if_small, cut_lineage
 
 
@@ -33,7 +33,9 @@ def sliding_log_limit(requests: DataFrame, window_seconds: int = 60) -> DataFram
     rows = requests.withColumn("_us", micros).withColumn("_cell", F.floor(F.col("_us") / width))
     key = ["namespace", "client"]
     cells = _runs(rows.groupBy(*key, "_cell").agg(F.count("*").alias("_n"), F.max("minute_limit").alias("_limit")), key)
-    placed = salted_join(rows, cells, [*key, "_cell"], ["request_id"])
+    # Many cells hold a row or two, so salting all of them would cost more than it
+    # saves; a cell with very many rows is split by the adaptive skew join.
+    placed = rows.join(cells, [*key, "_cell"])
     quiet = placed.where("_quiet").select(*requests.columns, F.lit(True).alias("accepted"))
 
     busy = placed.where(F.col("_run").isNotNull())
@@ -92,49 +94,55 @@ def _replay(width: int, columns: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, held = None, deque()
         for batch in batches:
-            batch = batch.reset_index(drop=True)
-            accepted = batch["_quiet"].to_numpy().copy()
-            for key, part in batch.groupby(["namespace", "client", "_run"], sort=False, dropna=False):
+            keys = [batch[c].to_numpy() for c in ("namespace", "client", "_run")]
+            quiet, times = batch["_quiet"].to_numpy(), batch["_us"].to_numpy()
+            limits = batch["minute_limit"].to_numpy()
+            accepted = quiet.copy()
+            # Rows are sorted, so a run is a stretch of equal keys; it may go on in the next batch.
+            changes = np.zeros(len(batch), dtype=bool)
+            changes[:1] = True
+            for values in keys:
+                changes[1:] |= values[1:] != values[:-1]
+            starts = np.flatnonzero(changes)
+            for start, end in zip(starts, np.append(starts[1:], len(batch))):
+                key = tuple(values[start] for values in keys)
                 if key != current:
                     current, held = key, deque()
                 # Rows of a quiet cell come first: all accepted, they fill the log.
-                seed = part["_quiet"].to_numpy()
-                held.extend(part.loc[seed, "_us"].tolist())
-                rest = part.index.to_numpy()[~seed]
-                if len(rest):
-                    times = part["_us"].to_numpy()[~seed]
-                    hits = accept_times(times, int(part["minute_limit"].iloc[0]), width, held)
-                    accepted[rest[hits]] = True
+                first = start + int(quiet[start:end].sum())
+                held.extend(times[start:first].tolist())
+                if first < end:
+                    hits = accept_times(times[first:end], int(limits[first]), width, held)
+                    accepted[first + np.array(hits, dtype="int64")] = True
             out = batch[columns].copy()
             out["accepted"] = accepted
             # Quiet rows are answered outside; here they only gave the starting state.
-            yield out[~batch["_quiet"].to_numpy()]
+            yield out[~quiet]
 
     return run
 
 
-def daily_caps(accepted: DataFrame) -> DataFrame:
+def daily_caps(accepted: DataFrame, max_daily: int) -> DataFrame:
     """``namespace, day, cap_ts, cap_id``: the request that used up the day's budget.
 
-    ``accepted``: namespace, ts, request_id, daily_limit. Each task keeps at most
-    the first ``daily_limit`` requests of a day before the shuffle.
+    ``accepted``: namespace, ts, request_id, daily_limit, where no limit exceeds
+    ``max_daily``: each task keeps at most that many requests of a day before the
+    shuffle.
     """
     day = accepted.where(F.col("daily_limit").isNotNull()).withColumn("day", F.to_date("ts"))
     order = W.partitionBy("namespace", "day").orderBy("ts", "request_id")
     return (
-        day.withColumn("_rn", F.row_number().over(order))
-        .where((F.col("_rn") <= _MAX_DAILY) & (F.col("_rn") == F.col("daily_limit")))
+        day.select("namespace", "day", "ts", "request_id", "daily_limit")
+        .withColumn("_rn", F.row_number().over(order))
+        .where((F.col("_rn") <= max_daily) & (F.col("_rn") == F.col("daily_limit")))
         .select("namespace", "day", F.col("ts").alias("cap_ts"), F.col("request_id").alias("cap_id"))
     )
 
 
-# A literal bound lets Spark cut each day's list per task; daily limits are far below it.
-_MAX_DAILY = 10_000_000
-
-
-def daily_cap(accepted: DataFrame) -> DataFrame:
-    """Adds ``within_cap``: the request is among the first ``daily_limit`` of its namespace and day."""
-    return _mark(accepted, daily_caps(accepted))
+def daily_cap(accepted: DataFrame, limit: int) -> DataFrame:
+    """Adds ``within_cap``: the request is among the first ``limit`` of its namespace and day."""
+    limited = accepted.withColumn("daily_limit", F.lit(limit))
+    return _mark(accepted, daily_caps(limited, limit))
 
 
 def _mark(requests: DataFrame, caps: DataFrame) -> DataFrame:
@@ -164,11 +172,12 @@ def admit_by_policy(
     namespace and day) are kept.
     """
     known = requests.join(broadcast_if_small(policies), "namespace")
+    max_daily = policies.agg(F.max("daily_limit")).first()[0] or 0
     caps = None
     for _ in range(max_rounds):
         live = known if caps is None else _mark(known, caps).where("within_cap").drop("within_cap")
         decided = sliding_log_limit(live, window_seconds)
-        found = cut_lineage(daily_caps(decided.where("accepted")))
+        found = cut_lineage(daily_caps(decided.where("accepted"), max_daily))
         same = caps is not None and found.exceptAll(caps).isEmpty() and caps.exceptAll(found).isEmpty()
         none = caps is None and found.isEmpty()
         caps = found

@@ -14,11 +14,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evidentia import fixed_values as fixed
 from evidentia.functions.text import normalize_key
 from evidentia.operators.substring_join import substring_join
-from evidentia.session import broadcast_if_small
+from evidentia.session import holds_at_most
 
 LIST, MULTI_ENTITY, SINGLE_ENTITY = "project_list", "multi_project", "single_project"
 MULTI_PART, GENERAL = "multi_part", "general"
 
+# Entities up to which the packed catalogue, one row, is broadcast.
+MAX_CATALOGUE = 50_000
+
 _ENTITY = "array<struct<sort_order:int,entity_id:bigint,slug:string,title:string>>"
 
 
@@ -162,7 +165,7 @@ def route_questions(
     wants_all = F.col("has_entity_word") & F.col("all_entities")
     # Only questions that ask for the whole catalogue meet it (one row, entity dimension).
     q = q.withColumn("wants_catalogue", is_list | wants_all).join(
-        broadcast_if_small(catalogue), "wants_catalogue", "left"
+        F.broadcast(catalogue) if holds_at_most(entities, MAX_CATALOGUE) else catalogue, "wants_catalogue", "left"
     )
     selected = (
         F.when(wants_all & (F.size(F.coalesce("catalogue", none)) > 0), F.col("catalogue"))
@@ -274,7 +277,8 @@ def list_answer(plans: DataFrame, entities: DataFrame, empty_text: str = fixed.N
             F.transform("all", lambda e, i: F.concat_ws(". ", i + 1, e["title"])), "\n"
         ).alias("lines"),
     )
-    return plans.select("question_id", "intent").join(broadcast_if_small(listing), "intent").select(
+    small = holds_at_most(entities, MAX_CATALOGUE)
+    return plans.select("question_id", "intent").join(F.broadcast(listing) if small else listing, "intent").select(
         "question_id",
         F.when(F.col("n") > 0, F.col("lines")).otherwise(F.lit(empty_text)).alias("content"),
         F.lit(1.0).alias("score"),
