@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driver_queries.registry import Registry
 from driver_queries.retrieval import HYBRID_SQL, general_evidence
-from driver_queries.tables import QUESTIONS_SQL, chunks, load, questions as benchmark_questions
+from driver_queries.tables import chunks, load, questions as benchmark_questions
 from evidentia import fixed_values as fixed
 from evidentia.functions import safety as sf, text as tx
 from evidentia.operators import evidence as ev, faq, fusion, html, routing

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from driver_queries.registry import Registry
 from driver_queries.tables import (
-    CHUNKS_SQL, QUESTIONS_SQL, TERMS_SQL, chunks, general_plans, general_targets, load, questions,
+    CHUNKS_SQL, QUESTIONS_SQL, TERMS_SQL, chunks, general_plans, general_targets, questions,
 )
 from evidentia.operators import candidates as find, fusion
-from evidentia.plans.retrieval import retrieve, retrieve_targets
+from evidentia.plans.retrieval import retrieve
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles

@@ -12,7 +12,7 @@ from driver_queries.tables import load
 from evidentia.operators import evaluation, validation
 from evidentia.operators.ingest import upsert
 from evidentia.plans.ingest import stored
-from evidentia.session import prepare
+from evidentia.session import broadcast_if_small, prepare
 from evidentia.sources import markdown, tables
 from evidentia.streaming import limiter, memory, runs
 from evidentia.streaming.tables import read_latest, compact, stream_dedupe as dedupe, stream_ingest as ingest, stream_upsert
@@ -153,11 +153,13 @@ def golden(spark, sf_dir):
         F.col("item_id").cast("string").alias("id"), F.lit("quote").alias("category"), F.col("text").alias("question")
     )
     documents = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), "text")
-    # A passage opens with words of its own: words are the anchors, whole texts are compared.
-    words = documents.select("doc", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    anchored = cases.withColumn("word", F.get(F.split("question", r"\s+"), F.lit(2)))
+    # A document that quotes a passage holds its third word as a word of its own: words narrow
+    # the pairs without carrying texts, then whole texts are compared.
+    words = documents.select("doc", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    anchored = cases.select("id", "question", F.get(F.split("question", r"\s+"), F.lit(2)).alias("word"))
+    pairs = words.join(broadcast_if_small(anchored), "word").select("doc", "id", "question")
     found = (
-        words.join(anchored, "word").where(F.contains("text", "question"))
+        documents.join(pairs, "doc").where(F.contains("text", "question"))
         .groupBy("id").agg(F.array_sort(F.collect_set("doc")).alias("expected_sources"))
     )
     none = F.array().cast("array<string>")

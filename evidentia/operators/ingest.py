@@ -110,8 +110,7 @@ def classify_changes(incoming: DataFrame, existing: DataFrame, force: bool = Fal
 def chunk_documents(documents: DataFrame, **options) -> DataFrame:
     """One row per chunk, numbered in document order. Needs no shuffle.
 
-    ``token_count`` is the number of characters, as stored by the reference data
-    model.
+    ``token_count`` is the number of characters.
     """
     pieces = md.chunks_of(F.col("body"), F.col("doc_section"), **options)
     kept = [c for c in documents.columns if c not in ("text", "header", "body", "meta", "content_hash")]

@@ -42,9 +42,9 @@ def test_front_matter(spark):
 
 
 def test_slug(spark):
-    rows = [("knowledge/projects/MoodREADME.md", "x"), ("knowledge/notes/a.md", "x"), ("knowledge/projects/b.md", "---\nproject_slug: c\n---\nx")]
+    rows = [("knowledge/projects/DataREADME.md", "x"), ("knowledge/notes/a.md", "x"), ("knowledge/projects/b.md", "---\nproject_slug: c\n---\nx")]
     got = {r.source_id: r.project_slug for r in op.infer_slug(op.parse_files(files(spark, rows))).collect()}
-    assert got == {"knowledge/projects/MoodREADME.md": "Mood", "knowledge/notes/a.md": None, "knowledge/projects/b.md": "c"}
+    assert got == {"knowledge/projects/DataREADME.md": "Data", "knowledge/notes/a.md": None, "knowledge/projects/b.md": "c"}
 
 
 def test_packing_and_sections(spark):

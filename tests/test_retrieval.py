@@ -45,10 +45,10 @@ def test_vector_topk_equals_brute_force(spark, broadcast_rows):
 @pytest.mark.parametrize("broadcast_rows", [1000, 0])
 def test_lexical_topk_equals_brute_force(spark, broadcast_rows, monkeypatch):
     rng = random.Random(2)
-    words = ["storage", "rag", "mood_tracker", "moodXtracker", "RAGs", "a-b", "项目背景", "技术", "été", "tracker"]
+    words = ["storage", "rag", "data_keeper", "dataXkeeper", "RAGs", "a-b", "项目背景", "技术", "été", "keeper"]
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
     rows = [(i, i, None, text(2), rng.choice(["技术", "rag", None]), text(6), [], [1.0]) for i in range(80)]
-    asked = [("q1", "what is RAG", [1.0]), ("q2", "mood_tracker 的技术背景", [1.0]), ("q3", "。", [1.0])]
+    asked = [("q1", "what is RAG", [1.0]), ("q2", "data_keeper 的技术背景", [1.0]), ("q3", "。", [1.0])]
     if broadcast_rows == 0:
         monkeypatch.setattr(find, "holds_at_most", lambda df, n: False)
         monkeypatch.setattr("evidentia.operators.substring_join.holds_at_most", lambda df, n: False)
@@ -111,13 +111,13 @@ def test_empty_inputs(spark, sf):
 
 
 def entities(spark, n=4):
-    names = ["智能客服平台", "机器人助手", "招聘问答", "情绪日记"][:n]
+    names = ["仓储平台", "分拣助手", "文档问答", "旅行日记"][:n]
     return spark.createDataFrame([(i, f"p{i}", t, i) for i, t in enumerate(names)], "entity_id long, slug string, title string, sort_order int")
 
 
 def route(spark, asked, n=4):
     q = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "question_id long, question string")
-    aliases = spark.createDataFrame([("p1", "机器人"), ("p3", "mood tracker"), ("gone", "本站")], "slug string, alias string")
+    aliases = spark.createDataFrame([("p1", "分拣"), ("p3", "data keeper"), ("gone", "此处")], "slug string, alias string")
     domains = spark.createDataFrame([("技能", "技术栈", 0), ("优势", "优势", 1), ("不足", "短板", 2)], "label string, alias string, sort_order int")
     plans = routing.route_questions(q, entities(spark, n), aliases, domains)
     return plans, {r.question_id: r for r in plans.collect()}
@@ -126,24 +126,24 @@ def route(spark, asked, n=4):
 def test_routing(spark):
     lists = ["列出项目", "都有哪些项目", "做过几个项目，名称是什么", "作品清单", "Project 有多少"]
     asked = lists + [
-        "所有项目的背景、职责和技术分别是什么", "机器人和 MoodTracker 的区别", "机器人的技术", "技术栈和优势", "学校在哪里；做什么工作；住在什么地方", "你好吗", "本站是什么",
+        "所有项目的背景、职责和技术分别是什么", "分拣和 DataKeeper 的区别", "分拣的技术", "技术栈和优势", "学校在哪里；做什么工作；住在什么地方", "你好吗", "此处是什么",
     ]
     plans, got = route(spark, asked)
     assert all(got[i].intent == "project_list" and got[i].context_limit == 5 for i in range(5))
     assert got[5].intent == "multi_project" and len(got[5].expected_coverage) == 12 and got[5].context_limit == 12
     assert got[6].intent == "multi_project" and [e.slug for e in got[6].entities] == ["p1", "p3"]
-    assert got[7].intent == "single_project" and got[7].expected_coverage == ["机器人助手/技术方案"] and got[7].context_limit == 5
+    assert got[7].intent == "single_project" and got[7].expected_coverage == ["分拣助手/技术方案"] and got[7].context_limit == 5
     assert not got[7].requires_coverage
     assert got[8].intent == "multi_part" and got[8].parts == ["技能", "优势"]
     assert got[9].intent == "multi_part" and len(got[9].parts) == 3 and got[9].context_limit == 6
     assert got[10].intent == "general" and got[11].intent == "general"
     targets = routing.expand_targets(plans).where("question_id = 7").collect()
-    assert targets[0].query == "机器人助手：技术栈 架构 技术方案 实现" and targets[0].project_slug == "p1"
+    assert targets[0].query == "分拣助手：技术栈 架构 技术方案 实现" and targets[0].project_slug == "p1"
 
 
 def test_list_answer(spark):
     plans, _ = route(spark, ["列出项目"])
-    assert routing.list_answer(plans, entities(spark)).first().content == "1. 智能客服平台\n2. 机器人助手\n3. 招聘问答\n4. 情绪日记"
+    assert routing.list_answer(plans, entities(spark)).first().content == "1. 仓储平台\n2. 分拣助手\n3. 文档问答\n4. 旅行日记"
     assert routing.list_answer(plans, entities(spark).where("false")).first().content == "当前没有公开项目。"
 
 
@@ -167,8 +167,8 @@ def test_gates(spark):
 
 
 def test_alias_title_boost(spark):
-    asked = spark.createDataFrame([("t1", "介绍法奥"), ("t2", "hello")], "target_id string, query string")
-    names = spark.createDataFrame([("机器人平台", "法奥")], "canonical string, alias string")
+    asked = spark.createDataFrame([("t1", "介绍甲乙"), ("t2", "hello")], "target_id string, query string")
+    names = spark.createDataFrame([("分拣平台", "甲乙")], "canonical string, alias string")
     joined = asked.join(fusion.mentioned_names(asked, names), "target_id", "left")
-    boost = fusion.title_boost(F.lit("关于 机器人平台 的说明"), F.col("query"), F.col("mentioned"))
+    boost = fusion.title_boost(F.lit("关于 分拣平台 的说明"), F.col("query"), F.col("mentioned"))
     assert {r.target_id: r.b for r in joined.select("target_id", boost.alias("b")).collect()} == {"t1": 0.1, "t2": 0.0}

@@ -54,9 +54,9 @@ def test_tokens(spark):
 
 
 def test_lexical_terms(spark):
-    got = column(spark, ["请问 MoodTracker 用了什么技术 a b1 x_y-z", "的"], text.lexical_terms)
+    got = column(spark, ["请问 DataKeeper 用了什么技术 a b1 x_y-z", "的"], text.lexical_terms)
     # Pairs run over the CJK characters alone; stop terms are dropped, longest first.
-    assert got[0][:2] == ["moodtracker", "x_y-z"]
+    assert got[0][:2] == ["datakeeper", "x_y-z"]
     assert "b1" in got[0] and "技术" in got[0] and "请问" not in got[0] and "什么" not in got[0]
     assert got[1] == []
 
