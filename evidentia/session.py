@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,12 +24,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only a session without that setting (tests on one machine) gets a folder of
-    its own.
+    Only a session on one machine (``local`` master, as in tests) that lacks the
+    setting gets a folder of its own; a cluster without it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     folder = tempfile.mkdtemp(prefix="evidentia-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
