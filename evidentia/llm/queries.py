@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidentia.llm import line_dedup, shards
+from evidentia.llm import line_dedup, phrase_index, shards
 from evidentia.llm.common import map_batches, prepare
 
 QUERIES: dict = {}
@@ -72,3 +72,42 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = line_dedup.with_bitmaps(docs, line_dedup.line_bitmaps(docs)).select("doc_id", "text", "bitmap")
     return map_batches(rows, digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+
+
+_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+
+
+@query(
+    f"""
+WITH words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}'), []) AS w
+  FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, array_to_string(w[p:p + 9], ' ') AS k, least(10, len(w)) AS n
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS p FROM items WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM windows
+), grams AS (
+  SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS k
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM words, sizes WHERE len(w) >= n)
+), found AS (SELECT doc_id, p, n, item_id FROM grams JOIN windows USING (k, n)
+), hits AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(p, p + n - 1)) AS pos FROM found) GROUP BY doc_id
+), owners AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN owners USING (doc_id)"""
+)
+def op1_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows found word for word in all documents."""
+    index = phrase_index.build_index(table(spark, sf_dir, "documents"))
+    found = phrase_index.find_items(index, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
