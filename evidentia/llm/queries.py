@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidentia.llm import line_dedup, phrase_index, shards
+from evidentia.llm import line_dedup, near_dup, phrase_index, shards
 from evidentia.llm.common import map_batches, prepare
 
 QUERIES: dict = {}
@@ -111,3 +111,9 @@ def op1_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query()
+def op8_fast_similarity_sketching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents on four-word shingles."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
