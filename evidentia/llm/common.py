@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from evidentia.session import prepare as prepare_session, shared_dir
 
@@ -60,3 +60,23 @@ def text_frame(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def fold(scale: int, id_col: str = "doc_id") -> F.Column:
     """crc32 of the id as text, modulo ``scale``: the fold a document belongs to (null ids: fold of the empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % F.lit(scale)
+
+
+def numbered(rows: DataFrame, group: list[str], bucket: str, order: list, name: str) -> DataFrame:
+    """``name`` numbers the rows of each group from 1 in the order of (bucket, order).
+
+    Rows are numbered within a bucket and then moved by the count of the group's earlier buckets, so a
+    large group is never sorted by one task.
+    """
+    counts = rows.groupBy(*group, bucket).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *(F.col(c).alias(f"_{c}") for c in group), F.col(bucket).alias("_b"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+    )
+    same = F.col(bucket) == F.col("_b")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    local = F.row_number().over(Window.partitionBy(*group, bucket).orderBy(*order))
+    numbered = rows.withColumn(name, local).join(offsets, same)
+    return numbered.withColumn(name, F.col(name) + F.col("_offset")).drop("_offset", "_b", *(f"_{c}" for c in group))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidentia.llm import line_dedup, near_dup, phrase_index, shards
+from evidentia.llm import line_dedup, near_dup, packing, phrase_index, shards
 from evidentia.llm.common import map_batches, prepare
 
 QUERIES: dict = {}
@@ -117,3 +118,10 @@ def op1_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_fast_similarity_sketching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents on four-word shingles."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
+@query()
+def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

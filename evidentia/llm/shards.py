@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from evidentia.llm.common import numbered
 
 
 def interleave(
@@ -36,13 +38,13 @@ def interleave(
     rows = rows.withColumn("_bucket", F.shiftright(prefix * buckets, 32))
 
     order = ["_key", "doc_id", "text_crc32", "size"]
-    in_source = _numbered(rows, ["source"], "_bucket", order, "_rank")
+    in_source = numbered(rows, ["source"], "_bucket", order, "_rank")
     sizes = rows.groupBy(F.col("source").alias("_of")).agg(F.count(F.lit(1)).alias("_rows"))
     placed = in_source.join(sizes, F.col("source").eqNullSafe(F.col("_of"))).withColumn(
         "_at", (F.col("_rank") - 0.5) / F.col("_rows")
     )
     placed = placed.withColumn("_bucket", F.floor(F.col("_at") * buckets))
-    place = _numbered(placed, [], "_bucket", ["_at", F.asc_nulls_first("source"), *order], "_place")
+    place = numbered(placed, [], "_bucket", ["_at", F.asc_nulls_first("source"), *order], "_place")
     shard = F.floor((F.col("_place") - 1) * n_shards / F.lit(max(1, total)))
     # The first place of shard k is the smallest p with p * n_shards >= k * total.
     first = F.ceil(F.col("shard") * F.lit(total) / n_shards)
@@ -51,22 +53,6 @@ def interleave(
     )
 
 
-def _numbered(rows: DataFrame, group: list[str], bucket: str, order: list, name: str) -> DataFrame:
-    """``name`` numbers the rows of each group from 1 in the order of (bucket, order), bucket by bucket."""
-    counts = rows.groupBy(*group, bucket).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *(F.col(c).alias(f"_{c}") for c in group), F.col(bucket).alias("_b"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-    )
-    same = F.col(bucket) == F.col("_b")
-    for c in group:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    local = F.row_number().over(Window.partitionBy(*group, bucket).orderBy(*order))
-    numbered = rows.withColumn(name, local).join(offsets, same)
-    return numbered.withColumn(name, F.col(name) + F.col("_offset")).drop("_offset", "_b", *(f"_{c}" for c in group))
-
-
 def write_shards(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> None:
     """The rows of ``docs`` in one folder per shard, in slot order. Ids must be unique."""
     places = assigned.select(F.col("doc_id").alias("_id"), "shard", "slot")
