@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidentia.llm import line_dedup, near_dup, packing, phrase_index, shards
+from evidentia.llm import line_dedup, near_dup, packing, phrase_index, shards, warc
 from evidentia.llm.common import map_batches, prepare
 
 QUERIES: dict = {}
@@ -125,3 +125,19 @@ def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query(
+    """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT html, max(page_id) AS holder FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+SELECT page_id, strlen(p.html) AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN holder <> page_id THEN holder END AS refers_to
+FROM p LEFT JOIN h ON h.html = p.html"""
+)
+def op10_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives with revisit records, and what reading them back gives."""
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    checked = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("long")).otherwise(F.col("page_id"))
+    return read.select(checked.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
