@@ -9,8 +9,8 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidentia.llm import line_dedup, near_dup, packing, phrase_index, shards, warc
-from evidentia.llm.common import map_batches, prepare
+from evidentia.llm import language_id, line_dedup, near_dup, packing, phrase_index, shards, warc
+from evidentia.llm.common import fold, map_batches, prepare
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -141,3 +141,12 @@ def op10_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(table(spark, sf_dir, "pages"))
     checked = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("long")).otherwise(F.col("page_id"))
     return read.select(checked.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op3_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three folds out of four."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold(4) == 2)
+    model = language_id.learn(docs.filter("not held_out"))
+    found = language_id.predict(docs.select("doc_id", "held_out", "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), "phrase_length")
