@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while not _none(links):
         parent = _jump(keep(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")), "hooks"))
         if label is None:
-            roots = parent.select(F.col("parent").alias("node")).distinct().join(parent.select("node"), "node", "left_anti")
+            roots = links.select(F.col("a").alias("node")).distinct().join(parent.select("node"), "node", "left_anti")
             label = parent.unionByName(roots.withColumn("parent", F.col("node")))
         else:
             label = _follow(label, parent)

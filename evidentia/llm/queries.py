@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidentia.llm import language_id, line_dedup, near_dup, packing, phrase_index, shards, warc
+from evidentia.llm import language_id, line_dedup, near_dup, packing, phrase_index, shards, vector_links, warc
 from evidentia.llm.common import fold, map_batches, prepare
 
 QUERIES: dict = {}
@@ -150,3 +150,9 @@ def op3_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.learn(docs.filter("not held_out"))
     found = language_id.predict(docs.select("doc_id", "held_out", "text"), model)
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), "phrase_length")
+
+
+@query()
+def op6_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked by a cosine of 0.9 or more, and their components."""
+    return vector_links.vector_links(table(spark, sf_dir, "embeddings"), least=0.9)
