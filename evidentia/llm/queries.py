@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidentia.llm import language_id, line_dedup, near_dup, packing, phrase_index, shards, vector_links, warc
+from evidentia.llm import language_id, line_dedup, near_dup, packing, phrase_index, secrets, shards, vector_links, warc
 from evidentia.llm.common import fold, map_batches, prepare
 
 QUERIES: dict = {}
@@ -156,3 +156,11 @@ def op3_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors linked by a cosine of 0.9 or more, and their components."""
     return vector_links.vector_links(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
+@query()
+def op7_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: fixed patterns, and strings that pass as random."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    counts = [secrets.count_of("base", kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
