@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidentia.llm import language_id, line_dedup, near_dup, packing, phrase_index, secrets, shards, vector_links, warc
+from evidentia.llm import language_id, line_dedup, lm_scores, near_dup, packing, phrase_index, secrets, shards, vector_links, warc
 from evidentia.llm.common import fold, map_batches, prepare
 
 QUERIES: dict = {}
@@ -164,3 +164,10 @@ def op7_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     counts = [secrets.count_of("base", kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]]
     return found.select("doc_id", *counts, F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
+
+
+@query()
+def op4_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents, learned from six folds out of seven."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held", fold(7) == 2)
+    return lm_scores.score_texts(docs, public_tokenizers.path("word_bpe_49k.json"), held_out="held")

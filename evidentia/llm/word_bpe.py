@@ -43,6 +43,7 @@ class WordBpe:
         ranks = {}
         for piece in ranked:
             ranks.setdefault(piece, len(ranks))
+        self.size = 1 + max(vocabulary.values())  # ids are below
         of_piece = {raw(symbol): number for symbol, number in vocabulary.items() if symbol not in self._special}
         self._ids = [of_piece.get(piece, 0).to_bytes(4, "little") for piece in ranks]
         self._merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece

@@ -68,19 +68,23 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words, row after row, and the offsets of the rows in them."""
-    hashes, starts_at = [], []
+    hashes, _, _, offsets = word_spans(data, bounds, table)
+    return hashes, offsets
+
+
+def word_spans(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first bytes and ends of all words, and the offsets of the rows in them."""
+    found = [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
     total, at = len(data), 0
     edge = np.zeros(total + 1, dtype=bool)
     edge[bounds] = True
     while at < total:
         end = _cut(data, edge, table, at, min(total, at + _WINDOW))
-        h, s = _window(data[at:end], edge[at:end], table)
-        hashes.append(h)
-        starts_at.append(s + at)
+        hashes, starts, ends = _window(data[at:end], edge[at:end], table)
+        found.append((hashes, starts + at, ends + at))
         at = end
-    if not hashes:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(bounds), dtype=np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts_at), bounds)
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*found))
+    return hashes, starts, ends, np.searchsorted(starts, bounds)
 
 
 def _cut(data: np.ndarray, edge: np.ndarray, table: np.ndarray, start: int, end: int) -> int:
@@ -99,7 +103,7 @@ def _cut(data: np.ndarray, edge: np.ndarray, table: np.ndarray, start: int, end:
     return len(data)
 
 
-def _window(data: np.ndarray, edge: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _window(data: np.ndarray, edge: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = ~table[data]
     before = np.empty_like(inside)
     before[:1] = False
@@ -108,15 +112,15 @@ def _window(data: np.ndarray, edge: np.ndarray, table: np.ndarray) -> tuple[np.n
     after = np.empty_like(inside)
     after[-1:] = False
     after[:-1] = inside[1:] & ~edge[1:]
-    ends = np.flatnonzero(inside & ~after)
+    ends = np.flatnonzero(inside & ~after) + 1
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64), starts
+        return np.zeros(0, dtype=np.uint64), starts, ends
     up, down = _scales(max(len(data), _WINDOW))
     sums = np.empty(len(data) + 1, dtype=np.uint64)
     sums[0] = 0
     np.cumsum(_ALPHABET[data] * up[: len(data)], out=sums[1:])
-    h = (sums[ends + 1] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64)), starts
+    h = (sums[ends] - sums[starts]) * down[starts]
+    return mix(h + (ends - starts).astype(np.uint64)), starts, ends
 
 
 def row_numbers(bounds: np.ndarray) -> np.ndarray:
