@@ -153,11 +153,11 @@ def learn(
     return model
 
 
-_ADDED = ["lang_pred", "lang_score", "phrase_length"]
+ADDED = ("lang_pred", "lang_score", "phrase_length")
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``lang_score`` and ``phrase_length`` of every whole text; older columns of these names go.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", added: tuple[str, str, str] = ADDED) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``lang_score`` and ``phrase_length`` (or other names ``added``) of every whole text.
 
     Texts are lower-cased and reduced to letters and single blanks. The language needing the fewest
     phrases wins (the alphabetically first one on a tie). ``lang_score`` is its share of
@@ -166,7 +166,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     ``und`` with score 0, and so are all texts if there is nothing to learn from.
     """
     prepare(docs.sparkSession)
-    docs = docs.drop(*_ADDED)
+    if clash := {c.lower() for c in docs.columns} & {c.lower() for c in added}:
+        raise ValueError(f"columns already there: {sorted(clash)}")
     held = docs.sparkSession.sparkContext.broadcast(model)
     rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
 
@@ -174,10 +175,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         names, scores, lengths = _classify(held.value, batch.column(batch.schema.get_field_index(text_col)))
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(names, type=pa.string()), pa.array(scores, type=pa.float64()), pa.array(lengths, type=pa.float64())],
-            names=[*batch.schema.names, *_ADDED],
+            names=[*batch.schema.names, *added],
         )
 
-    return map_batches(docs, run, ", ".join([*rest, "lang_pred string", "lang_score double", "phrase_length double"]))
+    return map_batches(docs, run, ", ".join([*rest, f"`{added[0]}` string, `{added[1]}` double, `{added[2]}` double"]))
 
 
 def _classify(model: Model, column: pa.Array) -> tuple[list[str], list[float], list[float]]:

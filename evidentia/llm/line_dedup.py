@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from evidentia.llm.common import keep, map_batches, prepare, text_frame
+from evidentia.llm.common import fresh, keep, map_batches, prepare, text_frame
 
 _EDGES = b" \t\n\x0b\x0c\r"
 _LAST = 2**63 - 1
@@ -165,3 +165,23 @@ def cut(text: str, bitmap: bytes | None) -> tuple[str, int, int]:
         return text, len(lines), 0
     mask = kept_lines(bitmap, len(lines))
     return "\n".join(line for line, stays in zip(lines, mask) if stays), len(lines), int((~mask).sum())
+
+
+def deduplicated(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all their columns kept, with the texts cut to the lines that stay; a null text stays null."""
+    names = docs.columns
+    owner, key, marks = (fresh(docs, n) for n in ("_id", "_key", "_bitmap"))
+    found = line_bitmaps(keyed(docs, id_col, text_col), least).toDF(owner, key, marks)
+    same = F.col(id_col).eqNullSafe(F.col(owner)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(key))
+    rows = docs.join(found, same, "left").select(*names, marks)
+
+    def shorten(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        at = names.index(text_col)
+        texts = [
+            t.as_py() if not b.is_valid or not t.is_valid else cut(t.as_py(), b.as_py())[0]
+            for t, b in zip(batch.column(at), batch.column(len(names)))
+        ]
+        columns = [*batch.columns[:at], pa.array(texts, type=pa.string()), *batch.columns[at + 1 : len(names)]]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return map_batches(rows, shorten, docs.schema)
