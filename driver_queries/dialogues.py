@@ -229,7 +229,7 @@ def recent_memory(spark, sf_dir):
 
 _OLD = (
     ", n AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY sequence_no DESC) AS rn FROM msgs WHERE status = 'completed'),"
-    " old AS (SELECT n.* FROM n JOIN convs USING (conversation_id) WHERE rn > 2 AND rn <= 200 AND sequence_no > through)"
+    " old AS (SELECT n.* FROM n JOIN convs USING (conversation_id) WHERE rn > 2 AND sequence_no > through)"
 )
 
 
@@ -325,8 +325,7 @@ def apply_retention(spark, sf_dir):
 @query(
     W + ", f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY ts DESC, feedback_id DESC) AS rn FROM fb WHERE message_id IS NOT NULL) WHERE rn = 1)"
     " SELECT m.message_id, coalesce(f.rating, 9) AS rating, coalesce(f.reason, '') AS reason, md5(m.content) AS content_md5"
-    " FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY sequence_no DESC) AS p FROM msgs) m LEFT JOIN f USING (message_id)"
-    " WHERE p <= 100 AND m.role IN ('user', 'assistant')"
+    " FROM msgs m LEFT JOIN f USING (message_id) WHERE m.role IN ('user', 'assistant')"
 )
 def transcript_with_feedback(spark, sf_dir):
     given = fb.dedupe_feedback(feedback(spark, sf_dir))

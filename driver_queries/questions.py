@@ -222,7 +222,7 @@ def cascade_targets(spark, sf_dir):
     """Benchmark passages with an entity filter and a section filter that some cannot meet."""
     vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding", "label")
     n = F.col("item_id")
-    return load(spark, sf_dir, "benchmark").join(vectors, "item_id").select(
+    return load(spark, sf_dir, "benchmark").join(vectors, "item_id", "left").select(
         F.floor(n / 4).alias("question_id"),
         ((n % 4) + 1).cast("int").alias("target_no"),
         n.alias("target_id"),

@@ -12,7 +12,8 @@ from driver_queries.tables import load
 from evidentia.operators import evaluation, validation
 from evidentia.operators.ingest import upsert
 from evidentia.plans.ingest import stored
-from evidentia.session import broadcast_if_small, prepare
+from evidentia.operators.substring_join import substring_join
+from evidentia.session import prepare
 from evidentia.sources import markdown, tables
 from evidentia.streaming import limiter, memory, runs
 from evidentia.streaming.tables import read_latest, compact, stream_dedupe as dedupe, stream_ingest as ingest, stream_upsert
@@ -153,15 +154,8 @@ def golden(spark, sf_dir):
         F.col("item_id").cast("string").alias("id"), F.lit("quote").alias("category"), F.col("text").alias("question")
     )
     documents = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), "text")
-    # A document that quotes a passage holds its third word as a word of its own: words narrow
-    # the pairs without carrying texts, then whole texts are compared.
-    words = documents.select("doc", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    anchored = cases.select("id", "question", F.get(F.split("question", r"\s+"), F.lit(2)).alias("word"))
-    pairs = words.join(broadcast_if_small(anchored), "word").select("doc", "id", "question")
-    found = (
-        documents.join(pairs, "doc").where(F.contains("text", "question"))
-        .groupBy("id").agg(F.array_sort(F.collect_set("doc")).alias("expected_sources"))
-    )
+    quoted = substring_join(documents, "text", cases.select("id", "question"), "question", key="doc")
+    found = quoted.groupBy("id").agg(F.array_sort(F.collect_set("doc")).alias("expected_sources"))
     none = F.array().cast("array<string>")
     return cases.join(found, "id", "left").withColumn("expected_sources", F.coalesce("expected_sources", none))
 
@@ -195,14 +189,14 @@ def cases(spark, sf_dir):
         F.col("question_id").cast("string").alias("id"), "rank", F.col("chunk_id").cast("string").alias("source_id")
     )
     latency = load(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.col("value").alias("latency_ms"))
-    return evaluation.hit_at_k(golden(spark, sf_dir), found).join(latency, "id")
+    return evaluation.hit_at_k(golden(spark, sf_dir), found).join(latency, "id", "left")
 
 
 _CASES = (
     HYBRID_SQL.format(min_score=0.0).replace("vrank <= 20", "vrank <= 10").replace("lrank <= 20", "lrank <= 10") + f", {_GOLDEN},"
     " found AS (SELECT CAST(question_id AS VARCHAR) AS id, list(CAST(chunk_id AS VARCHAR) ORDER BY rank) AS got FROM evidence GROUP BY 1),"
     " cases AS (SELECT id, coalesce(got, []) AS got, list_sort(list_intersect(coalesce(expected, []), coalesce(got, []))) AS matched, value AS latency_ms"
-    " FROM golden LEFT JOIN found USING (id) JOIN events ON id = CAST(event_id AS VARCHAR))"
+    " FROM golden LEFT JOIN found USING (id) LEFT JOIN events ON id = CAST(event_id AS VARCHAR))"
 )
 
 

@@ -67,7 +67,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
     return (
         load(spark, sf_dir, "benchmark")
-        .join(vectors, "item_id")
+        .join(vectors, "item_id", "left")
         .select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), "embedding")
     )
 
@@ -75,7 +75,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUESTIONS_SQL = """
 questions AS (
   SELECT b.item_id AS question_id, b.text AS question, CAST(e.embedding AS DOUBLE[]) AS embedding
-  FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id
+  FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id
 )"""
 
 # The stop terms are CJK, the test tables are not, so the oracle needs Latin terms only.

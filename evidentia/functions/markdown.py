@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import re
+from collections.abc import Callable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from evidentia import fixed_values as fixed
-from evidentia.functions.text import lines, strip
+from evidentia.functions.text import WHITE, lines, strip
 
 _STATE = "struct<key:string,items:array<string>,open:boolean,entries:array<struct<key:string,values:array<string>,is_list:boolean>>>"
 _STRINGS = "array<string>"
@@ -135,49 +137,71 @@ def split_sections(c_body: Column, c_section: Column, keep_preamble: bool = Fals
     return F.when(F.exists(parts, is_section), sections).otherwise(F.array(whole))
 
 
+# The white space of Java's Unicode character class, without the separator controls.
+_BLANK_LINE = re.compile("\n[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*\n")
+_SENTENCE_END = re.compile(r"(?<=[。！？\n])")
+
+
 def split_paragraphs(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"\n(?U:\s)*\n", -1), strip), lambda p: p != "")
 
 
 def pack_paragraphs(c_paragraphs: Column, max_chars: int = fixed.CHUNK_MAX_CHARS) -> Column:
     """Join neighbours with a blank line while the result stays within ``max_chars``."""
-    state = "struct<out:array<string>,buf:string>"
-    start = F.struct(F.array().cast(_STRINGS).alias("out"), F.lit(None).cast("string").alias("buf")).cast(state)
-
-    def step(s: Column, p: Column) -> Column:
-        fits = F.length(s["buf"]) + F.length(p) + 2 <= max_chars
-        return (
-            F.when(s["buf"].isNull(), F.struct(s["out"].alias("out"), p.alias("buf")).cast(state))
-            .when(fits, F.struct(s["out"].alias("out"), F.concat(s["buf"], F.lit("\n\n"), p).alias("buf")).cast(state))
-            .otherwise(F.struct(F.concat(s["out"], F.array(s["buf"])).alias("out"), p.alias("buf")).cast(state))
-        )
 
-    return F.aggregate(
-        c_paragraphs, start, step,
-        lambda s: F.when(s["buf"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["buf"]))),
-    )
+    @F.arrow_udf(_STRINGS)
+    def packs(rows: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else _packed(p, max_chars) for p in rows.to_pylist()], type=pa.list_(pa.string()))
+
+    return packs(c_paragraphs)
 
 
 def split_long(c: Column, max_chars: int = fixed.CHUNK_MAX_CHARS) -> Column:
     """Cut after sentence ends and refill to at most ``max_chars``; a longer sentence stays whole."""
-    state = "struct<out:array<string>,buf:string>"
-    start = F.struct(F.array().cast(_STRINGS).alias("out"), F.lit("").alias("buf")).cast(state)
-    sentences = F.filter(F.split(c, r"(?<=[。！？\n])", -1), lambda s: s != "")
-
-    def flushed(s: Column) -> Column:
-        return F.when(s["buf"] != "", F.concat(s["out"], F.array(strip(s["buf"])))).otherwise(s["out"])
-
-    def step(s: Column, sentence: Column) -> Column:
-        full = F.length(s["buf"]) + F.length(sentence) > max_chars
-        return F.when(
-            full, F.struct(flushed(s).alias("out"), sentence.alias("buf")).cast(state)
-        ).otherwise(F.struct(s["out"].alias("out"), F.concat(s["buf"], sentence).alias("buf")).cast(state))
-
-    pieces = F.aggregate(
-        sentences, start, step,
-        lambda s: F.when(strip(s["buf"]) != "", flushed(s)).otherwise(s["out"]),
-    )
-    return F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.substring(c, 1, max_chars)))
+
+    @F.arrow_udf(_STRINGS)
+    def parts(rows: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _cut_long(t, max_chars) for t in rows.to_pylist()], type=pa.list_(pa.string()))
+
+    return parts(c)
+
+
+def _packed(paragraphs: Sequence[str], max_chars: int) -> list[str]:
+    out, held, size = [], [], 0
+    for paragraph in paragraphs:
+        if held and size + len(paragraph) + 2 <= max_chars:
+            held.append(paragraph)
+            size += len(paragraph) + 2
+            continue
+        if held:
+            out.append("\n\n".join(held))
+        held, size = [paragraph], len(paragraph)
+    return [*out, "\n\n".join(held)] if held else out
+
+
+def _cut_long(text: str, max_chars: int) -> list[str]:
+    out, held, size = [], [], 0
+    for sentence in filter(None, _SENTENCE_END.split(text)):
+        if held and size + len(sentence) > max_chars:
+            out.append("".join(held).strip(WHITE))
+            held, size = [], 0
+        held.append(sentence)
+        size += len(sentence)
+    if last := "".join(held).strip(WHITE):
+        out.append(last)
+    return out or [text[:max_chars]]
+
+
+def _section_pieces(body: str, cut: bool, max_chars: int, min_chars: int) -> list[str]:
+    paragraphs = [p for p in (part.strip(WHITE) for part in _BLANK_LINE.split(body)) if p]
+    pieces = []
+    for packed in _packed(paragraphs, max_chars):
+        if len(packed) >= min_chars:
+            pieces += _cut_long(packed, max_chars) if cut and len(packed) > max_chars else [packed]
+    return [p for p in (piece.strip(WHITE) for piece in pieces) if len(p) >= min_chars]
+
+
+_PIECES = "array<struct<section:string,content:string>>"
 
 
 def chunks_of(
@@ -185,25 +209,25 @@ def chunks_of(
     max_chars: int = fixed.CHUNK_MAX_CHARS, min_chars: int = fixed.CHUNK_MIN_CHARS,
     split_long_always: bool = False, keep_preamble: bool = False,
 ) -> Column:
-    """``array<struct<section, content>>`` in document order; pieces under ``min_chars`` are dropped."""
+    """``array<struct<section, content>>`` in document order; pieces under ``min_chars`` are dropped.
 
-    def pieces(section: Column) -> Column:
-        packed = F.filter(
-            pack_paragraphs(split_paragraphs(section["body"]), max_chars), lambda p: F.length(p) >= min_chars
-        )
-        cut = section["headed"] | F.lit(split_long_always)
-        parts = F.flatten(
-            F.transform(
-                packed,
-                lambda p: F.when(cut & (F.length(p) > max_chars), split_long(p, max_chars)).otherwise(F.array(p)),
-            )
-        )
-        kept = F.filter(F.transform(parts, strip), lambda p: F.length(p) >= min_chars)
-        return F.transform(
-            kept, lambda p: F.struct(section["section"].alias("section"), p.alias("content"))
-        )
+    Filling pieces is a running sum with resets. A fold over arrays copies its list at
+    each step, so this part works on Arrow batches, in time linear in the text.
+    """
 
-    return F.flatten(F.transform(split_sections(c_body, c_section, keep_preamble), pieces))
+    @F.arrow_udf(_PIECES)
+    def pieces(rows: pa.Array) -> pa.Array:
+        out = [
+            None if sections is None else [
+                {"section": s["section"], "content": piece}
+                for s in sections
+                for piece in _section_pieces(s["body"] or "", s["headed"] or split_long_always, max_chars, min_chars)
+            ]
+            for sections in rows.to_pylist()
+        ]
+        return pa.array(out, type=pa.list_(pa.struct([("section", pa.string()), ("content", pa.string())])))
+
+    return pieces(split_sections(c_body, c_section, keep_preamble))
 
 
 def embed_text(

@@ -12,7 +12,7 @@ CJK = r"\u4e00-\u9fff"
 
 
 # Characters Unicode counts as white space, with the four separator controls.
-_WHITE = (
+WHITE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     + "".join(chr(code) for code in range(0x2000, 0x200B))
     + "\u2028\u2029\u202f\u205f\u3000"
@@ -21,7 +21,7 @@ _WHITE = (
 
 def strip(c: Column) -> Column:
     """Remove white space of any kind from both ends; looks at the ends only."""
-    return F.btrim(c, F.lit(_WHITE))
+    return F.btrim(c, F.lit(WHITE))
 
 
 def lines(c: Column) -> Column:

@@ -49,6 +49,9 @@ def topk_by_block(
     ties go to the smaller ``corpus_key``. ``mask`` gives the rows a pass may use,
     or None where the pass does not apply. ``k`` is a column of ``targets``.
     """
+    asked = targets.agg(F.max(k)).first()[0] or 0
+    if asked > max_k:
+        raise ValueError(f"{k} asks for up to {asked} rows, max_k allows {max_k}")
     small = holds_at_most(targets, max_broadcast_rows)
     lanes = 1 if small else lanes
     key_type = corpus.schema[corpus_key].dataType.simpleString()

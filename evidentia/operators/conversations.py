@@ -188,14 +188,21 @@ def memory_list(recent: DataFrame) -> DataFrame:
     )
 
 
-def unsummarized(conversations: DataFrame, messages: DataFrame, n: int = 8, window: int = 200) -> DataFrame:
-    """Older messages of the newest ``window`` that the stored summary does not cover yet."""
-    through = conversations.select("conversation_id", "summarized_through_sequence")
+def unsummarized(conversations: DataFrame, messages: DataFrame, n: int = 8) -> DataFrame:
+    """All messages older than the newest ``n`` that the stored summary does not cover yet.
+
+    Sequence numbers are unique in a conversation, so the ``n``-th newest one is a
+    bound: the whole history is filtered by it, not sorted.
+    """
+    bound = _newest(messages.select("conversation_id", "sequence_no", "status"), n).groupBy("conversation_id").agg(
+        F.min("sequence_no").alias("_oldest_recent")
+    )
+    covered = conversations.select("conversation_id", F.coalesce("summarized_through_sequence", F.lit(0)).alias("_covered"))
     return (
-        _newest(messages, window).where(F.col("newest") > n)
-        .join(through, "conversation_id")
-        .where(F.col("sequence_no") > F.coalesce("summarized_through_sequence", F.lit(0)))
-        .drop("newest", "summarized_through_sequence")
+        messages.where(F.col("status") == "completed")
+        .join(bound.join(covered, "conversation_id"), "conversation_id")
+        .where((F.col("sequence_no") < F.col("_oldest_recent")) & (F.col("sequence_no") > F.col("_covered")))
+        .select(*messages.columns)
     )
 
 
@@ -208,19 +215,30 @@ def clip_summary(c: Column, max_chars: int = 4000, head: int = 600) -> Column:
     ).otherwise(c)
 
 
+# Role, colon and line break around an empty text.
+_SHORTEST_LINE = 4
+
+
 def roll_summary(
-    conversations: DataFrame, messages: DataFrame, n: int = 8, window: int = 200, max_chars: int = 4000
+    conversations: DataFrame, messages: DataFrame, n: int = 8, max_chars: int = 4000
 ) -> DataFrame:
     """One summary step per conversation: ``conversation_id, summary, summarized_through_sequence``.
 
-    At most ``window`` short lines per conversation are put together.
+    A line takes at least ``_SHORTEST_LINE`` characters, and a long summary keeps its two ends. So the
+    first and the last ``max_chars / _SHORTEST_LINE`` lines decide the text, whatever the
+    length of the history, and no more than these are put together in a row.
     """
     line = summary_line(F.col("role"), F.col("content"))
+    ends = max_chars // _SHORTEST_LINE + 1
+    of = W.partitionBy("conversation_id")
+    lines = unsummarized(conversations, messages, n).select("conversation_id", "sequence_no", line.alias("line"))
+    first = lines.withColumn("_rn", F.row_number().over(of.orderBy("sequence_no"))).where(F.col("_rn") <= ends)
+    last = lines.withColumn("_rn", F.row_number().over(of.orderBy(F.desc("sequence_no")))).where(F.col("_rn") <= ends)
     added = (
-        unsummarized(conversations, messages, n, window)
-        .select("conversation_id", F.struct("sequence_no", line.alias("line")).alias("l"))
+        first.unionByName(last)
+        .select("conversation_id", F.struct("sequence_no", "line").alias("l"))
         .groupBy("conversation_id")
-        .agg(F.array_sort(F.collect_list("l")).alias("lines"), F.max("l.sequence_no").alias("_through"))
+        .agg(F.array_sort(F.collect_set("l")).alias("lines"), F.max("l.sequence_no").alias("_through"))
     )
     text = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
     stored = F.coalesce("summary", F.lit(""))
@@ -289,10 +307,12 @@ def apply_retention(tables: dict[str, DataFrame], as_of, days: int) -> dict[str,
     }
 
 
-def transcript_with_feedback(messages: DataFrame, feedback: DataFrame, limit: int = 100) -> DataFrame:
-    """The newest ``limit`` messages of each conversation with the feedback they got."""
-    order = W.partitionBy("conversation_id").orderBy(F.desc("sequence_no"))
-    page = messages.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= limit).drop("_rn")
+def transcript_with_feedback(messages: DataFrame, feedback: DataFrame, limit: int | None = None) -> DataFrame:
+    """The messages of each conversation (its newest ``limit``, if given) with the feedback they got."""
+    page = messages
+    if limit is not None:
+        order = W.partitionBy("conversation_id").orderBy(F.desc("sequence_no"))
+        page = messages.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= limit).drop("_rn")
     given = feedback.where(F.col("message_id").isNotNull()).select(
         "message_id", F.struct("rating", "reason", "comment").alias("feedback")
     )

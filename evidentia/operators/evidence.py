@@ -49,7 +49,7 @@ def evidence_gates(
 
 
 def format_citations(evidence: DataFrame, preview: int = 150) -> DataFrame:
-    """Evidence as shown to readers: internal references hidden, content shortened."""
+    """Evidence as shown to readers: secrets redacted, internal references hidden, content shortened."""
     optional = {
         "project_slug": F.lit(None).cast("string"),
         "coverage_keys": F.array().cast("array<string>"),
@@ -62,7 +62,7 @@ def format_citations(evidence: DataFrame, preview: int = 150) -> DataFrame:
         F.col("chunk_id").alias("id"),
         hide_internal_references(F.col("title")).alias("title"),
         "section",
-        hide_internal_references(F.substring(F.coalesce("content", F.lit("")), 1, preview)).alias("content_preview"),
+        hide_internal_references(F.substring(redact_sensitive(F.coalesce("content", F.lit(""))), 1, preview)).alias("content_preview"),
         "project_slug",
         F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
         F.col("score").alias("ranking_score"),

@@ -158,12 +158,13 @@ def _mark(requests: DataFrame, caps: DataFrame) -> DataFrame:
 
 
 def admit_by_policy(
-    requests: DataFrame, policies: DataFrame, window_seconds: int = 60, max_rounds: int = 400
+    requests: DataFrame, policies: DataFrame, window_seconds: int = 60
 ) -> DataFrame:
     """Sliding log and daily cap together, per namespace: ``requests`` plus ``accepted``.
 
     ``requests``: request_id, namespace, client, ts. ``policies``: namespace,
-    minute_limit, daily_limit (null: not counted by day).
+    minute_limit, daily_limit (null: not counted by day). A request whose namespace has no
+    policy stays, with ``accepted`` null.
 
     A request refused for the day takes no place in the log, which matters just
     after midnight. So requests after a day's cap are taken out and the log is
@@ -171,10 +172,12 @@ def admit_by_policy(
     round settles at least one more day. Between rounds only the caps (one row per
     namespace and day) are kept.
     """
-    known = requests.join(broadcast_if_small(policies), "namespace")
+    ruled = broadcast_if_small(policies)
+    known = requests.join(ruled, "namespace")
+    unruled = requests.join(ruled, "namespace", "left_anti")
     max_daily = policies.agg(F.max("daily_limit")).first()[0] or 0
     caps = None
-    for _ in range(max_rounds):
+    while True:  # a round settles one more day at least, so days bound the rounds
         live = known if caps is None else _mark(known, caps).where("within_cap").drop("within_cap")
         decided = sliding_log_limit(live, window_seconds)
         found = cut_lineage(daily_caps(decided.where("accepted"), max_daily))
@@ -183,10 +186,10 @@ def admit_by_policy(
         caps = found
         if same or none:
             break
-    else:
-        raise RuntimeError(f"daily caps did not settle in {max_rounds} rounds")
     over = _mark(known, caps).where(~F.col("within_cap")).drop("within_cap")
-    return decided.unionByName(over.withColumn("accepted", F.lit(False)))
+    refused = over.withColumn("accepted", F.lit(False))
+    open_ = unruled.withColumn("accepted", F.lit(None).cast("boolean"))
+    return decided.unionByName(refused).unionByName(open_, allowMissingColumns=True)
 
 
 def admit(

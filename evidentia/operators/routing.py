@@ -283,6 +283,7 @@ def list_answer(plans: DataFrame, entities: DataFrame, empty_text: str = fixed.N
         F.when(F.col("n") > 0, F.col("lines")).otherwise(F.lit(empty_text)).alias("content"),
         F.lit(1.0).alias("score"),
         F.array(F.lit(LIST)).alias("coverage_keys"),
+        "n",
     )
 
 

@@ -26,20 +26,28 @@ def _anchor(c: Column) -> Column:
     )
 
 
+def _anchors(text: str) -> Column:
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[substrings(F.col(text), w) for w in _WIDTHS]))
+
+
 def substring_join(
     texts: DataFrame, text: str, phrases: DataFrame, phrase: str, salts: int = 8,
-    max_broadcast_rows: int = 50_000,
+    max_broadcast_rows: int = 50_000, key: str | None = None,
 ) -> DataFrame:
     """All columns of both sides for each (text, phrase) with the phrase inside the text.
 
     An empty phrase occurs in every text. Phrases proven few are broadcast. Else a
     frequent anchor cannot pile up in one task: texts are spread over ``salts`` and
-    the phrases, the short side, are repeated for each salt.
+    the phrases, the short side, are repeated for each salt. With a unique ``key`` of
+    long texts only keys meet the phrases; texts follow for the pairs that share an anchor.
     """
-    anchors = F.array_distinct(
-        F.concat(F.array(F.lit("")), *[substrings(F.col(text), w) for w in _WIDTHS])
-    )
-    left = texts.withColumn("_anchor", F.explode(anchors))
+    if key is not None:
+        narrow = texts.select(key, F.explode(_anchors(text)).alias("_anchor"))
+        short = phrases.where(F.col(phrase).isNotNull()).withColumn("_anchor", _anchor(F.col(phrase)))
+        small = holds_at_most(phrases, max_broadcast_rows)
+        met = narrow.join(F.broadcast(short), "_anchor") if small else salted_join(narrow, short, ["_anchor"], [key], salts=salts)
+        return texts.join(met.drop("_anchor"), key).where(F.contains(F.col(text), F.col(phrase)))
+    left = texts.withColumn("_anchor", F.explode(_anchors(text)))
     right = phrases.where(F.col(phrase).isNotNull()).withColumn("_anchor", _anchor(F.col(phrase)))
     if holds_at_most(phrases, max_broadcast_rows):
         joined = left.join(F.broadcast(right), "_anchor")

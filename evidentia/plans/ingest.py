@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidentia.operators import ingest as op
 from evidentia.operators.embedding import Embedder, HashingEmbedder, embed
-from evidentia.session import cut_lineage
+from evidentia.session import broadcast_if_small, cut_lineage
 from evidentia.sources import tables
 
 DOCUMENTS = (
@@ -22,14 +22,19 @@ CHUNKS = (
 )
 
 
-def classify(files: DataFrame, documents: DataFrame, entities: DataFrame, force: bool = False) -> DataFrame:
-    """Every scanned file with its metadata, whether it is filtered, and what changed."""
+def describe(files: DataFrame, entities: DataFrame) -> DataFrame:
+    """Every scanned file with its metadata and whether it is filtered."""
     if "read_error" not in files.columns:
         files = files.withColumn("read_error", F.lit(False))
     parsed = op.parse_files(files.withColumn("text", F.coalesce("text", F.lit(""))))
     described = op.infer_slug(op.default_meta(parsed.withColumn("filtered", op.is_filtered())))
-    linked = op.link_entities(described.withColumn("content_hash", op.content_hash(F.col("text"))), entities)
-    return op.classify_changes(linked, documents, force)
+    return op.link_entities(described.withColumn("content_hash", op.content_hash(F.col("text"))), entities)
+
+
+def classify(files: DataFrame, documents: DataFrame, entities: DataFrame, force: bool = False) -> DataFrame:
+    """What changed in every scanned file; no texts."""
+    described = describe(files, entities).select("source_id", "read_error", "filtered", "content_hash", "project_id")
+    return op.classify_changes(described, documents, force)
 
 
 def plan_ingest(
@@ -38,12 +43,14 @@ def plan_ingest(
 ) -> dict[str, DataFrame]:
     """``documents`` and ``chunks`` after the ingest, and its ``report``.
 
-    Only new and changed documents are chunked and embedded. With ``partial`` the
+    Only new and changed documents are read again, chunked and embedded; of the others
+    a narrow row is kept. With ``partial`` the
     files are not the whole corpus (a stream of changes), so nothing is an orphan.
     """
     seen = cut_lineage(classify(files, documents, entities, force))
     ok = seen.where(~F.col("read_error") & ~F.col("filtered"))
-    due = ok.where(F.col("change").isin("new", "changed"))
+    wanted = broadcast_if_small(ok.where(F.col("change").isin("new", "changed")).select("source_id"))
+    due = describe(files.join(wanted, "source_id", "left_semi"), entities)
     pieces = op.chunk_documents(due)
     # Embedding is the dear step; its result feeds both tables and the report.
     fresh = cut_lineage(

@@ -47,8 +47,11 @@ def save_snapshot(spark: SparkSession, root: str, tables: Mapping[str, DataFrame
     """Writes a new version of all tables, then makes it current.
 
     No path that is being read is overwritten; the version log gets its row last, so
-    a job that dies before has no effect.
+    a job that dies before has no effect. A snapshot has one writer: a folder of this
+    version that was finished by another one is an error, one left by a job that died is replaced.
     """
+    if version <= current_version(spark, root):
+        raise ValueError(f"version {version} is already written")
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}/v{version}")
     spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("append").json(f"{root}/_versions")

@@ -18,11 +18,12 @@ _OUT = "namespace string, client string, request_id bigint, ts_us bigint, accept
 class SlidingLog(StatefulProcessor):
     """State per client: the accepted times inside the window, never more than the limit."""
 
-    def __init__(self, window_seconds: int):
+    def __init__(self, window_seconds: int, forget_seconds: int | None):
         self.width = window_seconds * 1_000_000
+        self.ttl_ms = None if forget_seconds is None else forget_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.log = handle.getListState("log", "ts_us bigint")
+        self.log = handle.getListState("log", "ts_us bigint", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts_us", "request_id"])
@@ -44,12 +45,20 @@ class SlidingLog(StatefulProcessor):
         pass
 
 
-def stream_limit(requests: DataFrame, window_seconds: int = 60) -> DataFrame:
-    """Decides every request as it arrives; requests of one micro-batch are taken in time order."""
+def stream_limit(requests: DataFrame, window_seconds: int = 60, forget_seconds: int | None = None) -> DataFrame:
+    """Decides every request as it arrives; requests of one micro-batch are taken in time order.
+
+    With ``forget_seconds`` a client's state goes that long, in clock time, after its last accepted request. It
+    should be the window and the longest outage to be expected. Such a stream needs a trigger that runs on;
+    one that ends with the available input keeps its states.
+    """
+    if forget_seconds is not None and forget_seconds < window_seconds:
+        raise ValueError("a state must outlive the window")
     with_state_store(requests.sparkSession)
     narrow = requests.select(
         "namespace", "client", "request_id", F.unix_micros("ts").alias("ts_us"), "minute_limit"
     )
     return narrow.groupBy("namespace", "client").transformWithStateInPandas(
-        statefulProcessor=SlidingLog(window_seconds), outputStructType=_OUT, outputMode="append", timeMode="None"
+        statefulProcessor=SlidingLog(window_seconds, forget_seconds), outputStructType=_OUT, outputMode="append",
+        timeMode="None" if forget_seconds is None else "ProcessingTime",
     )

@@ -50,16 +50,23 @@ def read_latest(spark: SparkSession, root: str, keys: Sequence[str], order: Sequ
 def compact(spark: SparkSession, root: str, keys: Sequence[str], order: Sequence[str]) -> None:
     """Folds everything written so far into a new base version."""
     version = tables.current_version(spark, root)
-    merged = _merged(spark, root, keys, order, version)
-    tables.save_snapshot(spark, root, {"base": merged}, version + 1)
-
-
-def _merged(spark, root, keys, order, version) -> DataFrame:
-    # Deltas stay valid after a compaction: merging one again changes nothing.
-    rows = spark.read.parquet(f"{root}/delta").drop("batch")
+    newest = spark.read.parquet(f"{root}/delta").agg(F.coalesce(F.max("batch"), F.lit(-1)).cast("long").alias("batch"))
+    through = newest.first()["batch"]
+    merged = _merged(spark, root, keys, order, version, through)
+    mark = spark.range(1).select(F.lit(through).alias("batch"))
+    tables.save_snapshot(spark, root, {"base": merged, "through": mark}, version + 1)
+
+
+def _merged(spark, root, keys, order, version, through: int | None = None) -> DataFrame:
+    """The base, and the micro-batches after it (up to ``through``); the others are not opened."""
+    rows = spark.read.parquet(f"{root}/delta")
+    if through is not None:
+        rows = rows.where(F.col("batch") <= through)
     if version:
-        rows = rows.unionByName(tables.load_snapshot(spark, root, "base", version))
-    return latest(rows, keys, order)
+        done = tables.load_snapshot(spark, root, "through", version).first()["batch"]
+        rows = rows.where(F.col("batch") > done).drop("batch").unionByName(tables.load_snapshot(spark, root, "base", version))
+        return latest(rows, keys, order)
+    return latest(rows.drop("batch"), keys, order)
 
 
 def stream_ingest(files: DataFrame, entities: DataFrame, target: str, checkpoint: str, **options) -> StreamingQuery:

@@ -62,6 +62,13 @@ def test_packing_and_sections(spark):
     assert [c.content for c in whole] == [long]
 
 
+def test_chunking_is_linear_in_the_text(spark):
+    body = "\n\n".join(f"paragraph {k} with some words" for k in range(30_000))
+    df = spark.createDataFrame([("## One\n" + body,)], "b string")
+    (got,) = df.select(md.chunks_of(F.col("b"), F.lit("")).alias("c")).first()
+    assert "\n\n".join(c.content for c in got) == body
+
+
 def test_validation(spark):
     rows = [
         ("k/1.md", HEADER + "body"), ("k/2.md", HEADER), ("k/3.md", "no header"), ("k/4.md", "---\n---\n"),

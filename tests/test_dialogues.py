@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidentia.operators import conversations as cv, feedback as fb, limiter, visitors as vs
 from evidentia.operators.skew import number_rows
 from evidentia.streaming import limiter as stream_limiter, memory, runs
-from evidentia.streaming.tables import stream_ingest
+from evidentia.streaming.tables import compact, read_latest, stream_ingest
 from evidentia.plans.ingest import stored
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -146,3 +146,43 @@ def test_stream_ingest_adds_and_changes(spark, tmp_path):
         stream_ingest(stream, entities, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     _, chunks, version = stored(spark, str(tmp_path / "out"))
     assert version == 2 and sorted(r.content.split()[0] for r in chunks.collect()) == ["beta", "gamma"]
+
+
+def test_no_message_is_left_out_of_long_histories(spark):
+    messages = talk(spark, 1300)
+    state = spark.createDataFrame([(1, "", 0)], "conversation_id long, summary string, summarized_through_sequence int")
+    assert cv.unsummarized(state, messages).count() == 1292
+    lines = [f"{'用户' if i % 2 else '助手'}：m{i} words" for i in range(1, 1293)]
+    whole = cv.roll_summary(state, messages, max_chars=10**6).first()
+    assert whole.summary == "\n".join(lines) and whole.summarized_through_sequence == 1292
+    short = cv.roll_summary(state, messages, max_chars=1000).first()
+    text = "\n".join(lines)
+    assert short.summary == text[:600] + "\n…\n" + text[-397:] and short.summarized_through_sequence == 1292
+    none = spark.createDataFrame([], "message_id long, rating int, reason string, comment string")
+    assert cv.transcript_with_feedback(messages, none).count() == 1300
+    assert cv.transcript_with_feedback(messages, none, limit=7).count() == 7
+
+
+def test_requests_without_a_policy_are_marked(spark):
+    rows = requests(spark, [("a", 1.0), ("a", 2.0)])
+    asked = rows.withColumn("namespace", F.when(F.col("request_id") == 0, "known").otherwise("other"))
+    policy = spark.createDataFrame([("known", 5, None)], "namespace string, minute_limit int, daily_limit int")
+    got = {r.request_id: r.accepted for r in limiter.admit_by_policy(asked, policy).collect()}
+    assert got == {0: True, 1: None}
+
+
+def test_compacted_batches_are_not_read_again(spark, tmp_path):
+    root = str(tmp_path / "t")
+
+    def add(number, rows):
+        spark.createDataFrame(rows, "k int, v int").write.parquet(f"{root}/delta/batch={number}")
+
+    add(0, [(1, 1), (2, 1)])
+    add(1, [(2, 2)])
+    compact(spark, root, ["k"], ["v"])
+    add(2, [(3, 1), (1, 5)])
+    got = read_latest(spark, root, ["k"], ["v"])
+    assert sorted(map(tuple, got.select("k", "v").collect())) == [(1, 5), (2, 2), (3, 1)]
+    assert not [f for f in got.inputFiles() if "batch=0" in f or "batch=1" in f]
+    compact(spark, root, ["k"], ["v"])
+    assert read_latest(spark, root, ["k"], ["v"]).count() == 3

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from driver_queries.tables import chunks, general_plans, general_targets, questions
 from evidentia.operators import candidates as find, evidence as ev, fusion, routing
 from evidentia.operators.substring_join import substring_join
+from evidentia.plans.answer import route_answers as plan_answers
 from evidentia.plans.retrieval import retrieve
 
 CHUNK = "chunk_id long, document_id long, project_id long, title string, section string, content string, tags array<string>, embedding array<float>, visibility string, confidence string"
@@ -172,3 +173,21 @@ def test_alias_title_boost(spark):
     joined = asked.join(fusion.mentioned_names(asked, names), "target_id", "left")
     boost = fusion.title_boost(F.lit("关于 分拣平台 的说明"), F.col("query"), F.col("mentioned"))
     assert {r.target_id: r.b for r in joined.select("target_id", boost.alias("b")).collect()} == {"t1": 0.1, "t2": 0.0}
+
+
+def test_citations_are_redacted(spark):
+    schema = "question_id long, chunk_id string, title string, section string, content string, tags array<string>, score double, rank int"
+    evidence = spark.createDataFrame([(1, "c", "t", "s", "password = abcdefghijklmnop1234 and more", [], 0.9, 1)], schema)
+    assert "abcdefghijklmnop" not in ev.format_citations(evidence).first().content_preview
+
+
+def test_list_questions_go_through_the_gates(spark):
+    schema = "question_id long, question string, intent string, expected_coverage array<string>, context_limit int"
+    plan = spark.createDataFrame([(1, "列出项目", routing.LIST, [], 5), (2, "独立完成的项目列出", routing.LIST, [], 5), (3, "", "general", [], 5)], schema)
+    none = spark.createDataFrame([], "question_id long, chunk_id string, title string, section string, content string, tags array<string>, score double, rank int")
+    missing = spark.createDataFrame([], "question_id long, missing array<string>")
+    known = spark.createDataFrame([], "faq_order int, title string, answer string")
+    got = {r.question_id: r for r in plan_answers(plan, none, missing, known, entities(spark), list_lead="{n}:").collect()}
+    assert got[1].route == "list" and got[1].answer.startswith("4:\n\n1. ") and got[1].citations[0].id == "catalogue"
+    assert got[2].route == "insufficient" and got[2].citations is None
+    assert got[3].route == "empty"
