@@ -30,7 +30,10 @@ def normalised(text: str) -> str:
 
 
 def suffix_automaton(codes: np.ndarray, alphabet: int) -> np.ndarray:
-    """The transitions of the minimal automaton of all substrings, ``[state, code]``, -1 where there is none."""
+    """The transitions of the minimal automaton of all substrings, ``[state, code]``, -1 where there is none.
+
+    The last row is a state without transitions.
+    """
     size = 2 * len(codes) + 2
     step = np.full((size, alphabet), -1, dtype=np.int32)
     link, length = [-1] * size, [0] * size
@@ -60,7 +63,7 @@ def suffix_automaton(codes: np.ndarray, alphabet: int) -> np.ndarray:
     for state in range(used):
         for c, to in rows[state].items():
             step[state, c] = to
-    return step[:used]
+    return step[: used + 1]
 
 
 @dataclass
@@ -108,9 +111,10 @@ class Model:
 
 def _greedy(flat: np.ndarray, alphabet: int, table: np.ndarray, alive: np.ndarray) -> np.ndarray:
     """The phrases of every column of ``table``: a phrase ends where the automaton cannot read on."""
-    state = np.zeros(table.shape[1], dtype=np.int32)
-    cuts = np.ones(table.shape[1], dtype=np.int32)
-    root = np.maximum(flat[:alphabet], 0)  # a character no sample has is a phrase of its own
+    dead = len(flat) // alphabet - 1  # the state behind a character that no sample has, and before the first one
+    state = np.full(table.shape[1], dead, dtype=np.int32)
+    cuts = np.zeros(table.shape[1], dtype=np.int32)
+    root = np.where(flat[:alphabet] < 0, dead, flat[:alphabet])
     for place in range(table.shape[0]):
         n = alive[place]
         codes = table[place, :n]

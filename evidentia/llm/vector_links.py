@@ -63,8 +63,8 @@ def _gap(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray, high_b: np.nd
 class _Pair:
     """The join of two sequence intervals: their links as counts per row and as a spanning forest."""
 
-    def __init__(self, left: dict, right: dict | None, least: float, epsilon2: float):
-        self.least, self.epsilon2 = least, epsilon2
+    def __init__(self, left: dict, right: dict | None, least: float, epsilon2: float, leaf_rows: int):
+        self.least, self.epsilon2, self.leaf_rows = least, epsilon2, leaf_rows
         self.a = _rows(left)
         self.b = self.a if right is None else _rows(right)
         self.same = right is None
@@ -84,7 +84,7 @@ class _Pair:
         if _gap(keys_a.min(0), keys_a.max(0), keys_b.min(0), keys_b.max(0)) > self.epsilon2:
             return
         n, m = a.stop - a.start, b.stop - b.start
-        if max(n, m) <= LEAF_ROWS:
+        if max(n, m) <= self.leaf_rows:
             self.leaf(a, b)
         elif self.same and a == b:
             half = (a.start + a.stop) // 2
@@ -130,11 +130,11 @@ def _rows(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 _BLOCK = "block string, width int, ids binary, vectors binary, keys binary, copies binary, low array<double>, high array<double>"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[pa.RecordBatch]:
     """Runs of the sorted rows as blocks with the box of their keys."""
     for batch in batches:
-        for start in range(0, batch.num_rows, BLOCK_ROWS):
-            part = batch.slice(start, BLOCK_ROWS)
+        for start in range(0, batch.num_rows, block_rows):
+            part = batch.slice(start, block_rows)
             keys, vectors = _matrix(part.column("key")), _matrix(part.column("vector"))
             narrow = vectors.astype(np.float32)
             if np.array_equal(narrow, vectors):  # given in single precision: sent as such, computed in double
@@ -149,7 +149,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def vector_links(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def vector_links(
+    vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS,
+    leaf_rows: int = LEAF_ROWS,
+) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row per input row.
 
     Rows link when their cosine, in double precision, is at least ``least``; null, zero and non-finite vectors, vectors
@@ -187,8 +190,8 @@ def vector_links(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
 
     keyed = map_batches(classes, project, "rep long, copies long, vector array<double>, key array<double>, cell array<int>")
     order = [*(F.col("cell")[k] for k in range(axes.shape[1])), F.col("rep")]
-    blocks = keep(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_blocks, _BLOCK), "intervals")
-    found = keep(_joined(blocks, least, epsilon2), "joined")
+    blocks = keep(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda rows: _blocks(rows, block_rows), _BLOCK), "intervals")
+    found = keep(_joined(blocks, least, epsilon2, leaf_rows), "joined")
     direct = found.filter("b is null").groupBy(F.col("a").alias("_rep")).agg(F.sum("n").alias("_links"))
     component = connected_components(found.filter("b is not null"))
     of_class = (
@@ -202,7 +205,7 @@ def vector_links(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     )
 
 
-def _joined(blocks: DataFrame, least: float, epsilon2: float) -> DataFrame:
+def _joined(blocks: DataFrame, least: float, epsilon2: float, leaf_rows: int) -> DataFrame:
     """``(a, b, n)``: links of a spanning forest for each pair of blocks, and (b null) link counts per row."""
     epsilon = epsilon2**0.5
     boxes = blocks.select("block", "low", "high")
@@ -218,14 +221,14 @@ def _joined(blocks: DataFrame, least: float, epsilon2: float) -> DataFrame:
     data = ["width", "ids", "vectors", "keys", "copies"]
     one = blocks.select(F.col("block").alias("i"), F.struct(*data).alias("left"))
     two = blocks.select(F.col("block").alias("j"), F.struct(*data).alias("right"))
-    return map_batches(pairs.join(one, "i").join(two, "j").select("i", "j", "left", "right"), _meet(least, epsilon2), "a long, b long, n long")
+    return map_batches(pairs.join(one, "i").join(two, "j").select("i", "j", "left", "right"), _meet(least, epsilon2, leaf_rows), "a long, b long, n long")
 
 
-def _meet(least: float, epsilon2: float):
+def _meet(least: float, epsilon2: float, leaf_rows: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j, left, right in zip(*(batch.column(c) for c in ("i", "j", "left", "right"))):
             same = i.as_py() == j.as_py()
-            pair = _Pair(left.as_py(), None if same else right.as_py(), least, epsilon2)
+            pair = _Pair(left.as_py(), None if same else right.as_py(), least, epsilon2, leaf_rows)
             pair.join(slice(0, len(pair.a[0])), slice(0, len(pair.b[0])))
             sides = [(pair.a[0], pair.links_a)] + ([] if same else [(pair.b[0], pair.links_b)])
             ids = np.concatenate([x[n > 0] for x, n in sides])

@@ -49,13 +49,11 @@ def cloud(seed, n):
 
 
 @pytest.mark.parametrize("block, leaf", [(2048, 256), (32, 8)])
-def test_links_match_brute_force(spark, monkeypatch, block, leaf):
-    monkeypatch.setattr(vl, "BLOCK_ROWS", block)
-    monkeypatch.setattr(vl, "LEAF_ROWS", leaf)
+def test_links_match_brute_force(spark, block, leaf):
     odd = [(9000, None), (9001, [0.0] * 4), (9002, [1.0, float("nan"), 0.0, 0.0]), (9003, [1.0, None, 0.0, 0.0]), (9004, [float("inf"), 0.0, 0.0, 0.0]),
            (9005, [1.0, 2.0]), (9006, []), (None, [1.0, 0.0, 0.0, 0.0])]
     rows = cloud(block, 300) + odd
-    assert rows_of(vl.vector_links(make(spark, rows))) == brute(rows)
+    assert rows_of(vl.vector_links(make(spark, rows), block_rows=block, leaf_rows=leaf)) == brute(rows)
 
 
 def test_many_copies_of_one_vector(spark):
@@ -74,12 +72,11 @@ def test_nothing_usable_and_no_rows(spark):
 
 
 def test_distant_blocks_do_not_meet(spark, monkeypatch):
-    monkeypatch.setattr(vl, "BLOCK_ROWS", 16)
     met = []
     monkeypatch.setattr(vl, "keep", lambda df, name, keep=vl.keep: (met.append((name, keep(df, name))), met[-1][1])[1])
     r = np.random.default_rng(1)
     around = [(k, [math.cos(t), math.sin(t), 0.0, 0.0]) for k, t in enumerate(np.sort(r.uniform(0, 6.28, 512)).tolist())]
-    found = vl.vector_links(spark.createDataFrame(around, "vec_id long, embedding array<double>"))
+    found = vl.vector_links(spark.createDataFrame(around, "vec_id long, embedding array<double>"), block_rows=16)
     assert found.filter(F.col("n_links") > 0).count() > 0
     tables = dict(met)
     blocks = tables["intervals"].count()
