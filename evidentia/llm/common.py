@@ -42,6 +42,11 @@ def keep(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_small(df: DataFrame, name: str, per_core: int = 1) -> DataFrame:
+    """``keep`` for a table small beside the corpus: no more files than ``per_core`` for each core of the cluster."""
+    return keep(df.coalesce(max(1, per_core * df.sparkSession.sparkContext.defaultParallelism)), name)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``fn`` on every Arrow batch by itself; nothing is held from one batch to the next."""
 

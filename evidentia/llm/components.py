@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from evidentia.llm.common import keep
+from evidentia.llm.common import keep_small
 
 
 def _none(df: DataFrame) -> bool:
@@ -22,16 +22,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Self-links and repeated links are ignored; null ends and an empty table give no rows.
     """
-    links = keep(_ordered(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))), "links")
+    links = keep_small(_ordered(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))), "links")
     label: DataFrame | None = None
     while not _none(links):
-        parent = _jump(keep(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")), "hooks"))
+        parent = _jump(keep_small(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")), "hooks"))
         if label is None:
             roots = links.select(F.col("a").alias("node")).distinct().join(parent.select("node"), "node", "left_anti")
             label = parent.unionByName(roots.withColumn("parent", F.col("node")))
         else:
             label = _follow(label, parent)
-        links = keep(_ordered(_follow(_follow(links, parent, "a"), parent, "b")), "links")
+        links = keep_small(_ordered(_follow(_follow(links, parent, "a"), parent, "b")), "links")
     if label is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return label.select("node", F.col("parent").alias("component"))
@@ -63,4 +63,4 @@ def _jump(parent: DataFrame) -> DataFrame:
         )
         if _none(inner):
             return parent
-        parent = keep(_follow(parent, parent), "jump")
+        parent = keep_small(_follow(parent, parent), "jump")

@@ -9,13 +9,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from evidentia.llm.common import keep, map_batches, prepare, text_frame
+from evidentia.llm.common import keep, keep_small, map_batches, prepare, text_frame
 from evidentia.llm.components import connected_components
 from evidentia.llm.words import WHITE_SPACE, mix, utf8, word_hashes
 from evidentia.session import broadcast_if_small
 
-BANDS, ROWS = 32, 4
-_SIZE = BANDS * ROWS  # coordinates of a sketch, a power of two
+#: A pair of similarity 0.8 shares no band with probability (1 - 0.8**6)**42, three in a million.
+BANDS, ROWS = 42, 6
+_SIZE = 256  # coordinates of a sketch, a power of two; the bands use the first ones
 _BITS = _SIZE.bit_length() - 1
 _SHIFT = np.uint64(64 - _BITS)
 #: A seed for each round; round 0 uses the shingle hashes as they are.
@@ -78,7 +79,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 def band_keys(coordinates: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band of a sketch; bands never share keys."""
-    parts = coordinates.reshape(BANDS, ROWS) * _ODD[:ROWS]
+    parts = coordinates[: BANDS * ROWS].reshape(BANDS, ROWS) * _ODD[:ROWS]
     return mix(parts.sum(axis=1, dtype=np.uint64) + _ODD[:BANDS]).view(np.int64)
 
 
@@ -153,8 +154,7 @@ def near_duplicates(
         "classes",
     )
     members = keep(_shared_buckets(classes), "buckets")
-    links = _verified_links(texts, members, size, percent)
-    component = connected_components(links)
+    component = _connected(texts, members, size, percent)
     of_class = classes.select(F.col("set_id").alias("_set"), "rep").join(
         component, F.col("rep") == F.col("node"), "left"
     ).select("_set", F.coalesce("component", "rep").alias("_component"))
@@ -167,7 +167,7 @@ def near_duplicates(
 def _one_node(labelled: DataFrame) -> DataFrame:
     """Rows that repeat an id with other texts join their groups through the id."""
     again = labelled.groupBy("doc_id").agg(F.min("component_id").alias("_least"), F.max("component_id").alias("_most"))
-    bridges = keep(again.filter("_least < _most"), "bridges")
+    bridges = keep_small(again.filter("_least < _most"), "bridges")
     if not bridges.take(1):
         return labelled
     both = labelled.join(bridges.select("doc_id"), "doc_id", "left_semi").select(
@@ -190,8 +190,8 @@ def _shared_buckets(classes: DataFrame) -> DataFrame:
     )
 
 
-def _verified_links(texts: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links that connect all documents connected by candidate pairs similar enough."""
+def _connected(texts: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """``(node, component)`` of the classes connected by candidate pairs similar enough, as a written table."""
     wanted = broadcast_if_small(members.select(F.col("rep").alias("doc_id")).distinct(), _SMALL)
     chosen = texts.join(wanted, "doc_id", "left_semi")
     sets = keep(map_batches(chosen, _sets(size), "doc_id long, shingles binary"), "sets")
@@ -199,23 +199,26 @@ def _verified_links(texts: DataFrame, members: DataFrame, size: int, percent: in
     def verified(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left_set"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right_set"))
-        return keep(map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "left_set", "right_set"), _agree(percent), "a long, b long"), "links")
+        return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "left_set", "right_set"), _agree(percent), "a long, b long")
 
-    tried = keep(_pairs(members, percent), "pairs")
-    links = verified(tried)
+    tried = keep_small(_pairs(members, percent), "pairs")
+    links = keep_small(verified(tried), "links", per_core=4)
     left = members.filter("rep != centre").select("key", "rep", "n")
     centres = 4
     while True:
-        left = keep(_undecided(left, links), "undecided")
+        component = connected_components(links)
+        left = keep_small(_undecided(left, component), "undecided")
         if not left.take(1):
-            return links
-        picked = (F.pmod(F.xxhash64("rep", F.lit(centres)), F.col("m")) < centres)
+            return component
+        picked = F.pmod(F.xxhash64("rep", F.lit(centres)), F.col("m")) < centres
         chosen = left.filter(picked).select(
             F.col("key").alias("_key"), F.col("rep").alias("centre"), F.col("n").alias("centre_n"), F.col("component").alias("_of")
         )
         met = left.join(chosen, (F.col("key") == F.col("_key")) & (F.col("component") != F.col("_of")))
-        pairs = keep(_pairs(met, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(verified(pairs))
+        pairs = keep_small(_pairs(met, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+        # The components stand for the links found so far.
+        known = component.filter("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        links = known.unionByName(keep_small(verified(pairs), "links", per_core=4))
         tried = tried.unionByName(pairs)
         left = left.filter(~picked).drop("component")
         centres *= 4
@@ -229,9 +232,8 @@ def _pairs(met: DataFrame, percent: int) -> DataFrame:
     ).distinct()
 
 
-def _undecided(left: DataFrame, links: DataFrame) -> DataFrame:
+def _undecided(left: DataFrame, component: DataFrame) -> DataFrame:
     """Members, with their components, of buckets that still hold several components."""
-    component = connected_components(links)
     labelled = left.join(component, F.col("rep") == F.col("node"), "left").select(
         "key", "rep", "n", F.coalesce("component", "rep").alias("component")
     )
