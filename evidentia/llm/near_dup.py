@@ -24,6 +24,9 @@ _SEEDS = mix(np.arange(2 * _SIZE, dtype=np.uint64) + np.uint64(77))
 _EDGES = np.arange(_SIZE + 1, dtype=np.uint64)[:-1] << _SHIFT
 _ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _PER_PASS = 2048  # hashes of several rounds that a short set computes at once
+#: Members of a bucket in a block, and shared hashes that two blocks compare at a time.
+_BLOCK, _SLICE = 64, 16384
+_NONE = -(2**63)
 #: Ids of documents that share a bucket, as a broadcast filter of the second text scan: 8 bytes each.
 _SMALL = 1_000_000
 
@@ -136,10 +139,9 @@ def near_duplicates(
     the smallest id reachable by links; ``kept`` tells that it is the row's own.
 
     Equal sets are one class and go on as its smallest id. Classes that share a band's key are
-    candidates. In a bucket, a few members at a time are centres that meet all members that are not
-    connected with them yet; the number of centres grows fourfold a round until nothing is left,
-    so each pair of a bucket is verified on full sets unless its ends are connected
-    already. A large group of near copies is settled by its first centre.
+    candidates. The smallest member of a bucket meets all others first, which settles most groups of
+    near copies. Where a bucket still holds several components, its members meet in blocks, every two once,
+    so each pair of a bucket is verified on full sets unless its ends are connected already.
 
     An id that repeats is one node. Null ids are kept and not linked. No rows for an empty
     table; other columns are not read.
@@ -201,27 +203,93 @@ def _connected(texts: DataFrame, members: DataFrame, size: int, percent: int) ->
         right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right_set"))
         return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "left_set", "right_set"), _agree(percent), "a long, b long")
 
-    tried = keep_small(_pairs(members, percent), "pairs")
-    links = keep_small(verified(tried), "links", per_core=4)
-    left = members.filter("rep != centre").select("key", "rep", "n")
-    centres = 4
-    while True:
-        component = connected_components(links)
-        left = keep_small(_undecided(left, component), "undecided")
-        if not left.take(1):
-            return component
-        picked = F.pmod(F.xxhash64("rep", F.lit(centres)), F.col("m")) < centres
-        chosen = left.filter(picked).select(
-            F.col("key").alias("_key"), F.col("rep").alias("centre"), F.col("n").alias("centre_n"), F.col("component").alias("_of")
-        )
-        met = left.join(chosen, (F.col("key") == F.col("_key")) & (F.col("component") != F.col("_of")))
-        pairs = keep_small(_pairs(met, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-        # The components stand for the links found so far.
-        known = component.filter("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-        links = known.unionByName(keep_small(verified(pairs), "links", per_core=4))
-        tried = tried.unionByName(pairs)
-        left = left.filter(~picked).drop("component")
-        centres *= 4
+    links = keep_small(verified(_pairs(members, percent)), "links", per_core=4)
+    component = connected_components(links)
+    left = keep_small(_undecided(members.filter("rep != centre").select("key", "rep", "n"), component), "undecided")
+    if not left.take(1):
+        return component
+    known = component.filter("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    found = keep_small(_block_links(left, sets, percent), "links", per_core=4)
+    return connected_components(known.unionByName(found))
+
+
+def _block_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join different components within a bucket.
+
+    The members of a bucket form blocks of about ``_BLOCK`` and every two blocks meet once: what is shuffled
+    and joined are blocks, what comes out is a spanning forest. A component with a block's worth of members has blocks
+    of its own, and those do not meet each other.
+    """
+    own = left.groupBy(F.col("key").alias("_key"), F.col("component").alias("_component")).agg(F.count(F.lit(1)).alias("_c"))
+    placed = left.join(own, (F.col("key") == F.col("_key")) & (F.col("component") == F.col("_component")))
+    large = F.col("_c") >= _BLOCK
+    placed = placed.select(
+        "key", "rep", "component", F.when(large, F.col("component")).alias("whole"),
+        F.when(large, F.pmod(F.xxhash64("rep"), F.ceil(F.col("_c") / _BLOCK)))
+        .otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("m") / _BLOCK))).alias("part"),
+    )
+    filled = placed.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    blocks = keep(
+        filled.groupBy("key", "whole", "part").agg(F.collect_list(F.struct("rep", "component", "shingles")).alias("members"))
+        .withColumn("block", F.struct(F.coalesce("whole", F.lit(_NONE)).alias("whole"), "part")).select("key", "whole", "block", "members"),
+        "blocks",
+    )
+    other = blocks.select(*(F.col(c).alias(f"_{c}") for c in blocks.columns))
+    different = F.coalesce(F.col("whole") != F.col("_whole"), F.lit(True))
+    met = blocks.join(other, (F.col("key") == F.col("_key")) & (F.col("block") <= F.col("_block")) & different)
+    return map_batches(met.select("members", "_members"), _meet(percent), "a long, b long").distinct()
+
+
+def _meet(percent: int):
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        links = []
+        for left, right in zip(batch.column(0), batch.column(1)):
+            links += _forest(left.as_py(), right.as_py(), percent)
+        a, b = zip(*links) if links else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _forest(left: list[dict], right: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Links between members of two blocks that connect components not connected by one before."""
+    common = _intersections([m["shingles"] for m in left], [m["shingles"] for m in right])
+    sizes = [np.array([len(m["shingles"]) // 8 for m in side], dtype=np.int64) for side in (left, right)]
+    similar = 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    links = []
+    for i, j in zip(*np.nonzero(similar)):
+        p, q = root(left[i]["component"]), root(right[j]["component"])
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            links.append((left[i]["rep"], right[j]["rep"]))
+    return links
+
+
+def _intersections(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """The sizes of the intersections of all sets of two lists, a slice of the common hashes at a time."""
+    sides = [[np.frombuffer(x, dtype=np.uint64) for x in side] for side in (left, right)]
+    flat = [np.concatenate(side) for side in sides]
+    rows = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in sides]
+    shared = np.intersect1d(flat[0], flat[1])
+    total = np.zeros((len(left), len(right)), dtype=np.int64)
+    for low in range(0, len(shared), _SLICE):
+        part = shared[low : low + _SLICE]
+        dense = []
+        for hashes, row, side in zip(flat, rows, sides):
+            at = np.minimum(np.searchsorted(part, hashes), len(part) - 1)
+            there = part[at] == hashes
+            matrix = np.zeros((len(side), len(part)), dtype=np.float32)
+            matrix[row[there], at[there]] = 1
+            dense.append(matrix)
+        total += (dense[0] @ dense[1].T).astype(np.int64)  # exact: counts below 2**24
+    return total
 
 
 def _pairs(met: DataFrame, percent: int) -> DataFrame:

@@ -78,6 +78,21 @@ def test_a_large_group_of_copies(documents):
     assert rows(found) == brute(docs, 4) and sum(r.kept for r in found.collect()) == 51
 
 
+def test_many_copies_around_the_threshold(documents):
+    """Copies of one text that are partly similar enough, in several components that share buckets."""
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(70)]
+    docs = []
+    for k in range(260):
+        text = list(base)
+        for at in r.sample(range(70), r.randint(1, 5)):
+            text[at] = f"x{r.randrange(10**6)}"
+        docs.append((k, " ".join(text)))
+    expected = brute(docs, 4)
+    assert 5 < len({c for _, _, c in expected}) < 250
+    assert rows(near_duplicates(documents(docs), size=4)) == expected
+
+
 def test_given_documents(documents, given):
     assert rows(near_duplicates(documents(given), size=4)) == brute(given, 4)
 
