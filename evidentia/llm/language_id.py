@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ from evidentia.llm.common import map_batches, prepare
 SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_TOTAL = 200, 400, 60_000
 #: A phrase ends where a segment of a text ends; segments of equal length are parsed side by side.
 SEGMENT = 1024
+#: Letters, the most frequent ones, whose transitions are a dense table; those of all others are hashed.
+DENSE = 250
 
 
 def normalised(text: str) -> str:
@@ -34,8 +36,12 @@ def suffix_automaton(codes: np.ndarray, alphabet: int) -> np.ndarray:
 
     The last row is a state without transitions.
     """
+    return _dense(_transitions(codes), alphabet)
+
+
+def _transitions(codes: np.ndarray) -> list[dict[int, int]]:
+    """The transitions of each state."""
     size = 2 * len(codes) + 2
-    step = np.full((size, alphabet), -1, dtype=np.int32)
     link, length = [-1] * size, [0] * size
     rows = [dict() for _ in range(size)]
     last, used = 0, 1
@@ -60,27 +66,70 @@ def suffix_automaton(codes: np.ndarray, alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    for state in range(used):
-        for c, to in rows[state].items():
-            step[state, c] = to
-    return step[: used + 1]
+    return rows[:used]
+
+
+def _dense(rows: list[dict[int, int]], alphabet: int) -> np.ndarray:
+    """The transitions on codes below ``alphabet``."""
+    step = np.full((len(rows) + 1, alphabet), -1, dtype=np.int32)
+    for state, row in enumerate(rows):
+        for c, to in row.items():
+            if c < alphabet:
+                step[state, c] = to
+    return step
+
+
+class Hashed:
+    """Transitions on codes from ``alphabet`` on, by open addressing with linear probing."""
+
+    def __init__(self, rows: list[dict[int, int]], alphabet: int):
+        found = [(state << 32 | c, to) for state, row in enumerate(rows) for c, to in row.items() if c >= alphabet]
+        self.bits = max(4, (4 * len(found)).bit_length())
+        self.keys, self.to = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.int32)
+        if not found:
+            return
+        keys, to = np.array([k for k, _ in found], dtype=np.int64), np.array([t for _, t in found], dtype=np.int32)
+        slots = self._slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slots] < 0)
+            free = free[np.unique(slots[free], return_index=True)[1]]
+            self.keys[slots[free]], self.to[slots[free]] = keys[free], to[free]
+            left = np.ones(len(keys), dtype=bool)
+            left[free] = False
+            keys, to, slots = keys[left], to[left], (slots[left] + 1) & (len(self.keys) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Where each state goes on its code, -1 where nowhere."""
+        keys = states.astype(np.int64) << 32 | codes
+        out, at, slots = np.full(len(keys), -1, dtype=np.int32), np.arange(len(keys)), self._slots(keys)
+        while len(at):
+            there = self.keys[slots]
+            same = there == keys[at]
+            out[at[same]] = self.to[slots[same]]
+            on = ~same & (there >= 0)
+            at, slots = at[on], (slots[on] + 1) & (len(self.keys) - 1)
+        return out
 
 
 @dataclass
 class Model:
-    """One automaton per language over a common alphabet."""
+    """One automaton per language over a common alphabet: dense ``steps`` on its first codes, ``rare`` ones on the others."""
 
     languages: list[str]
     letters: str
     steps: list[np.ndarray]
+    rare: list[Hashed] = field(default_factory=list)
 
     def __post_init__(self):
-        self._code = np.zeros(0x110000, dtype=np.uint8)  # 0: a character that no sample has
+        self._code = np.zeros(0x110000, dtype=np.uint16 if len(self.letters) < 1 << 16 else np.int32)  # 0: a character that no sample has
         for k, letter in enumerate(self.letters):
             self._code[ord(letter)] = k + 1
 
     def __reduce__(self):
-        return Model, (self.languages, self.letters, self.steps)
+        return Model, (self.languages, self.letters, self.steps, self.rare)
 
     def encode(self, text: str) -> np.ndarray:
         return self._code[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)]
@@ -98,27 +147,38 @@ class Model:
             return counts
         order = np.argsort([-len(s) for s in segments], kind="stable")
         width = np.array([len(segments[k]) for k in order])
-        table = np.zeros((width[0], len(order)), dtype=np.uint8)
+        table = np.zeros((width[0], len(order)), dtype=self._code.dtype)
         for column, k in enumerate(order):
             table[: width[column], column] = segments[k]
         alive = np.searchsorted(-width, -np.arange(width[0]), side="left")  # segments longer than each place
         owner = np.array(owners)[order]
         for language, step in enumerate(self.steps):
-            cuts = _greedy(step.reshape(-1), step.shape[1], table, alive)
+            cuts = _greedy(step, self.rare[language] if self.rare else None, len(self.letters) + 1, table, alive)
             counts[:, language] = np.bincount(owner, weights=cuts, minlength=len(texts))
         return counts
 
 
-def _greedy(flat: np.ndarray, alphabet: int, table: np.ndarray, alive: np.ndarray) -> np.ndarray:
+def _greedy(step: np.ndarray, rare: Hashed | None, letters: int, table: np.ndarray, alive: np.ndarray) -> np.ndarray:
     """The phrases of every column of ``table``: a phrase ends where the automaton cannot read on."""
-    dead = len(flat) // alphabet - 1  # the state behind a character that no sample has, and before the first one
+    flat, alphabet = step.reshape(-1), step.shape[1]
+    dead = len(step) - 1  # the state behind a character that no sample has, and before the first one
     state = np.full(table.shape[1], dead, dtype=np.int32)
     cuts = np.zeros(table.shape[1], dtype=np.int32)
-    root = np.where(flat[:alphabet] < 0, dead, flat[:alphabet])
+    root = flat[:alphabet]
+    if letters > alphabet:
+        more = np.arange(alphabet, letters)
+        root = np.concatenate((root, rare.find(np.zeros(len(more), dtype=np.int32), more)))
+    root = np.where(root < 0, dead, root)
+    mixed = (table >= alphabet).any(axis=1)
     for place in range(table.shape[0]):
         n = alive[place]
         codes = table[place, :n]
-        to = flat[state[:n] * alphabet + codes]
+        if mixed[place]:
+            to = flat[state[:n] * alphabet + np.where(codes < alphabet, codes, 0)]
+            other = np.flatnonzero(codes >= alphabet)
+            to[other] = rare.find(state[other], codes[other])
+        else:
+            to = flat[state[:n] * alphabet + codes]
         stuck = to < 0
         cuts[:n] += stuck
         state[:n] = np.where(stuck, root[codes], to)
@@ -151,9 +211,13 @@ def learn(
     counts: dict[str, int] = {}
     for letter in "".join(joined):
         counts[letter] = counts.get(letter, 0) + 1
-    letters = "".join(sorted(sorted(counts, key=lambda x: (-counts[x], x))[:250]))
-    model = Model(languages, letters, [])
-    model.steps = [suffix_automaton(model.encode(text), len(letters) + 1) for text in joined]
+    order = sorted(counts, key=lambda x: (-counts[x], x))
+    dense = sorted(order[:DENSE])
+    model = Model(languages, "".join(dense + order[DENSE:]), [])
+    for text in joined:
+        transitions = _transitions(model.encode(text))
+        model.steps.append(_dense(transitions, len(dense) + 1))
+        model.rare.append(Hashed(transitions, len(dense) + 1))
     return model
 
 

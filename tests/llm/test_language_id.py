@@ -89,3 +89,30 @@ def test_given_documents(spark):
     model = li.learn(table.filter("doc_id % 2 = 0"))
     found = li.predict(table.filter("doc_id % 2 = 1"), model)
     assert found.filter("lang = lang_pred").count() >= 0.95 * found.count()
+
+
+def test_every_sampled_letter_counts_and_unseen_ones_match_nothing(documents):
+    """Two languages of thousands of letters each, and texts of letters that neither has."""
+    r = random.Random(4)
+    own = {"xx": [chr(c) for c in range(0x4E00, 0x5600)], "yy": [chr(c) for c in range(0x5600, 0x5E00)]}
+    write = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    rows = [(k, write(own[lang], 150), lang) for k in range(200) for lang in own]
+    model = li.learn(documents(rows))
+    assert len(model.letters) > 3000
+    assert all((model.encode(t) > 0).all() for _, t, _ in rows)
+    texts = [write(own[lang], 80) for lang in own] + [rows[0][1] + "a" + rows[1][1], write([chr(c) for c in range(0xAC00, 0xD000)], 300)]
+    found = model.phrases(texts)
+    pieces = {lang: [t for _, t, x in rows if x == lang] for lang in own}
+    inside = lambda part, lang: any(part in t for t in pieces[lang])
+    for k, text in enumerate(texts):
+        for column, lang in enumerate(model.languages):
+            at = count = 0
+            while at < len(text):
+                to = at + 1
+                while to < len(text) and inside(text[at : to + 1], lang):
+                    to += 1
+                count, at = count + 1, to
+            assert found[k, column] == count
+    assert (found[3] == 300).all()
+    predicted = {row.doc_id: row.lang_pred for row in li.predict(documents([(k, rows[k][1][10:90], rows[k][2]) for k in (0, 1)]).drop("lang"), model).collect()}
+    assert predicted == {0: "xx", 1: "yy"}
