@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``(vec_id, vector)`` of the rows that can link: not null, finite, not zero, of the common dimension."""
+    """``(vec_id, vector)`` of the rows that can link: not null, finite, not zero."""
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.filter(F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
@@ -155,11 +156,11 @@ def vector_links(
 ) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row per input row.
 
-    Rows link when their cosine, in double precision, is at least ``least``; null, zero and non-finite vectors, vectors
-    of another dimension than most, and null ids link with nothing. ``n_links`` counts the
+    Rows link when their cosine, in double precision, is at least ``least``; null, zero and non-finite vectors
+    and null ids link with nothing, vectors of different dimensions not with each other. ``n_links`` counts the
     other rows linked directly, ``component_id`` is the smallest id reachable.
 
-    On unit vectors the condition is a distance of at most epsilon. Equal vectors are joined as one with a count. The
+    Each dimension is joined by itself. On unit vectors the condition is a distance of at most epsilon. Equal vectors are joined as one with a count. The
     others are sorted by their epsilon-wide grid cells on the leading principal dimensions and cut into
     intervals. Pairs of intervals whose boxes on these dimensions are within epsilon meet in a task,
     which splits them further and skips parts provably distant; it returns counts per row and a
@@ -168,16 +169,30 @@ def vector_links(
     """
     spark = prepare(vectors.sparkSession)
     usable = _usable(vectors, id_col, vector_col).filter("vec_id is not null")
-    sizes = usable.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").take(1)
-    dimension = sizes[0]["d"] if sizes else 0
-    usable = usable.filter(F.size("vector") == dimension).withColumn("_same", F.xxhash64("vector")).withColumn("_same2", F.hash("vector"))
+    usable = usable.withColumn("_same", F.xxhash64("vector")).withColumn("_same2", F.hash("vector"))
     classes = usable.groupBy("_same", "_same2").agg(
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")
     )
     classes = keep(classes, "vectors")
     everything = vectors.select(F.col(id_col).alias("vec_id"), F.xxhash64(F.col(vector_col).cast("array<double>")).alias("_s"), F.hash(F.col(vector_col).cast("array<double>")).alias("_s2"))
-    if not dimension:
-        return everything.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    sizes = classes.groupBy(F.size("vector").alias("d")).count().filter("count > 1").orderBy("d").collect()  # one row a dimension
+    parts = [_of_dimension(classes.filter(F.size("vector") == r["d"]), least, block_rows, leaf_rows).withColumn("d", F.lit(r["d"])) for r in sizes]
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "a long, b long, n long, d int")
+    direct = found.filter("b is null").groupBy(F.col("a").alias("_rep"), F.col("d").alias("_d")).agg(F.sum("n").alias("_links"))
+    component = connected_components(found.filter("b is not null"))
+    of_class = (
+        classes.join(direct, (F.col("rep") == F.col("_rep")) & (F.size("vector") == F.col("_d")), "left").join(component, F.col("rep") == F.col("node"), "left")
+        .select("_same", "_same2", (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("_n"), F.coalesce("component", "rep").alias("_c"))
+    )
+    marked = everything.join(of_class, (F.col("_s") == F.col("_same")) & (F.col("_s2") == F.col("_same2")) & F.col("vec_id").isNotNull(), "left")
+    return marked.select(
+        "vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_c", "vec_id").alias("component_id"),
+        F.coalesce(F.col("_c") == F.col("vec_id"), F.lit(True)).alias("kept"),
+    )
+
+
+def _of_dimension(classes: DataFrame, least: float, block_rows: int, leaf_rows: int) -> DataFrame:
+    """The links among different vectors of one dimension, as ``_joined`` gives them."""
     axes, epsilon2 = principal_axes(classes), 2 - 2 * least + 1e-9
 
     def project(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -191,18 +206,7 @@ def vector_links(
     keyed = map_batches(classes, project, "rep long, copies long, vector array<double>, key array<double>, cell array<int>")
     order = [*(F.col("cell")[k] for k in range(axes.shape[1])), F.col("rep")]
     blocks = keep(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda rows: _blocks(rows, block_rows), _BLOCK), "intervals")
-    found = keep(_joined(blocks, least, epsilon2, leaf_rows), "joined")
-    direct = found.filter("b is null").groupBy(F.col("a").alias("_rep")).agg(F.sum("n").alias("_links"))
-    component = connected_components(found.filter("b is not null"))
-    of_class = (
-        classes.join(direct, F.col("rep") == F.col("_rep"), "left").join(component, F.col("rep") == F.col("node"), "left")
-        .select("_same", "_same2", (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("_n"), F.coalesce("component", "rep").alias("_c"))
-    )
-    marked = everything.join(of_class, (F.col("_s") == F.col("_same")) & (F.col("_s2") == F.col("_same2")) & F.col("vec_id").isNotNull(), "left")
-    return marked.select(
-        "vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_c", "vec_id").alias("component_id"),
-        F.coalesce(F.col("_c") == F.col("vec_id"), F.lit(True)).alias("kept"),
-    )
+    return keep(_joined(blocks, least, epsilon2, leaf_rows), "joined")
 
 
 def _joined(blocks: DataFrame, least: float, epsilon2: float, leaf_rows: int) -> DataFrame:

@@ -81,3 +81,29 @@ def test_distant_blocks_do_not_meet(spark, monkeypatch):
     tables = dict(met)
     blocks = tables["intervals"].count()
     assert tables["block-pairs"].count() < 0.6 * blocks * (blocks + 1) / 2
+
+
+def test_every_dimension_links_within_itself(spark):
+    three = [(10_000 + k, v[:3]) for k, v in cloud(7, 80)]
+    two = [(20_000 + k, v[:2]) for k, v in cloud(8, 20)] + [(30_000, [3.0]), (30_001, [5.0]), (30_002, [-1.0]), (40_000, [1.0] * 5), (40_001, [1.0] * 5)]
+    four = cloud(9, 100)
+
+    def plain(rows):
+        """``brute`` knows four dimensions only."""
+        units = {k: np.array(v, dtype=np.float64) / np.linalg.norm(v) for k, v in rows}
+        links = {k: [j for j in units if j != k and len(units[j]) == len(units[k]) and units[j] @ units[k] >= 0.9] for k in units}
+        smallest = dict.fromkeys(units)
+        for k in sorted(units):
+            todo = [k] if smallest[k] is None else []
+            while todo:
+                at = todo.pop()
+                if smallest[at] is None:
+                    smallest[at] = k
+                    todo += links[at]
+        return sorted(((k, len(links[k]), smallest[k]) for k in units), key=str)
+
+    rows = four + three + two
+    assert rows_of(vl.vector_links(make(spark, rows), block_rows=32, leaf_rows=8)) == plain(rows)
+    # An id with vectors of two dimensions is one node.
+    found = rows_of(vl.vector_links(make(spark, [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (2, [1.0, 0.0, 0.0]), (3, [1.0, 0.01, 0.0])])))
+    assert found == [(1, 1, 1), (2, 1, 1), (2, 1, 1), (3, 1, 1)]
