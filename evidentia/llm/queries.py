@@ -9,7 +9,9 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidentia.llm import language_id, line_dedup, lm_scores, near_dup, packing, phrase_index, secrets, shards, vector_links, warc
+from evidentia.llm import (
+    histogram_packing, language_id, line_dedup, lm_scores, near_dup, packing, phrase_index, secrets, shards, vector_links, warc, whitening,
+)
 from evidentia.llm.common import fold, map_batches, prepare
 
 QUERIES: dict = {}
@@ -171,3 +173,15 @@ def op4_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probabilities of all documents, learned from six folds out of seven."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held", fold(7) == 2)
     return lm_scores.score_texts(docs, public_tokenizers.path("word_bpe_49k.json"), held_out="held")
+
+
+@query()
+def op11_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens by repeat counts fitted to the histogram of lengths."""
+    return histogram_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op13_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable vectors on up to 16 whitened components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
