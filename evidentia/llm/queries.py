@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidentia.llm import (
-    histogram_packing, language_id, line_dedup, lm_scores, near_dup, packing, phrase_index, secrets, shards, vector_links, warc, whitening,
+    histogram_packing, language_id, line_dedup, lm_scores, near_dup, packing, phrase_index, prefix_trie, secrets, shards,
+    vector_links, warc, whitening,
 )
 from evidentia.llm.common import fold, map_batches, prepare
 
@@ -185,3 +186,47 @@ def op11_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All usable vectors on up to 16 whitened components."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+_HEADS = """
+list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda bits, _: xor(bits >> 1, 3988292384 * (bits & 1))))"""
+
+
+@query(
+    f"""
+WITH own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, md5(coalesce(role, '') || chr(0) || coalesce(text, '')) AS k,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, n, xor({_HEADS}, 4294967295) % 4 AS h, conv_id - conv_id % 20 AS base
+  FROM (SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id)
+), sized AS (
+  SELECT c.*, least(h, coalesce(b.n, 0)) AS lent FROM convs c LEFT JOIN (SELECT conv_id AS base, n FROM convs) b USING (base)
+), turns AS (
+  SELECT c.conv_id, pos, k, words FROM sized c JOIN own o ON o.conv_id = c.base AND pos <= h
+  UNION ALL SELECT c.conv_id, lent + pos - h, k, words FROM sized c JOIN own o ON o.conv_id = c.conv_id AND pos > h
+), paths AS (
+  SELECT conv_id, pos AS depth, words, md5(string_agg(k, ',') OVER (PARTITION BY conv_id ORDER BY pos)) AS node FROM turns
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), nodes AS (
+  SELECT node, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved,
+         min(parent) AS parent, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '') AS ends
+  FROM (SELECT *, lag(node) OVER w AS parent, lead(node) OVER w IS NULL AS last FROM paths WINDOW w AS (PARTITION BY conv_id ORDER BY depth))
+  GROUP BY node
+), children AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), sums AS (
+  SELECT top AS node, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves
+  FROM (SELECT DISTINCT a.node AS top, b.node FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND a.depth <= b.depth)
+  JOIN nodes USING (node) LEFT JOIN children USING (node) GROUP BY top
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums USING (node) LEFT JOIN children USING (node) LEFT JOIN nodes p ON p.node = n.parent"""
+)
+def op12_centroid_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations with shared heads, every node with the totals of its subtree."""
+    convs, turns = prefix_trie.with_shared_heads(prefix_trie.numbered_turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(turns, convs)

@@ -13,11 +13,17 @@ SF = "/root/testdata/sf0.001"
 
 def test_each_operator_has_one_query():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == [*range(1, 12), 13]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert entry.queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in entry.oracle_sql()
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_the_trie_holds_every_conversation(spark):
+    rows = {(r.conv_id, r.depth): r for r in queries.QUERIES["op12_centroid_rollup"](spark, SF).collect()}
+    ids = {r.conv_id for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").collect()}
+    assert rows[min(ids), 0].n_convs == len(ids) and rows[min(ids), 0].n_leaves == sum(r.n_children == 0 for r in rows.values())
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op12_centroid_rollup"}))
 def test_queries_return_a_row_per_row(spark, name):
     found = queries.QUERIES[name](spark, SF)
     rows = found.count()
