@@ -127,12 +127,32 @@ def assign_sequence(new_messages: DataFrame, existing: DataFrame, slice_seconds:
     )
 
 
+def message_facts(messages: DataFrame) -> DataFrame:
+    """``(conversation_id, messages, last_at, first)``: what a rollup needs of some messages; ``first`` is the earliest user message.
+
+    Facts of separate sets of messages add up, in any order, with :func:`merge_facts`.
+    """
+    opening = F.when(F.col("role") == "user", F.struct("sequence_no", "content"))
+    return messages.groupBy("conversation_id").agg(
+        F.count("*").alias("messages"), F.max("created_at").alias("last_at"), F.min(opening).alias("first")
+    )
+
+
+def merge_facts(facts: DataFrame) -> DataFrame:
+    return facts.groupBy("conversation_id").agg(
+        F.sum("messages").alias("messages"), F.max("last_at").alias("last_at"), F.min("first").alias("first")
+    )
+
+
 def rollup_conversations(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     """Adds message count, time of the last message, and a title from the first user message."""
-    facts = messages.groupBy("conversation_id").agg(
-        F.count("*").alias("_count"),
-        F.max("created_at").alias("_last"),
-        F.expr("min_by(content, sequence_no) FILTER (WHERE role = 'user')").alias("_first"),
+    return apply_facts(conversations, message_facts(messages))
+
+
+def apply_facts(conversations: DataFrame, facts: DataFrame) -> DataFrame:
+    """The rollup from :func:`message_facts`."""
+    facts = facts.select(
+        "conversation_id", F.col("messages").alias("_count"), F.col("last_at").alias("_last"), F.col("first.content").alias("_first")
     )
     untitled = F.coalesce("title", F.lit("")).isin("", fixed.DEFAULT_TITLE)
     auto = F.substring(F.replace(strip(F.col("_first")), F.lit("\n"), F.lit(" ")), 1, 40)
@@ -283,17 +303,25 @@ def full_conversations(conversations: DataFrame, cap: int = 40) -> DataFrame:
     return conversations.where(F.coalesce("message_count", F.lit(0)) >= cap)
 
 
+def expired_conversations(conversations: DataFrame, as_of, days: int) -> DataFrame:
+    """Conversations without activity for ``days`` days."""
+    return conversations.where(F.col("last_active_at") < F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS"))
+
+
+def expired_visitors(visitors: DataFrame, as_of) -> DataFrame:
+    """Visitors that expired or were revoked."""
+    return visitors.where((F.col("expires_at") < F.lit(as_of).cast("timestamp")) | F.col("revoked_at").isNotNull())
+
+
 def apply_retention(tables: dict[str, DataFrame], as_of, days: int) -> dict[str, DataFrame]:
     """Tables after retention, and ``removed``: how many conversations were too old.
 
     Deletions run down the tree (visitors, conversations, messages, feedback) as
     anti-joins.
     """
-    now = F.lit(as_of).cast("timestamp")
-    cutoff = now - F.expr(f"INTERVAL {int(days)} DAYS")
     conversations, visitors = tables["conversations"], tables["visitors"]
-    expired = conversations.where(F.col("last_active_at") < cutoff).select("conversation_id")
-    gone_visitors = visitors.where((F.col("expires_at") < now) | F.col("revoked_at").isNotNull()).select("visitor_id")
+    expired = expired_conversations(conversations, as_of, days).select("conversation_id")
+    gone_visitors = expired_visitors(visitors, as_of).select("visitor_id")
     orphaned = conversations.join(gone_visitors, "visitor_id", "left_semi").select("conversation_id")
     gone = expired.unionByName(orphaned).distinct()
     messages = tables["messages"]

@@ -132,22 +132,24 @@ def chunk_documents(documents: DataFrame, **options) -> DataFrame:
     )
 
 
-def drop_orphans(documents: DataFrame, chunks: DataFrame, processed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(documents, chunks, orphans)`` after removing documents no longer processed.
+def orphans(documents: DataFrame, processed: DataFrame) -> DataFrame:
+    """Documents no longer processed; none when nothing was processed.
 
-    Nothing is removed when nothing was processed. Only one flag row about
-    ``processed`` meets the stored documents, as an equi-join on the flag.
+    Only one flag row about ``processed`` meets the stored documents, as an equi-join on the flag.
     """
     any_processed = processed.agg((F.count("*") > 0).alias("_active"))
     gone = documents.join(processed.select("source_id").distinct(), "source_id", "left_anti")
-    orphans = (
-        gone.withColumn("_active", F.lit(True)).join(F.broadcast(any_processed), "_active", "left_semi").drop("_active")
-    )
-    ids = orphans.select("source_id")
+    return gone.withColumn("_active", F.lit(True)).join(F.broadcast(any_processed), "_active", "left_semi").drop("_active")
+
+
+def drop_orphans(documents: DataFrame, chunks: DataFrame, processed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(documents, chunks, orphans)`` after removing documents no longer processed."""
+    gone = orphans(documents, processed)
+    ids = gone.select("source_id")
     return (
         documents.join(ids, "source_id", "left_anti"),
         chunks.join(ids, "source_id", "left_anti"),
-        orphans,
+        gone,
     )
 
 

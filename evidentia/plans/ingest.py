@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from evidentia.operators import ingest as op
 from evidentia.operators.embedding import Embedder, HashingEmbedder, embed
 from evidentia.session import broadcast_if_small, cut_lineage
-from evidentia.sources import tables
+from evidentia.sources import bucketed, tables
+from evidentia.sources.bucketed import Change
 
 DOCUMENTS = (
     "source_id string, doc_key string, title string, document_type string, project_id long,"
@@ -37,15 +38,15 @@ def classify(files: DataFrame, documents: DataFrame, entities: DataFrame, force:
     return op.classify_changes(described, documents, force)
 
 
-def plan_ingest(
-    files: DataFrame, documents: DataFrame, chunks: DataFrame, entities: DataFrame,
+def plan_changes(
+    files: DataFrame, documents: DataFrame, entities: DataFrame, chunks_of: Callable[[DataFrame], DataFrame],
     provider: Callable[[], Embedder] = HashingEmbedder, force: bool = False, partial: bool = False,
-) -> dict[str, DataFrame]:
-    """``documents`` and ``chunks`` after the ingest, and its ``report``.
+) -> tuple[dict[str, Change], DataFrame]:
+    """What an ingest changes in ``documents`` and ``chunks``, and its report.
 
-    Only new and changed documents are read again, chunked and embedded; of the others
-    a narrow row is kept. With ``partial`` the
-    files are not the whole corpus (a stream of changes), so nothing is an orphan.
+    Only new and changed documents are read again, chunked and embedded; of the others a narrow row is kept.
+    ``chunks_of`` gives the stored chunks of some ``source_id``; it is asked only for documents whose link
+    moved. With ``partial`` the files are not the whole corpus (a stream of changes), so nothing is an orphan.
     """
     seen = cut_lineage(classify(files, documents, entities, force))
     ok = seen.where(~F.col("read_error") & ~F.col("filtered"))
@@ -57,22 +58,34 @@ def plan_ingest(
         embed(pieces, "embed_text", provider).select(*_names(CHUNKS))
     )
     counts = fresh.groupBy("source_id").agg(F.count("*").alias("n_chunks"))
-    written = due.join(counts, "source_id", "left_semi")
-    new_documents = op.upsert(documents, written.select(*_names(DOCUMENTS)), "source_id")
-    new_chunks = op.replace_chunks(chunks, fresh, written)
-    moved = ok.where(F.col("change") == "relink").select("source_id", "project_id")
-    new_documents, new_chunks = op.relink(new_documents, new_chunks, moved)
-    deleted = seen.sparkSession.range(1).select(F.lit(0).cast("long").alias("docs_deleted"))
+    # A document that yields no chunks keeps its stored row and chunks.
+    written = due.join(counts, "source_id", "left_semi").select(*_names(DOCUMENTS))
+    moved = cut_lineage(ok.where(F.col("change") == "relink").select("source_id", "project_id"))
+    linked, linked_chunks = op.relink(documents.join(moved, "source_id", "left_semi"), chunks_of(moved.select("source_id")), moved)
+    gone = documents.select("source_id").where(F.lit(False))
     if not partial:
         # An unreadable file keeps its stored document.
-        processed = seen.where(~F.col("filtered")).select("source_id")
-        new_documents, new_chunks, orphans = op.drop_orphans(new_documents, new_chunks, processed)
-        deleted = orphans.agg(F.count("*").alias("docs_deleted"))
+        gone = op.orphans(documents.select("source_id"), seen.where(~F.col("filtered")).select("source_id"))
+    gone = cut_lineage(gone)
     return {
-        "documents": new_documents,
-        "chunks": new_chunks,
-        "report": op.ingest_report(seen, counts, deleted),
-    }
+        "documents": Change(written.unionByName(linked.select(*_names(DOCUMENTS))), gone),
+        "chunks": Change(fresh.unionByName(linked_chunks.select(*_names(CHUNKS))), gone),
+    }, op.ingest_report(seen, counts, gone.agg(F.count("*").alias("docs_deleted")))
+
+
+def plan_ingest(
+    files: DataFrame, documents: DataFrame, chunks: DataFrame, entities: DataFrame,
+    provider: Callable[[], Embedder] = HashingEmbedder, force: bool = False, partial: bool = False,
+) -> dict[str, DataFrame]:
+    """``documents`` and ``chunks`` after the ingest, and its ``report``."""
+    chunks_of = lambda ids: chunks.join(ids, "source_id", "left_semi")
+    changes, report = plan_changes(files, documents, entities, chunks_of, provider, force, partial)
+    after = {}
+    for name, table in (("documents", documents), ("chunks", chunks)):
+        change = changes[name]
+        touched = change.rows.select("source_id").unionByName(change.owners)
+        after[name] = op.replace_chunks(table, change.rows, touched)
+    return {**after, "report": report}
 
 
 def _names(ddl: str) -> list[str]:
@@ -84,29 +97,37 @@ def stored(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, int]:
     version = tables.current_version(spark, root)
     if version == 0:
         return spark.createDataFrame([], DOCUMENTS), spark.createDataFrame([], CHUNKS), 0
-    return (
-        tables.load_snapshot(spark, root, "documents", version),
-        tables.load_snapshot(spark, root, "chunks", version),
-        version,
-    )
+    return bucketed.read(spark, root, "documents", version), bucketed.read(spark, root, "chunks", version), version
 
 
 def run_ingest(
     files: DataFrame, entities: DataFrame, target: str, force: bool = False, dry_run: bool = False,
     partial: bool = False, provider: Callable[[], Embedder] = HashingEmbedder,
 ) -> DataFrame:
-    """Runs the job against the snapshot folder ``target`` and returns the report.
+    """Runs the job against the bucketed store at ``target`` and returns the report.
 
+    What is written follows what has changed: new rows of changed documents, the ids of removed ones, and the buckets
+    whose changes have piled up. With ``partial`` only the buckets of the files' ids are opened.
     A dry run classifies and reports, and writes nothing.
     """
     spark = files.sparkSession
-    documents, chunks, version = stored(spark, target)
     if dry_run:
+        documents, _, _ = stored(spark, target)
         seen = classify(files, documents, entities, force)
         none = seen.select("source_id").where(F.lit(False)).withColumn("n_chunks", F.lit(0).cast("long"))
         deleted = spark.range(1).select(F.lit(0).cast("long").alias("docs_deleted"))
         return op.ingest_report(seen, none, deleted, dry_run=True)
-    result = plan_ingest(files, documents, chunks, entities, provider, force, partial)
-    report = cut_lineage(result.pop("report"))
-    tables.save_snapshot(spark, target, result, version + 1)
+    if tables.current_version(spark, target) == 0:
+        bucketed.create(spark, target, {"documents": ("source_id", DOCUMENTS), "chunks": ("source_id", CHUNKS)})
+
+    def rows_of(name: str, ids: DataFrame) -> DataFrame:
+        found = bucketed.read(spark, target, name, buckets=bucketed.buckets_of(spark, target, name, ids))
+        return found.join(ids, "source_id", "left_semi")
+
+    documents = rows_of("documents", files.select("source_id")) if partial else bucketed.read(spark, target, "documents")
+    changes, report = plan_changes(
+        files, documents, entities, lambda ids: rows_of("chunks", ids), provider, force, partial
+    )
+    report = cut_lineage(report)
+    bucketed.commit(spark, target, changes)
     return report
