@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from driver_queries.registry import Registry
@@ -10,6 +12,7 @@ from evidentia.functions import markdown as md
 from evidentia.operators import ingest as op, validation
 from evidentia.operators.embedding import embed
 from evidentia.plans import ingest as job
+from evidentia.streaming import runs
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -284,37 +287,38 @@ def relink(spark, sf_dir):
     )
 
 
-@query(_BOTH + " SELECT source_id FROM stored WHERE source_id IN (SELECT source_id FROM incoming)")
-def drop_orphans(spark, sf_dir):
-    stored = _stored(spark, sf_dir).select("source_id")
-    kept, _, _ = op.drop_orphans(stored, stored, _changes(spark, sf_dir).select("source_id"))
-    return kept
+_PATHS = (
+    "docs AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN doc_id END AS project_id,"
+    " CASE WHEN doc_id % 3 = 0 THEN 'Knowledge/projects/doc' || doc_id || '.md'"
+    " WHEN doc_id % 3 = 1 THEN 'knowledge/projects/doc' || doc_id || 'ReadMe.md' ELSE 'other/doc' || doc_id || '.md' END AS source_id FROM documents)"
+)
 
 
 @query(
-    "WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN doc_id END AS project_id,"
-    " CASE WHEN doc_id % 3 = 0 THEN 'Knowledge/projects/' || source || '.md'"
-    " WHEN doc_id % 3 = 1 THEN 'knowledge/projects/' || source || 'ReadMe.md' ELSE 'other/' || source END AS source_id FROM documents),"
-    " e AS (SELECT p_partkey AS entity_id, 'src' || p_partkey AS slug FROM part)"
-    " SELECT doc_id, source_id, coalesce(d.project_id, e.entity_id, -1) AS project_id FROM d LEFT JOIN e"
-    " ON lower(d.source_id) IN (lower('knowledge/projects/' || slug || '.md'), lower('knowledge/projects/' || slug || 'README.md'))"
+    f"WITH {_PATHS}, {_ENTITIES}, linked AS (SELECT doc_id, source_id, coalesce(d.project_id, e.entity_id) AS project_id FROM docs d LEFT JOIN entities e"
+    " ON lower(d.source_id) IN (lower('knowledge/projects/' || slug || '.md'), lower('knowledge/projects/' || slug || 'README.md')))"
+    " SELECT 'document' AS kind, source_id, 0 AS chunk, coalesce(project_id, -1) AS project_id FROM linked"
+    " UNION ALL SELECT 'chunk', source_id, c, coalesce(project_id, CASE c WHEN 1 THEN 7 ELSE -1 END) FROM linked, (VALUES (0), (1)) v(c)"
 )
 def backfill_links(spark, sf_dir):
+    """Documents linked by file name, and their two chunks each, one with an old link of its own."""
     n = F.col("doc_id")
+    name = F.concat(F.lit("doc"), n.cast("string"))
     documents = load(spark, sf_dir, "documents").select(
-        "doc_id",
         F.when(n % 4 == 0, n).alias("project_id"),
-        F.when(n % 3 == 0, F.concat(F.lit("Knowledge/projects/"), "source", F.lit(".md")))
-        .when(n % 3 == 1, F.concat(F.lit("knowledge/projects/"), "source", F.lit("ReadMe.md")))
-        .otherwise(F.concat(F.lit("other/"), "source"))
+        F.when(n % 3 == 0, F.concat(F.lit("Knowledge/projects/"), name, F.lit(".md")))
+        .when(n % 3 == 1, F.concat(F.lit("knowledge/projects/"), name, F.lit("ReadMe.md")))
+        .otherwise(F.concat(F.lit("other/"), name, F.lit(".md")))
         .alias("source_id"),
     )
-    slugs = load(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("entity_id"), F.concat(F.lit("src"), F.col("p_partkey").cast("string")).alias("slug")
+    chunks = documents.select("source_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("chunk_id")).withColumn(
+        "project_id", F.when(F.col("chunk_id") == 1, F.lit(7)).cast("long")
     )
-    chunks = documents.select("source_id", "project_id", n.alias("chunk_id"))
-    linked, _ = op.backfill_links(documents, chunks, slugs)
-    return linked.withColumn("project_id", F.coalesce("project_id", F.lit(-1)))
+    linked, aligned = op.backfill_links(documents, chunks, entities(spark, sf_dir))
+    shown = lambda df, kind, chunk: df.select(
+        F.lit(kind).alias("kind"), "source_id", chunk.alias("chunk"), F.coalesce("project_id", F.lit(-1)).alias("project_id")
+    )
+    return shown(linked, "document", F.lit(0)).unionByName(shown(aligned, "chunk", F.col("chunk_id")))
 
 
 # --- chunking ------------------------------------------------------------------------
@@ -423,6 +427,23 @@ def chunk_documents(spark, sf_dir):
     )
 
 
+#: The chunks of the second edition, by the same statements.
+_CHUNKS2 = re.sub(r"\b(sections|paragraphs|packed|pieces)\b", r"\g<1>2", _CHUNKS).replace("meta1", "meta2").replace("chunks1", "chunks2")
+
+
+@query(
+    _BOTH + "," + _CHUNKS + " SELECT source_id, count(chunk_index) AS n_chunks FROM stored LEFT JOIN chunks1 USING (source_id)"
+    " WHERE source_id IN (SELECT source_id FROM incoming) GROUP BY 1"
+)
+def drop_orphans(spark, sf_dir):
+    """Stored documents that are still processed, with their chunks; an outer join, so chunks without a document would show."""
+    stored = _stored(spark, sf_dir).select("source_id")
+    chunks = chunked(spark, sf_dir).select("source_id", "chunk_index").join(stored, "source_id", "left_semi")
+    kept, kept_chunks, _ = op.drop_orphans(stored, chunks, _changes(spark, sf_dir).select("source_id"))
+    counts = kept_chunks.groupBy("source_id").agg(F.count("*").alias("n"))
+    return kept.join(counts, "source_id", "full").select("source_id", F.coalesce("n", F.lit(0)).alias("n_chunks"))
+
+
 @query(
     _with() + "," + _CHUNKS + " SELECT source_id, chunk_index, md5('文档：' || title || CASE WHEN section <> '' THEN chr(10) || '章节：' || section"
     " WHEN doc_section <> '' THEN chr(10) || '章节：' || doc_section ELSE '' END"
@@ -442,51 +463,76 @@ def embed_documents(spark, sf_dir):
 
 
 @query(
-    _CHANGED + "," + _CHUNKS + " SELECT source_id, count(*) AS n_chunks FROM ("
-    "SELECT source_id FROM chunks1 WHERE source_id NOT IN (SELECT source_id FROM changes WHERE change IN ('new', 'changed'))"
-    " UNION ALL SELECT source_id FROM changes WHERE change IN ('new', 'changed')) GROUP BY 1"
+    _CHANGED + "," + _CHUNKS + "," + _CHUNKS2 + ", touched AS (SELECT source_id FROM changes WHERE change IN ('new', 'changed'))"
+    " SELECT source_id, chunk_index, section, md5(content) AS content_md5 FROM chunks1 WHERE source_id NOT IN (SELECT source_id FROM touched)"
+    " UNION ALL SELECT source_id, chunk_index, section, md5(content) FROM chunks2 WHERE source_id IN (SELECT source_id FROM touched)"
 )
 def replace_chunks(spark, sf_dir):
-    """Touched documents get one new chunk each, the others keep theirs."""
+    """Touched documents get the chunks of their second edition, the others keep theirs."""
     columns = ["source_id", "chunk_index", "section", "content"]
     touched = _changes(spark, sf_dir).where(F.col("change").isin("new", "changed"))
-    fresh = touched.select("source_id", F.lit(0).alias("chunk_index"), F.lit("").alias("section"), F.col("body").alias("content"))
-    chunks = chunked(spark, sf_dir).select(*columns)
-    return op.replace_chunks(chunks, fresh, touched).groupBy("source_id").agg(F.count("*").alias("n_chunks"))
+    fresh = op.chunk_documents(touched).select(*columns)
+    return op.replace_chunks(chunked(spark, sf_dir).select(*columns), fresh, touched).select(
+        "source_id", "chunk_index", "section", F.md5("content").alias("content_md5")
+    )
 
 
-_REPORT = f"""{_with(1)},{_with(2)[5:]}, {_ENTITIES}, {_STORED},
-seen AS (
-  SELECT m.source_id, {_FILTERED} AS filtered,
-         CASE WHEN s.source_id IS NULL THEN 'new' WHEN s.content_hash <> sha256(m.text) THEN 'changed'
-              WHEN e.entity_id IS NOT NULL AND e.entity_id IS DISTINCT FROM s.project_id THEN 'relink' ELSE 'unchanged' END AS change
-  FROM (SELECT *, {_SLUG} AS s FROM meta2) m LEFT JOIN entities e ON e.slug = m.s LEFT JOIN stored s ON s.source_id = m.source_id
-)
-SELECT count(*) AS files_scanned, count(*) FILTER (filtered) AS files_skipped_filter,
-       count(*) FILTER (NOT filtered AND change IN ('unchanged', 'relink')) AS files_skipped_hash,
-       count(*) FILTER (NOT filtered AND change IN ('new', 'changed')) AS files_processed,
-       0 AS chunks_new, 0 AS links_updated, 0 AS errors, 0 AS docs_deleted FROM seen"""
+def _report_sql(changes, stored, editions=2):
+    """The counts of a run over files with their ``change`` (null: filtered) against ``stored``."""
+    return f"""
+SELECT count(*) AS files_scanned, count(*) FILTER (change IS NULL OR (change IN ('new', 'changed') AND n = 0)) AS files_skipped_filter,
+       count(*) FILTER (change IN ('unchanged', 'relink')) AS files_skipped_hash,
+       count(*) FILTER (change IN ('new', 'changed') AND n > 0) AS files_processed,
+       CAST(coalesce(sum(n) FILTER (change IN ('new', 'changed')), 0) AS BIGINT) AS chunks_new, count(*) FILTER (change = 'relink') AS links_updated, 0 AS errors,
+       (SELECT count(*) FROM {stored} WHERE source_id NOT IN (SELECT source_id FROM {changes} WHERE change IS NOT NULL)) AS docs_deleted
+FROM (SELECT source_id, change, coalesce(n, 0) AS n FROM {changes}
+      LEFT JOIN (SELECT source_id, count(*) AS n FROM chunks{editions} GROUP BY 1) USING (source_id))"""
 
 
-@query(_REPORT)
+@query(
+    _CHANGED + "," + _CHUNKS2 + ", seen AS (SELECT source_id, change FROM meta2 LEFT JOIN changes USING (source_id))" + _report_sql("seen", "stored")
+)
 def ingest_report(spark, sf_dir):
-    """Dry run of the ingest job on the second edition."""
+    """Counts of the second edition against the stored first one: its chunks, moved links and what it no longer holds."""
     stored = _stored(spark, sf_dir).select("source_id", "content_hash", "project_id")
     seen = job.classify(files(spark, sf_dir, 2), stored, entities(spark, sf_dir))
-    none = seen.select("source_id").where(F.lit(False)).withColumn("n_chunks", F.lit(0).cast("long"))
-    deleted = stored.agg(F.count("*").alias("docs_deleted"))
-    return op.ingest_report(seen, none, deleted, dry_run=True)
+    due = _changes(spark, sf_dir).where(F.col("change").isin("new", "changed"))
+    counts = op.chunk_documents(due).groupBy("source_id").agg(F.count("*").alias("n_chunks"))
+    gone = op.orphans(stored, seen.where(~F.col("filtered")).select("source_id"))
+    return op.ingest_report(seen, counts, gone.agg(F.count("*").alias("docs_deleted")))
+
+
+_RUNS = (
+    _with(1) + "," + _with(2)[5:] + f", {_ENTITIES}," + _CHUNKS + "," + _CHUNKS2 + f""",
+first AS (SELECT source_id, CASE WHEN NOT {_FILTERED} THEN 'new' END AS change FROM meta1),
+none AS (SELECT source_id FROM first WHERE false),
+kept AS (
+  SELECT source_id, sha256(text) AS content_hash, entity_id AS project_id, coalesce(type, 'profile') AS document_type
+  FROM (SELECT *, {_SLUG} AS s FROM meta1 WHERE NOT {_FILTERED} AND source_id IN (SELECT source_id FROM chunks1)) m LEFT JOIN entities e ON e.slug = m.s
+),
+second AS (
+  SELECT m.source_id, CASE WHEN {_FILTERED} THEN NULL WHEN k.source_id IS NULL THEN 'new' WHEN k.content_hash <> sha256(m.text) THEN 'changed'
+    WHEN e.entity_id IS NOT NULL AND e.entity_id + 1 IS DISTINCT FROM k.project_id THEN 'relink' ELSE 'unchanged' END AS change
+  FROM (SELECT *, {_SLUG} AS s FROM meta2) m LEFT JOIN entities e ON e.slug = m.s LEFT JOIN kept k ON k.source_id = m.source_id
+)"""
+)
 
 
-@query()
+@query(
+    _RUNS + " SELECT 1 AS run, * FROM (" + _report_sql("first", "none", 1) + ") UNION ALL SELECT 2 AS run, * FROM (" + _report_sql("second", "kept") + ")"
+)
 def ingest_job(spark, sf_dir):
-    """The whole job twice: first edition into an empty snapshot, then the second edition."""
-    empty = spark.createDataFrame([], job.DOCUMENTS), spark.createDataFrame([], job.CHUNKS)
-    first = job.plan_ingest(files(spark, sf_dir), *empty, entities(spark, sf_dir))
-    second = job.plan_ingest(
-        files(spark, sf_dir, 2), first["documents"], first["chunks"], entities(spark, sf_dir, shift=1)
-    )
-    return first["report"].withColumn("run", F.lit(1)).unionByName(second["report"].withColumn("run", F.lit(2)))
+    """The whole job twice on a bucketed store: the first edition into an empty one, then the second with moved entities."""
+    target = runs.new_folder(spark, "ingest-job")
+    first = job.run_ingest(files(spark, sf_dir), entities(spark, sf_dir), target)
+    second = job.run_ingest(files(spark, sf_dir, 2), entities(spark, sf_dir, shift=1), target)
+    return first.withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.lit(2)))
+
+
+#: What the stream of the first edition stores, by document type.
+STREAMED_SQL = _RUNS + (
+    " SELECT document_type, count(DISTINCT source_id) AS documents, count(*) AS chunks FROM kept JOIN chunks1 USING (source_id) GROUP BY 1"
+)
 
 
 # --- validation ----------------------------------------------------------------------

@@ -8,6 +8,9 @@ from driver_queries.registry import Registry
 from driver_queries.tables import load
 from evidentia.functions import text as tx
 from evidentia.operators import conversations as cv, feedback as fb, limiter, visitors as vs
+from evidentia.plans import retention
+from evidentia.sources import bucketed
+from evidentia.streaming import runs
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -185,13 +188,16 @@ def assign_sequence(spark, sf_dir):
     return cv.assign_sequence(msgs, msgs.where("status = 'failed'"), slice_seconds=300).select("message_id", "sequence_no")
 
 
-@query(
+ROLLUP_SQL = (
     W + ", facts AS (SELECT conversation_id, count(*) AS n, max(created_s) AS last_s, arg_min(content, sequence_no) FILTER (role = 'user') AS q FROM msgs GROUP BY 1)"
     " SELECT conversation_id, n AS message_count, last_s,"
     " CASE WHEN coalesce(title, '') IN ('', '新对话') AND q IS NOT NULL"
     " THEN coalesce(nullif(substr(replace(regexp_replace(q, '^\\s+|\\s+$', '', 'g'), chr(10), ' '), 1, 40), ''), '新对话') ELSE coalesce(title, '') END AS title"
     " FROM convs JOIN facts USING (conversation_id)"
 )
+
+
+@query(ROLLUP_SQL)
 def rollup_conversations(spark, sf_dir):
     return cv.rollup_conversations(conversations(spark, sf_dir), messages(spark, sf_dir)).select(
         "conversation_id", "message_count", SECONDS(F.col("last_message_at")).alias("last_s"),
@@ -295,12 +301,17 @@ def owned_answers(spark, sf_dir):
     return cv.owned_answers(messages(spark, sf_dir), conversations(spark, sf_dir), known).select("message_id")
 
 
-@query(
-    W + ", gone_v AS (SELECT visitor_id FROM visitors, now WHERE revoked OR expires_s < s),"
+_GONE = (
+    ", gone_v AS (SELECT visitor_id FROM visitors, now WHERE revoked OR expires_s < s),"
     " old AS (SELECT conversation_id FROM convs, now WHERE active_s < s - 86400),"
     " gone AS (SELECT conversation_id FROM old UNION SELECT conversation_id FROM convs WHERE visitor_id IN (SELECT visitor_id FROM gone_v)),"
     " kept_m AS (SELECT * FROM msgs WHERE conversation_id NOT IN (SELECT conversation_id FROM gone)),"
     " gone_m AS (SELECT message_id FROM msgs WHERE conversation_id IN (SELECT conversation_id FROM gone))"
+)
+
+
+@query(
+    W + _GONE +
     " SELECT 'visitors' AS name, count(*) AS n FROM visitors WHERE visitor_id NOT IN (SELECT visitor_id FROM gone_v)"
     " UNION ALL SELECT 'conversations', count(*) FROM convs WHERE conversation_id NOT IN (SELECT conversation_id FROM gone)"
     " UNION ALL SELECT 'messages', count(*) FROM kept_m"
@@ -322,6 +333,32 @@ def apply_retention(spark, sf_dir):
     return out
 
 
+@query(
+    W + _GONE
+    + " SELECT 'visitors' AS name, count(*) AS n, sum(visitor_id) AS ids, (SELECT count(*) FROM gone_v) AS removed FROM visitors WHERE visitor_id NOT IN (SELECT visitor_id FROM gone_v)"
+    " UNION ALL SELECT 'conversations', count(*), sum(conversation_id), (SELECT count(*) FROM gone) FROM convs WHERE conversation_id NOT IN (SELECT conversation_id FROM gone)"
+    " UNION ALL SELECT 'messages', count(*), sum(message_id), (SELECT count(*) FROM gone_m) FROM kept_m"
+    " UNION ALL SELECT 'feedback', count(*), sum(feedback_id), (SELECT count(*) FROM fb WHERE message_id IN (SELECT message_id FROM gone_m))"
+    " FROM fb WHERE message_id IS NULL OR message_id NOT IN (SELECT message_id FROM gone_m)"
+)
+def retention_job(spark, sf_dir):
+    """The job on a store of all conversation tables: what is left of each, and how many rows went."""
+    root = runs.new_folder(spark, "retention")
+    tables = {
+        "visitors": visitors(spark, sf_dir), "conversations": conversations(spark, sf_dir),
+        "messages": messages(spark, sf_dir), "feedback": feedback(spark, sf_dir),
+    }
+    retention.create_store(spark, root, tables)
+    report = retention.retention_job(spark, root, AS_OF, 1).first()
+    ids = {"visitors": "visitor_id", "conversations": "conversation_id", "messages": "message_id", "feedback": "feedback_id"}
+    out = None
+    for name, column in ids.items():
+        left = bucketed.read(spark, root, name).agg(F.count("*").alias("n"), F.sum(column).cast("long").alias("ids"))
+        row = left.select(F.lit(name).alias("name"), "n", "ids", F.lit(report[name]).cast("long").alias("removed"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(
     W + ", f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY ts DESC, feedback_id DESC) AS rn FROM fb WHERE message_id IS NOT NULL) WHERE rn = 1)"
     " SELECT m.message_id, coalesce(f.rating, 9) AS rating, coalesce(f.reason, '') AS reason, md5(m.content) AS content_md5"

@@ -9,7 +9,9 @@ from driver_queries.retrieval import HYBRID_SQL, general_evidence
 from driver_queries.tables import chunks, load, questions as benchmark_questions
 from evidentia import fixed_values as fixed
 from evidentia.functions import safety as sf, text as tx
+from evidentia.functions.text import normalize_key
 from evidentia.operators import evidence as ev, faq, fusion, html, routing
+from evidentia.operators.substring_join import substring_join
 from evidentia.plans.answer import route_answers as plan_answers
 from evidentia.plans.retrieval import retrieve_targets
 
@@ -332,18 +334,19 @@ def merge_coverage(spark, sf_dir):
     " n AS (SELECT regexp_replace(lower(canonical), '[^0-9a-z]+', '', 'g') AS canonical, regexp_replace(lower(alias), '[^0-9a-z]+', '', 'g') AS alias FROM a),"
     " m AS (SELECT DISTINCT item_id, canonical FROM q, n WHERE contains(regexp_replace(lower(text), '[^0-9a-z]+', '', 'g'), alias))"
     " SELECT item_id, doc_id, count(*) > 0 AS boosted FROM m JOIN documents d ON contains(regexp_replace(lower(split_part(d.text, chr(10), 1)), '[^0-9a-z]+', '', 'g'), canonical)"
-    " WHERE d.doc_id = item_id GROUP BY 1, 2"
+    " GROUP BY 1, 2"
 )
 def title_boost(spark, sf_dir):
-    """Questions that mention an entity named in the title of the document with the same id."""
+    """All pairs of a question and a document whose title names an entity that the question mentions."""
     asked = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
     names = entities(spark, sf_dir).select(F.col("title").alias("canonical"), "alias")
-    titles = load(spark, sf_dir, "documents").select(
-        "doc_id", F.col("doc_id").alias("item_id"), F.substring_index("text", "\n", 1).alias("title")
-    )
-    joined = asked.join(titles, "item_id").join(fusion.mentioned_names(asked, names, "item_id"), "item_id", "left")
+    titles = load(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"))
+    mentioned = fusion.mentioned_names(asked, names, "item_id")
+    wanted = mentioned.select("item_id", F.explode("mentioned").alias("name"))
+    named = substring_join(titles.withColumn("key", normalize_key(F.col("title"))), "key", wanted.select("name").distinct(), "name")
+    pairs = named.join(wanted, "name").select("item_id", "doc_id", "title").distinct().join(asked, "item_id").join(mentioned, "item_id")
     boost = fusion.title_boost(F.col("title"), F.col("query"), F.col("mentioned"))
-    return joined.select("item_id", "doc_id", (boost > 0).alias("boosted")).where("boosted")
+    return pairs.select("item_id", "doc_id", (boost > 0).alias("boosted")).where("boosted")
 
 
 # --- evidence ------------------------------------------------------------------------
@@ -375,9 +378,13 @@ def evidence_gates(spark, sf_dir):
 _REF = r"(?i)(?:[\p{L}\p{N}_.-]+[\\/])+[\p{L}\p{N}_.-]*|[\p{L}\p{N}_.-]+\.[a-z][a-z0-9_-]{0,11}([^a-z0-9]|$)".replace("{", "{{").replace("}", "}}")
 
 
+_SECRET = fixed.SECRET_PATTERN.replace("'", "''")
+
+
 @query(
     ("SELECT doc_id, regexp_replace(split_part(text, chr(10), 1), '" + _REF + "', '[内部资料]\\1', 'g') AS title,"
-     " regexp_replace(substr(text, 1, 150), '" + _REF + "', '[内部资料]\\1', 'g') AS content_preview FROM documents").replace("{{", "{").replace("}}", "}")
+     " regexp_replace(substr(regexp_replace(text, '" + _SECRET + "', '[REDACTED]', 'g'), 1, 150), '" + _REF + "', '[内部资料]\\1', 'g') AS content_preview"
+     " FROM documents").replace("{{", "{").replace("}}", "}")
 )
 def citations(spark, sf_dir):
     evidence = load(spark, sf_dir, "documents").select(
@@ -388,9 +395,6 @@ def citations(spark, sf_dir):
     return ev.format_citations(evidence).select(F.col("id").alias("doc_id"), "title", "content_preview")
 
 
-_SECRET = fixed.SECRET_PATTERN.replace("'", "''")
-
-
 @query(f"SELECT doc_id, md5(regexp_replace(text, '{_SECRET}', '[REDACTED]', 'g')) AS clean_md5, regexp_matches(text, '{_SECRET}') AS sensitive FROM documents")
 def redact_sensitive(spark, sf_dir):
     return load(spark, sf_dir, "documents").select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driver_queries import dialogues as dg
-from driver_queries.corpus import entities as corpus_entities, files as corpus_files
+from driver_queries.corpus import STREAMED_SQL, entities as corpus_entities, files as corpus_files
 from driver_queries.registry import Registry
 from driver_queries.retrieval import HYBRID_SQL, general_evidence
 from driver_queries.tables import load
@@ -14,9 +14,12 @@ from evidentia.operators.ingest import upsert
 from evidentia.plans.ingest import stored
 from evidentia.operators.substring_join import substring_join
 from evidentia.session import prepare
-from evidentia.sources import markdown, tables
+from evidentia.sources import bucketed, markdown, tables
+from evidentia.sources.bucketed import Change
 from evidentia.streaming import limiter, memory, runs
-from evidentia.streaming.tables import read_latest, compact, stream_dedupe as dedupe, stream_ingest as ingest, stream_upsert
+from evidentia.streaming.tables import (
+    compact, compact_rollup, read_latest, read_rollup, stream_dedupe as dedupe, stream_ingest as ingest, stream_rollup as rollup, stream_upsert,
+)
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -95,6 +98,35 @@ def stream_feedback(spark, sf_dir):
     return read_latest(spark, f"{root}/table", keys, order).select("message_id", "rating", F.col("feedback_id").alias("n"))
 
 
+@query(dg.ROLLUP_SQL)
+def stream_rollup(spark, sf_dir):
+    """Messages as a stream into facts per conversation, folded, against the batch rollup's oracle."""
+    root = runs.new_folder(spark, "rollup")
+    rollup(message_stream(spark, sf_dir), f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    compact_rollup(spark, f"{root}/table")
+    return read_rollup(spark, f"{root}/table", dg.conversations(spark, sf_dir)).select(
+        "conversation_id", "message_count", dg.SECONDS(F.col("last_message_at")).alias("last_s"),
+        F.coalesce("title", F.lit("")).alias("title"),
+    )
+
+
+@query(
+    "SELECT 2 AS version, doc_id, n_chars FROM documents UNION ALL"
+    " SELECT 3, doc_id, CASE WHEN doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 <> 0"
+)
+def store_versions(spark, sf_dir):
+    """All documents as one version of a bucketed store, replaced and removed ones as the next; both are read back."""
+    root = runs.new_folder(spark, "store")
+    documents = load(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    bucketed.create(spark, root, {"documents": ("doc_id", documents.schema)})
+    bucketed.commit(spark, root, {"documents": Change(documents)})
+    changed = documents.where("doc_id % 7 = 0").withColumn("n_chars", (F.col("n_chars") + 1).cast(documents.schema["n_chars"].dataType))
+    removed = documents.where("doc_id % 11 = 0 and doc_id % 7 <> 0").select("doc_id")
+    bucketed.commit(spark, root, {"documents": Change(changed, removed)})
+    versions = [bucketed.read(spark, root, "documents", v).withColumn("version", F.lit(v)) for v in (2, 3)]
+    return versions[0].unionByName(versions[1])
+
+
 @query(
     "WITH g AS (SELECT event_id AS generation_id, epoch_ms(date_trunc('milliseconds', ts)) AS started_ms, event_id % 3 AS kind FROM events),"
     " m AS (SELECT greatest(max(started_ms), max(CASE WHEN kind = 0 THEN started_ms + 60000 WHEN kind = 1 THEN started_ms + 200000 END)) AS top FROM g)"
@@ -117,9 +149,9 @@ def stream_stale(spark, sf_dir):
     return runs.drain(memory.stream_stale(generations), "stale")
 
 
-@query()
+@query(STREAMED_SQL)
 def stream_ingest(spark, sf_dir):
-    """The files of the corpus as a stream into a snapshot; counts per document type."""
+    """The files of the corpus as a stream into a bucketed store; counts per document type."""
     root = runs.new_folder(spark, "ingest")
     corpus_files(spark, sf_dir).write.parquet(f"{root}/in")
     arriving = spark.readStream.schema("source_id string, text string").parquet(f"{root}/in")
