@@ -524,8 +524,8 @@ second AS (
 def ingest_job(spark, sf_dir):
     """The whole job twice on a bucketed store: the first edition into an empty one, then the second with moved entities."""
     target = runs.new_folder(spark, "ingest-job")
-    first = job.run_ingest(files(spark, sf_dir), entities(spark, sf_dir), target)
-    second = job.run_ingest(files(spark, sf_dir, 2), entities(spark, sf_dir, shift=1), target)
+    first = job.run_ingest(files(spark, sf_dir), entities(spark, sf_dir), target, buckets=8)
+    second = job.run_ingest(files(spark, sf_dir, 2), entities(spark, sf_dir, shift=1), target, buckets=8)
     return first.withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.lit(2)))
 
 

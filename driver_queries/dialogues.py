@@ -348,7 +348,7 @@ def retention_job(spark, sf_dir):
         "visitors": visitors(spark, sf_dir), "conversations": conversations(spark, sf_dir),
         "messages": messages(spark, sf_dir), "feedback": feedback(spark, sf_dir),
     }
-    retention.create_store(spark, root, tables)
+    retention.create_store(spark, root, tables, buckets=8)
     report = retention.retention_job(spark, root, AS_OF, 1).first()
     ids = {"visitors": "visitor_id", "conversations": "conversation_id", "messages": "message_id", "feedback": "feedback_id"}
     out = None

@@ -118,7 +118,7 @@ def store_versions(spark, sf_dir):
     """All documents as one version of a bucketed store, replaced and removed ones as the next; both are read back."""
     root = runs.new_folder(spark, "store")
     documents = load(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    bucketed.create(spark, root, {"documents": ("doc_id", documents.schema)})
+    bucketed.create(spark, root, {"documents": ("doc_id", documents.schema)}, buckets=8)
     bucketed.commit(spark, root, {"documents": Change(documents)})
     changed = documents.where("doc_id % 7 = 0").withColumn("n_chars", (F.col("n_chars") + 1).cast(documents.schema["n_chars"].dataType))
     removed = documents.where("doc_id % 11 = 0 and doc_id % 7 <> 0").select("doc_id")
@@ -155,7 +155,7 @@ def stream_ingest(spark, sf_dir):
     root = runs.new_folder(spark, "ingest")
     corpus_files(spark, sf_dir).write.parquet(f"{root}/in")
     arriving = spark.readStream.schema("source_id string, text string").parquet(f"{root}/in")
-    ingest(arriving, corpus_entities(spark, sf_dir), f"{root}/snapshot", f"{root}/checkpoint").awaitTermination()
+    ingest(arriving, corpus_entities(spark, sf_dir), f"{root}/snapshot", f"{root}/checkpoint", buckets=8).awaitTermination()
     documents, chunks, _ = stored(spark, f"{root}/snapshot")
     return (
         chunks.groupBy("source_id").agg(F.count("*").alias("n_chunks"))

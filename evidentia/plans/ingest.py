@@ -102,12 +102,13 @@ def stored(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, int]:
 
 def run_ingest(
     files: DataFrame, entities: DataFrame, target: str, force: bool = False, dry_run: bool = False,
-    partial: bool = False, provider: Callable[[], Embedder] = HashingEmbedder,
+    partial: bool = False, provider: Callable[[], Embedder] = HashingEmbedder, buckets: int = bucketed.BUCKETS,
 ) -> DataFrame:
     """Runs the job against the bucketed store at ``target`` and returns the report.
 
     What is written follows what has changed: new rows of changed documents, the ids of removed ones, and the buckets
-    whose changes have piled up. With ``partial`` only the buckets of the files' ids are opened.
+    whose changes have piled up. With ``partial`` only the buckets of the files' ids are opened. A new store gets
+    ``buckets`` of them, which should be as many as a full read has tasks.
     A dry run classifies and reports, and writes nothing.
     """
     spark = files.sparkSession
@@ -118,7 +119,7 @@ def run_ingest(
         deleted = spark.range(1).select(F.lit(0).cast("long").alias("docs_deleted"))
         return op.ingest_report(seen, none, deleted, dry_run=True)
     if tables.current_version(spark, target) == 0:
-        bucketed.create(spark, target, {"documents": ("source_id", DOCUMENTS), "chunks": ("source_id", CHUNKS)})
+        bucketed.create(spark, target, {"documents": ("source_id", DOCUMENTS), "chunks": ("source_id", CHUNKS)}, buckets)
 
     def rows_of(name: str, ids: DataFrame) -> DataFrame:
         found = bucketed.read(spark, target, name, buckets=bucketed.buckets_of(spark, target, name, ids))

@@ -85,7 +85,9 @@ def commit(spark: SparkSession, root: str, changes: Mapping[str, Change], fold:
     version = current_version(spark, root) + 1
     lines: list[Entry] = []
     for name, known in manifest(spark, root).items():
-        if name in changes:
+        if name in changes and len(known) == 1:
+            known = known + _base(spark, root, known[0], changes[name].rows, version)
+        elif name in changes:
             known = known + _layer(spark, root, known[0], changes[name], version)
             known = _folded(spark, root, known, version, fold)
         lines.extend(known)
@@ -142,6 +144,15 @@ def _layer(spark: SparkSession, root: str, facts: Entry, change: Change, version
     ]
 
 
+def _base(spark: SparkSession, root: str, facts: Entry, rows: DataFrame | None, version: int) -> list[Entry]:
+    """Rows written as the base of their buckets."""
+    if rows is None:
+        return []
+    path = f"{root}/{facts.table}/base/_version={version}"
+    _write(rows.select(*facts.fields().fieldNames()).withColumn("_bucket", _bucket(F.col(facts.owner), facts)), path)
+    return [facts._replace(kind="base", bucket=b, version=version, rows=n) for b, n in _counts(spark, path).items()]
+
+
 def _counts(spark: SparkSession, path: str) -> dict[int, int]:
     """Rows of every bucket just written, from the files' own row counts."""
     found = spark.read.schema("_bucket int").parquet(path).groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -183,7 +194,4 @@ def _folded(spark: SparkSession, root: str, entries: list[Entry], version: int,
     if not due:
         return entries
     rows = _merged(spark, root, [facts, *(e for e in entries[1:] if e.bucket in due)])
-    path = f"{root}/{facts.table}/base/_version={version}"
-    _write(rows.withColumn("_bucket", _bucket(F.col(facts.owner), facts)), path)
-    anew = [facts._replace(kind="base", bucket=b, version=version, rows=n) for b, n in _counts(spark, path).items()]
-    return [e for e in entries if e.bucket not in due] + anew
+    return [e for e in entries if e.bucket not in due] + _base(spark, root, facts, rows, version)

@@ -98,7 +98,7 @@ def test_incremental_ingest(spark, tmp_path):
     first = job.run_ingest(read_markdown(spark, str(root)), entities, target).first()
     assert (first.files_scanned, first.files_processed, first.files_skipped_filter, first.errors) == (5, 2, 2, 1)
     documents, chunks, version = job.stored(spark, target)
-    assert version == 1 and {(r.source_id, r.project_id) for r in documents.collect()} == {
+    assert version == 2 and {(r.source_id, r.project_id) for r in documents.collect()} == {
         ("knowledge/projects/p1.md", 7), ("knowledge/notes/n1.md", None),
     }
     assert chunks.where(F.size("embedding") == 64).count() == 2
@@ -111,7 +111,7 @@ def test_incremental_ingest(spark, tmp_path):
     third = job.run_ingest(read_markdown(spark, str(root)), moved, target).first()
     assert (third.docs_deleted, third.files_processed, third.chunks_new) == (1, 1, 1)
     documents, chunks, version = job.stored(spark, target)
-    assert version == 2 and [(r.source_id, r.project_id) for r in documents.collect()] == [("knowledge/projects/p1.md", 8)]
+    assert version == 3 and [(r.source_id, r.project_id) for r in documents.collect()] == [("knowledge/projects/p1.md", 8)]
     assert chunks.first().content.startswith("other")
 
 

@@ -146,7 +146,7 @@ def test_stream_ingest_adds_and_changes(spark, tmp_path):
         stream = spark.readStream.schema("source_id string, text string").parquet(str(tmp_path / "in"))
         stream_ingest(stream, entities, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     _, chunks, version = stored(spark, str(tmp_path / "out"))
-    assert version == 2 and sorted(r.content.split()[0] for r in chunks.collect()) == ["beta", "gamma"]
+    assert version == 3 and sorted(r.content.split()[0] for r in chunks.collect()) == ["beta", "gamma"]
 
 
 def test_no_message_is_left_out_of_long_histories(spark):

@@ -165,7 +165,7 @@ def test_ingest_writes_what_changed(spark, tmp_path, force):
     entities = spark.createDataFrame([(1, "p3")], "entity_id long, slug string")
     first = [(f"knowledge/projects/p{k}.md", f"## Part\n\n{'alpha beta gamma ' * 20} {k}") for k in range(120)]
     schema = "source_id string, text string"
-    job.run_ingest(spark.createDataFrame(first, schema), entities, target)
+    job.run_ingest(spark.createDataFrame(first, schema), entities, target, buckets=8)
     base = bucketed.current_version(spark, target)
     second = [(s, t + " changed" if k == 5 else t) for k, (s, t) in enumerate(first) if k != 9]
     moved = spark.createDataFrame([(2, "p3")], "entity_id long, slug string")
