@@ -9,7 +9,6 @@ a passage copied into a third of all documents only lengthens lists inside many
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,7 +58,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         )
 
     texts = text_frame(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return keep(map_batches(texts, block, _INDEX), "index")
+    # Blocks may be equal; their stored number tells them apart.
+    return keep(map_batches(texts, block, _INDEX).withColumn("number", F.monotonically_increasing_id()), "index")
 
 
 class _Block:
@@ -135,6 +135,10 @@ class _Windows:
             for low in range(max(1, len(own) - window + 1) if own else 0):
                 found.setdefault(tuple(own[low : low + window]), set()).add(item)
         self.terms = [np.array(w, dtype=np.int64) for w in found]
+        #: All windows as rows, shorter ones padded by a number beyond the vocabulary.
+        self.padded = np.full((len(found), window), len(self.vocabulary), dtype=np.int64)
+        for k, terms in enumerate(self.terms):
+            self.padded[k, : len(terms)] = terms
         self.items = [sorted(x) for x in found.values()]
         self.names = [name for name, _ in items]
 
@@ -184,7 +188,7 @@ def find_items(
     )
 
 
-_PART = "block string, row int, doc_id long, n_words long, n_hit long, items array<string>, near array<string>, hits array<struct<low: long, high: long>>"
+_PART = "block long, row int, doc_id long, n_words long, n_hit long, items array<string>, near array<string>, hits array<struct<low: long, high: long>>"
 
 
 def _find(index: DataFrame, windows: _Windows, window: int, slack: int | None) -> DataFrame:
@@ -203,9 +207,8 @@ def _search(row: dict, windows: _Windows, window: int, slack: int | None) -> pa.
     marks = np.zeros(block.bounds[-1] + block.n_docs + 1, dtype=np.int32)
     items: list[set[str]] = [set() for _ in range(block.n_docs)]
     near: list[set[str]] = [set() for _ in range(block.n_docs)]
-    for terms, owners in zip(windows.terms, windows.items):
-        if not known[terms].all():
-            continue
+    for k in np.flatnonzero(np.append(known, True)[windows.padded].all(axis=1)).tolist():
+        terms, owners = windows.terms[k], windows.items[k]
         own, names = at[terms], [windows.names[k] for k in owners]
         places = block.phrase(own)
         if len(places):
@@ -220,11 +223,10 @@ def _search(row: dict, windows: _Windows, window: int, slack: int | None) -> pa.
     lengths = np.diff(block.bounds)
     hit = inside[block.starts + lengths] - inside[block.starts]
     hits = [_runs(marks, low, low + size) if h else [] for low, size, h in zip(block.starts, lengths, hit)]
-    digest = hashlib.blake2b(row["terms"] + row["starts"] + row["gaps"], digest_size=16).hexdigest()
     listed = pa.list_(pa.string())
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([digest] * block.n_docs, type=pa.string()), pa.array(np.arange(block.n_docs, dtype=np.int32)),
+            pa.array([row["number"]] * block.n_docs, type=pa.int64()), pa.array(np.arange(block.n_docs, dtype=np.int32)),
             pa.array(row["doc_ids"], type=pa.int64()), pa.array(lengths), pa.array(hit.astype(np.int64)),
             pa.array([sorted(x) for x in items], type=listed), pa.array([sorted(x) for x in near], type=listed),
             pa.array(hits, type=pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))),

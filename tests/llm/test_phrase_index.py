@@ -1,7 +1,7 @@
 import random
 import re
 
-from evidentia.llm import phrase_index
+from evidentia.llm import common, phrase_index
 from evidentia.llm.phrase_index import build_index, find_items
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -56,6 +56,15 @@ def test_slices_of_items_give_the_same(spark, documents, monkeypatch):
     assert rows(find_items(index, table, window=4)) == whole
 
 
+def test_equal_blocks_stay_apart_over_slices(spark, monkeypatch):
+    docs = [(k, "a b c d e") for k in range(5)] * 2
+    monkeypatch.setitem(common._BATCHES, "spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    index = build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    items = spark.createDataFrame([(k, t) for k, t in enumerate(["a b c", "b c", "d e"])], "item_id long, text string")
+    monkeypatch.setattr(phrase_index, "SLICE_ITEMS", 1)
+    assert rows(find_items(index, items, window=3)) == brute(docs, items.collect(), 3) and index.count() == 2
+
+
 def test_given_passages_with_the_window_of_ten(spark, documents, given):
     items = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text").collect()]
     table = spark.createDataFrame(items, "item_id long, text string")
