@@ -5,9 +5,8 @@ a corpus block against a question block with one matrix product and keeps only
 the best k per question over everything it has seen, so what it emits does not
 grow with the corpus. A window over these partial lists gives the exact result.
 
-When the questions are proven small they are broadcast and the corpus is not
-shuffled at all. Otherwise corpus rows are spread evenly over lanes and each
-question block visits every lane.
+The corpus is never shuffled: questions are broadcast, in slices of a bounded
+number of rows, and every slice is one scan of the corpus where it lies.
 """
 
 from __future__ import annotations
@@ -18,8 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from evidentia.session import holds_at_most
-
 ScoreBlock = Callable[[pa.Table, pa.Table], np.ndarray]
 
 # (target, pass) lists kept by a task before it hands them on and starts afresh.
@@ -39,7 +36,6 @@ def topk_by_block(
     mask: Callable[[pa.Table, pa.Table, int], np.ndarray | None] | None = None,
     passes: tuple[int, ...] = (1,),
     max_broadcast_rows: int = 20_000,
-    lanes: int = 64,
     rows_per_block: int = 2048,
     targets_per_block: int = 512,
 ) -> DataFrame:
@@ -47,24 +43,21 @@ def topk_by_block(
 
     ``score`` returns a corpus-by-question matrix, NaN where there is no match;
     ties go to the smaller ``corpus_key``. ``mask`` gives the rows a pass may use,
-    or None where the pass does not apply. ``k`` is a column of ``targets``.
+    or None where the pass does not apply. ``k`` is a column of ``targets``; a value above
+    ``max_k`` is an error when the result is computed.
     """
-    asked = targets.agg(F.max(k)).first()[0] or 0
-    if asked > max_k:
-        raise ValueError(f"{k} asks for up to {asked} rows, max_k allows {max_k}")
-    small = holds_at_most(targets, max_broadcast_rows)
-    lanes = 1 if small else lanes
     key_type = corpus.schema[corpus_key].dataType.simpleString()
     target_type = targets.schema[target_key].dataType.simpleString()
+    # Slices by hash may differ in size; half the bound on average leaves room for that.
+    rows = targets.count()
+    slices = 1 if rows <= max_broadcast_rows else -(-2 * rows // max_broadcast_rows)
+    number = F.pmod(F.xxhash64(target_key), F.lit(slices))
+    corpus_blocks = _pack(corpus, rows_per_block, "corpus_block")
 
-    corpus_blocks = _pack(corpus, corpus_key, lanes, rows_per_block, "corpus_block")
-    target_blocks = (
-        _pack(targets, target_key, 1, targets_per_block, "target_block")
-        .drop("lane")
-        .withColumn("target_block_id", F.sha2("target_block", 256))
-        .withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    )
-    met = corpus_blocks.join(F.broadcast(target_blocks) if small else target_blocks, "lane")
+    def scan(part: DataFrame) -> DataFrame:
+        blocks = _pack(part, targets_per_block, "target_block").withColumn("target_block_id", F.sha2("target_block", 256))
+        # Every corpus block meets the few blocks of the slice: one row with all of them.
+        return corpus_blocks.join(F.broadcast(blocks), "scan")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple[str, int], _Best] = {}
@@ -111,13 +104,14 @@ def topk_by_block(
                     names=[target_key, "pass_no", corpus_key, score_name],
                 )
 
-    partial = met.mapInArrow(
-        best,
-        f"{target_key} {target_type}, pass_no int, {corpus_key} {key_type}, {score_name} double",
-    )
+    schema = f"{target_key} {target_type}, pass_no int, {corpus_key} {key_type}, {score_name} double"
+    partial = scan(targets.where(number == 0)).mapInArrow(best, schema)
+    for k_slice in range(1, slices):
+        partial = partial.unionByName(scan(targets.where(number == k_slice)).mapInArrow(best, schema))
     order = W.partitionBy(target_key, "pass_no").orderBy(F.desc(score_name), corpus_key)
     ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_k)
-    return ranked.join(targets.select(target_key, F.col(k).alias("_k")), target_key).where(
+    quota = F.when(F.col(k) > max_k, F.raise_error(F.lit(f"{k} asks for more rows than max_k allows")).cast("long")).otherwise(F.col(k))
+    return ranked.join(targets.select(target_key, quota.alias("_k")), target_key).where(
         F.col("rank") <= F.col("_k")
     ).drop("_k")
 
@@ -150,38 +144,22 @@ class _Best:
         return column, self.ids[found], self.scores[found]
 
 
-def _pack(df: DataFrame, key: str, lanes: int, rows: int, name: str) -> DataFrame:
-    """One row per block: its lane and its rows as one Arrow stream.
-
-    The lane depends on the row's key alone, so a recomputed task sends each row
-    where it went before.
-    """
-    lane = F.pmod(F.xxhash64(key), F.lit(lanes)).cast("int") if lanes > 1 else F.lit(0)
-    keyed = df.withColumn("lane", lane)
-    if lanes > 1:
-        keyed = keyed.repartition(lanes, "lane")
+def _pack(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """One row per block: its rows as one Arrow stream. ``scan`` is the same for all, the key by which blocks meet."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            lane_of = batch.column("lane").to_numpy()
-            table = table.drop_columns(["lane"])
-            for number in np.unique(lane_of):
-                part = table.filter(pa.array(lane_of == number))
-                for start in range(0, len(part), rows):
-                    sink = pa.BufferOutputStream()
-                    piece = part.slice(start, rows).combine_chunks()
-                    with pa.ipc.new_stream(sink, piece.schema) as writer:
-                        writer.write_table(piece)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([number], pa.int32()),
-                            pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                        ],
-                        names=["lane", name],
-                    )
-
-    return keyed.mapInArrow(pack, f"lane int, {name} binary")
+            for start in range(0, len(table), rows):
+                sink = pa.BufferOutputStream()
+                piece = table.slice(start, rows).combine_chunks()
+                with pa.ipc.new_stream(sink, piece.schema) as writer:
+                    writer.write_table(piece)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([0], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["scan", name]
+                )
+
+    return df.mapInArrow(pack, f"scan int, {name} binary")
 
 
 def _read(payload: pa.Buffer) -> pa.Table:

@@ -8,17 +8,17 @@ whose section contains one of them).
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from evidentia import fixed_values as fixed
-from evidentia.functions.text import lexical_terms, like_literal, searchable_tokens
+from evidentia.functions.text import lexical_terms, like_literal
 from evidentia.operators.block_topk import topk_by_block
 from evidentia.operators.skew import salted_join
-from evidentia.operators.substring_join import substring_join
 from evidentia.session import broadcast_if_small, cut_lineage, holds_at_most
 
 # Relaxation passes: both filters, without the section filter, without the entity filter.
@@ -71,84 +71,196 @@ def question_terms(targets: DataFrame, stop: Sequence[str] = fixed.LEXICAL_STOP_
     return targets.withColumn("terms", lexical_terms(F.col("query"), stop))
 
 
+#: A list is heavy for a target when it is longer than so many times the target's shorter lists together.
+_HEAVY = 4
+
+
 def lexical_topk(
     targets: DataFrame, chunks: DataFrame, max_k: int, passes: tuple[int, ...] = (1,),
-    stop: Sequence[str] = fixed.LEXICAL_STOP_TERMS, **tuning,
+    stop: Sequence[str] = fixed.LEXICAL_STOP_TERMS, terms_per_scan: int = 100_000,
 ) -> DataFrame:
     """Best chunks by weighted term hits: ``target_id, pass_no, chunk_id, raw_score, lexical_score, rank``.
 
-    ``lexical_score`` is the share of the highest score the target's terms allow.
+    ``lexical_score`` is the share of the highest score the target's terms allow. The terms' lists of chunks meet
+    the targets by an equi-join, and partial sums give the scores, so only chunks that share a term with a
+    target ever meet it. Heavy lists wait: where the ``fetch_k``-th best sum of the others is more than all heavy
+    terms could add, no new chunk can get in, and only the chunks that could still rank look up what the heavy
+    terms add to them. The result is exact.
     """
-    asked = question_terms(targets, stop).where(F.size("terms") > 0).select(
+    asked = cut_lineage(question_terms(targets, stop).where(F.size("terms") > 0).select(
         "target_id", "fetch_k", "terms", *_filter_columns(targets)
+    ))
+    wanted = asked.withColumn("term", F.explode("terms")).drop("terms")
+    lists = cut_lineage(term_lists(chunks, wanted.select("term").distinct(), terms_per_scan))
+    lengths = lists.groupBy("term").agg(F.count("*").alias("length"), F.max("weight").alias("most"))
+    order = W.partitionBy("target_id").orderBy("length", "term")
+    shorter = F.coalesce(F.sum("length").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    heavy = F.col("length") > _HEAVY * F.greatest(shorter, F.col("fetch_k").cast("long"))
+    wanted = (
+        wanted.join(broadcast_if_small(lengths, 1_000_000), "term").withColumn("heavy", heavy)
+        .withColumn("heavy", F.max("heavy").over(order))
     )
-    terms = asked.select(F.explode("terms").alias("term")).distinct()
-    hits = term_hits(chunks, terms)
-    ranked = topk_by_block(
-        hits, asked, _term_weights, max_k=max_k, score_name="raw_score",
-        mask=_allowed, passes=passes, targets_per_block=256, **tuning,
+    wanted = cut_lineage(wanted.drop("length"))
+    late = wanted.where("heavy")
+    sums = _sums(_met(lists, wanted.where(~F.col("heavy"))))
+    if not late.isEmpty():
+        sums = _with_late(cut_lineage(sums), lists, late, asked, passes)
+    best = W.partitionBy("target_id", "pass_no").orderBy(F.desc("raw_score"), "chunk_id")
+    ranked = (
+        _passes(sums, asked, passes).withColumn("rank", F.row_number().over(best))
+        .where(F.col("rank") <= max_k).where(F.col("rank") <= F.col("fetch_k"))
     )
-    return ranked.join(asked.select("target_id", "terms"), "target_id").select(
-        "target_id", "pass_no", "chunk_id", "raw_score",
-        lexical_score(F.col("raw_score"), F.col("terms")).alias("lexical_score"),
-        "rank",
+    return ranked.select(
+        "target_id", "pass_no", "chunk_id", "raw_score", lexical_score(F.col("raw_score"), F.col("terms")).alias("lexical_score"), "rank"
     )
 
 
-def term_hits(chunks: DataFrame, terms: DataFrame, max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Per chunk with a hit: which terms occur in which of its fields.
+def _met(lists: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Every entry of a list beside each target that wants its term."""
+    narrow = wanted.select("target_id", "term")
+    if holds_at_most(narrow, 1_000_000):
+        return lists.join(F.broadcast(narrow), "term")
+    return salted_join(lists, narrow, ["term"], ["chunk_id"])
 
-    The corpus vocabulary, not the corpus, is searched for the terms. Chunks then
-    meet the terms by an equi-join on their own words, without a shuffle while the
-    word-to-term list is proven small, else with frequent words salted. Whole texts
-    are read.
-    """
-    carried = ["chunk_id", *_filter_columns(chunks)]
-    words = chunks.select(
-        *carried,
-        F.explode(F.concat(*[_words_of(field, n) for n, field in enumerate(fixed.LEXICAL_WEIGHTS)])).alias("at"),
-    ).select(*carried, "at.field", "at.word")
-
-    # "_" in a term matches any character, also outside a word: such a term is
-    # looked up by its longest literal part and verified against the text below.
-    wild = F.contains("term", F.lit("_"))
-    parts = F.array_sort(
-        F.transform(F.split("term", "_"), lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))
+
+def _sums(met: DataFrame) -> DataFrame:
+    carried = [F.first(c).alias(c) for c in ("project_id", "section") if c in met.columns]
+    return met.groupBy("target_id", "chunk_id").agg(F.sum("weight").alias("raw_score"), *carried)
+
+
+def _with_late(sums: DataFrame, lists: DataFrame, late: DataFrame, asked: DataFrame, passes: tuple[int, ...]) -> DataFrame:
+    """Sums of the light lists, completed by the heavy ones as far as these can matter."""
+    bounds = late.groupBy("target_id").agg(F.sum("most").alias("bound"))
+    scored = _passes(sums, asked.join(bounds, "target_id"), passes)
+    place = W.partitionBy("target_id", "pass_no").orderBy(F.desc("raw_score"), "chunk_id")
+    floors = scored.withColumn("at", F.row_number().over(place)).where(F.col("at") <= F.col("fetch_k")).where(F.col("at") == F.col("fetch_k"))
+    # A target is closed when all its passes are; ties go to smaller ids, so the floor must be above the bound.
+    closed_passes = floors.where(F.col("raw_score") > F.col("bound")).select("target_id", "pass_no", F.col("raw_score").alias("floor"))
+    due = _applicable(asked, passes).select("target_id", F.size("pass_nos").alias("due"))
+    closed = cut_lineage(
+        closed_passes.groupBy("target_id").agg(F.count("*").alias("n"), F.min("floor").alias("floor")).join(due, "target_id")
+        .where("n = due").join(bounds, "target_id").select("target_id", (F.col("floor") - F.col("bound")).alias("least"))
     )
-    lookup = terms.select("term", F.when(wild, parts[0]["p"]).otherwise(F.col("term")).alias("part"))
-    vocabulary = words.select("word").distinct()
-    # Read several times below, and far smaller than the corpus.
-    word_terms = cut_lineage(substring_join(vocabulary, "word", lookup, "part").select("word", "term"))
-    if holds_at_most(word_terms, max_broadcast_rows):
-        found = words.join(F.broadcast(word_terms), "word")
-    else:
-        found = salted_join(words, word_terms, ["word"], ["chunk_id"])
-    hits = found.where(~wild).select(*carried, "field", "term")
-    if not terms.where(wild).isEmpty():
-        hits = hits.unionByName(_verified(found.where(wild), chunks, carried))
-    return hits.groupBy(*carried).agg(F.collect_set(F.struct("field", "term")).alias("hits")).select(
-        *carried, F.col("hits.field").alias("hit_fields"), F.col("hits.term").alias("hit_terms")
+    kept = sums.join(broadcast_if_small(closed, 1_000_000), "target_id", "left").where(
+        F.col("least").isNull() | (F.col("raw_score") >= F.col("least"))
     )
+    still = late.join(closed, "target_id", "left_anti")
+    chosen = kept.where(F.col("least").isNotNull()).select("target_id", "chunk_id").join(late.select("target_id", "term"), "target_id")
+    heavy = broadcast_if_small(late.select("term").distinct(), 1_000_000)
+    added = lists.join(heavy, "term", "left_semi").join(chosen, ["chunk_id", "term"])
+    columns = ["target_id", "chunk_id", "weight", *(c for c in ("project_id", "section") if c in lists.columns)]
+    parts = kept.withColumnRenamed("raw_score", "weight").select(columns)
+    return _sums(parts.unionByName(_met(lists, still).select(columns)).unionByName(added.select(columns)))
 
 
-def _verified(found: DataFrame, chunks: DataFrame, carried: list[str]) -> DataFrame:
-    """Every field of a chunk tested for the terms whose literal part occurs in it."""
-    suspects = cut_lineage(found.select("chunk_id", "term").distinct())
-    hit = [
-        F.when(F.ilike(F.coalesce(F.col(name), F.lit("")), like_literal(F.col("term"))), F.lit(n))
-        for n, name in enumerate(fixed.LEXICAL_WEIGHTS)
-    ]
-    tested = chunks.select(*dict.fromkeys([*carried, *fixed.LEXICAL_WEIGHTS])).join(
-        broadcast_if_small(suspects, 200_000), "chunk_id"
-    )
-    return tested.select(*carried, F.explode(F.array_compact(F.array(*hit))).alias("field"), "term")
+def _applicable(asked: DataFrame, passes: tuple[int, ...]) -> DataFrame:
+    """``pass_nos``: the passes that a target has."""
+    has = {2: _sections(asked) > 0, 3: _entity(asked).isNotNull()}
+    numbers = [F.when(has[n], F.lit(n)) if n in has else F.lit(n) for n in passes]
+    return asked.withColumn("pass_nos", F.array_compact(F.array(*numbers)))
 
 
-def _words_of(field: str, number: int) -> Column:
-    return F.transform(
-        searchable_tokens(F.col(field)),
-        lambda t: F.struct(F.lit(number).alias("field"), t.alias("word")),
-    )
+def _sections(asked: DataFrame) -> Column:
+    return F.coalesce(F.size("section_terms"), F.lit(0)) if "section_terms" in asked.columns else F.lit(0)
+
+
+def _entity(asked: DataFrame) -> Column:
+    return F.col("project_id") if "project_id" in asked.columns else F.lit(None)
+
+
+def _passes(sums: DataFrame, asked: DataFrame, passes: tuple[int, ...]) -> DataFrame:
+    """One row for each pass of the target that allows the chunk."""
+    filters = {c: f"_{c}" for c in ("project_id", "section_terms") if c in asked.columns}
+    known = _applicable(asked, passes)
+    for name, kept in filters.items():
+        known = known.withColumnRenamed(name, kept)
+    rows = sums.join(broadcast_if_small(known), "target_id").withColumn("pass_no", F.explode("pass_nos")).drop("pass_nos")
+    if "project_id" in filters:
+        rows = rows.where((F.col("pass_no") == 3) | F.col("_project_id").isNull() | F.coalesce(F.col("project_id") == F.col("_project_id"), F.lit(False)))
+    if "section_terms" in filters:
+        within = F.exists("_section_terms", lambda t: F.ilike(F.coalesce(F.col("section"), F.lit("")), like_literal(t)))
+        rows = rows.where((F.col("pass_no") == 2) | (F.coalesce(F.size("_section_terms"), F.lit(0)) <= 0) | within)
+    return rows
+
+
+def term_lists(chunks: DataFrame, terms: DataFrame, terms_per_scan: int = 100_000) -> DataFrame:
+    """The inverted lists of ``terms``: ``term, chunk_id, weight`` (and filter columns) for every chunk that holds the term.
+
+    A scan looks for a bounded slice of terms at once, by one pass over each whole field with an automaton of the
+    slice. Terms match inside words; ``_`` matches any character: such a term is looked up by its
+    longest literal part and verified. ``weight`` adds up the weights of the fields with the term.
+    """
+    slices = max(1, -(-terms.count() // terms_per_scan))
+    number = F.pmod(F.xxhash64("term"), F.lit(slices))
+    parts = [_scan(chunks, [r.term for r in terms.where(number == k).select("term").collect()]) for k in range(slices)]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    return union
+
+
+def _scan(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    carried = ["chunk_id", *_filter_columns(chunks)]
+    weights = list(fixed.LEXICAL_WEIGHTS.values())
+    fields = [F.lower(F.coalesce(F.col(name), F.lit(""))).alias(f"field{n}") for n, name in enumerate(fixed.LEXICAL_WEIGHTS)]
+    shared = chunks.sparkSession.sparkContext.broadcast(terms)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = _Finder(shared.value)
+        for batch in batches:
+            rows, found, weight = [], [], []
+            for row, texts in enumerate(zip(*(batch.column(f"field{n}").to_pylist() for n in range(len(weights))))):
+                hits: dict[int, float] = {}
+                for text, w in zip(texts, weights):
+                    for term in finder.terms_in(text):
+                        hits[term] = hits.get(term, 0.0) + w
+                rows.extend([row] * len(hits))
+                found.extend(hits)
+                weight.extend(hits.values())
+            at = pa.array(rows, type=pa.int64())
+            names = pa.array(shared.value, type=pa.string()).take(pa.array(found, type=pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(at) for c in carried), names, pa.array(weight, type=pa.float64())], names=[*carried, "term", "weight"]
+            )
+
+    types = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in carried)
+    return chunks.select(*carried, *fields).mapInArrow(find, f"{types}, term string, weight double")
+
+
+class _Finder:
+    """Which of many terms occur in a text."""
+
+    def __init__(self, terms: list[str]):
+        self.whole, self.wild = ahocorasick.Automaton(), {}
+        of_part: dict[str, list[int]] = {}
+        for number, term in enumerate(terms):
+            literal = max(term.split("_"), key=len)
+            of_part.setdefault(literal, []).append(number)
+            if literal != term:
+                self.wild[number] = re.compile(".".join(map(re.escape, term.split("_"))), re.S)
+        self.always = of_part.pop("", [])
+        for literal, numbers in of_part.items():
+            self.whole.add_word(literal, numbers)
+        self.whole.make_automaton()
+        self.empty = not of_part
+        self.known: dict[str, list[int]] = {}
+
+    def terms_in(self, text: str) -> list[int]:
+        """Numbers of the terms; answers for short texts, which repeat often, are kept."""
+        if len(text) > 64:
+            return self._search(text)
+        if text not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[text] = self._search(text)
+        return self.known[text]
+
+    def _search(self, text: str) -> list[int]:
+        found = set(self.always)
+        if not self.empty:
+            for _, numbers in self.whole.iter(text):
+                found.update(numbers)
+        return [n for n in found if n not in self.wild or self.wild[n].search(text)]
 
 
 def lexical_score(c_raw: Column, c_terms: Column) -> Column:
@@ -172,26 +284,6 @@ def _cosine(block: pa.Table, questions: pa.Table) -> np.ndarray:
     return _matrix(block.column("embedding")) @ _matrix(questions.column("embedding")).T
 
 
-def _term_weights(block: pa.Table, questions: pa.Table) -> np.ndarray:
-    asked = questions.column("terms").combine_chunks()
-    index = {t: i for i, t in enumerate(dict.fromkeys(asked.flatten().to_pylist()))}
-    wanted = np.zeros((len(index), len(questions)))
-    wanted[
-        [index[t] for t in asked.flatten().to_pylist()],
-        np.repeat(np.arange(len(questions)), asked.value_lengths().to_numpy()),
-    ] = 1.0
-    hit = block.column("hit_terms").combine_chunks()
-    rows = np.repeat(np.arange(len(block)), hit.value_lengths().to_numpy())
-    columns = np.array([index.get(t, -1) for t in hit.flatten().to_pylist()], dtype="int64")
-    fields = block.column("hit_fields").combine_chunks().flatten().to_numpy()
-    weights = np.array(list(fixed.LEXICAL_WEIGHTS.values()))[fields]
-    known = columns >= 0
-    present = np.zeros((len(block), len(index)))
-    np.add.at(present, (rows[known], columns[known]), weights[known])
-    scores = present @ wanted
-    return np.where(scores > 0, scores, np.nan)
-
-
 def _allowed(block: pa.Table, questions: pa.Table, pass_no: int) -> np.ndarray | None:
     """Rows each question may use in this pass, or None if no question has the pass."""
     everything = np.ones((len(block), len(questions)), dtype=bool)

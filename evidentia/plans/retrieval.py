@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from evidentia.operators import candidates as find, fusion
 from evidentia.session import broadcast_if_small, cut_lineage
 
-CHUNK_COLUMNS = ("chunk_id", "document_id", "project_id", "title", "section", "content", "tags")
+#: What ranking reads of a chunk; its content is fetched for the ranked rows only.
+CHUNK_COLUMNS = ("chunk_id", "document_id", "project_id", "title", "section", "tags")
 
 
 def retrieve_targets(
@@ -45,10 +46,20 @@ def retrieve_targets(
         asked = asked.withColumn("mentioned", F.lit(None).cast("array<string>"))
     scored = fusion.score_candidates(detailed.join(asked, "target_id"))
     kept = fusion.first_productive_pass(fusion.apply_threshold(scored, min_score))
-    ranked = fusion.topk_per_target(fusion.cap_per_document(kept))
+    ranked = _with_content(cut_lineage(fusion.topk_per_target(fusion.cap_per_document(kept))), corpus)
     return ranked if entities is None else fusion.attach_slug(ranked, entities)
 
 
+def _with_content(ranked: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Late fetch: the only read of contents after the searches, for the chunks that made it into some list.
+
+    Their ids are broadcast while proven few; else both sides are narrow but for the contents of these very chunks.
+    """
+    ids = ranked.select("chunk_id").distinct()
+    texts = corpus.select("chunk_id", "content").join(broadcast_if_small(ids, 1_000_000), "chunk_id", "left_semi")
+    return ranked.join(texts, "chunk_id", "left")
+
+
 def retrieve(
     plans: DataFrame,
     targets: DataFrame,

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -26,7 +27,7 @@ def brute_cosine(a, b):
     return float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
 
 
-@pytest.mark.parametrize("broadcast_rows", [1000, 0])
+@pytest.mark.parametrize("broadcast_rows", [1000, 4])
 def test_vector_topk_equals_brute_force(spark, broadcast_rows):
     rng = random.Random(1)
     vec = lambda: [round(rng.uniform(-1, 1), 2) for _ in range(4)]
@@ -35,42 +36,78 @@ def test_vector_topk_equals_brute_force(spark, broadcast_rows):
     asked = [(f"q{i}", "x", vec()) for i in range(9)]
     got = find.vector_topk(
         targets(spark, asked, 5), corpus(spark, rows).repartition(5), max_k=5,
-        max_broadcast_rows=broadcast_rows, lanes=3, rows_per_block=16, targets_per_block=4,
-    ).collect()
+        max_broadcast_rows=broadcast_rows, rows_per_block=16, targets_per_block=4,
+    )
+    # The corpus is scored where it lies, also when the questions come in slices.
+    assert "Exchange hashpartitioning(scan" not in got._jdf.queryExecution().executedPlan().toString()
+    got = got.collect()
     for name, _, q in asked:
         best = sorted((-round(brute_cosine(np.float32(q), np.float32(r[7])), 9), r[0]) for r in rows if r[7] and any(r[7]))[:5]
         ours = sorted((r.rank, r.chunk_id) for r in got if r.target_id == name)
         assert [c for _, c in ours] == [c for _, c in best]
 
 
-@pytest.mark.parametrize("broadcast_rows", [1000, 0])
-def test_lexical_topk_equals_brute_force(spark, broadcast_rows, monkeypatch):
+def lexical_brute(terms, rows, allowed=lambda r: True):
+    """``[(-score, chunk)]`` of one target, best first."""
+    like = lambda t: "".join("." if ch == "_" else re.escape(ch) for ch in t)
+    scores = []
+    for r in rows:
+        fields = ((2.0, r[3]), (1.5, r[4] or ""), (1.0, r[5]))
+        raw = sum(w for t in terms for w, field in fields if re.search(like(t), field.lower(), re.S))
+        if raw and allowed(r):
+            scores.append((-raw, r[0]))
+    return sorted(scores)
+
+
+def best_of(got, name, number=1):
+    return [(-r.raw_score, r.chunk_id) for r in sorted(got, key=lambda r: r.rank) if r.target_id == name and r.pass_no == number]
+
+
+@pytest.mark.parametrize("terms_per_scan,small", [(100_000, True), (2, False)])
+def test_lexical_topk_equals_brute_force(spark, terms_per_scan, small, monkeypatch):
     rng = random.Random(2)
     words = ["storage", "rag", "data_keeper", "dataXkeeper", "RAGs", "a-b", "项目背景", "技术", "été", "keeper"]
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
     rows = [(i, i, None, text(2), rng.choice(["技术", "rag", None]), text(6), [], [1.0]) for i in range(80)]
     asked = [("q1", "what is RAG", [1.0]), ("q2", "data_keeper 的技术背景", [1.0]), ("q3", "。", [1.0])]
-    if broadcast_rows == 0:
+    if not small:
         monkeypatch.setattr(find, "holds_at_most", lambda df, n: False)
-        monkeypatch.setattr("evidentia.operators.substring_join.holds_at_most", lambda df, n: False)
-    got = find.lexical_topk(
-        targets(spark, asked, 50), corpus(spark, rows), max_k=50, max_broadcast_rows=broadcast_rows, lanes=3, rows_per_block=16,
-    ).collect()
+        monkeypatch.setattr(find, "broadcast_if_small", lambda df, n=0: df)
+    got = find.lexical_topk(targets(spark, asked, 50), corpus(spark, rows), max_k=50, terms_per_scan=terms_per_scan).collect()
     terms = {r.target_id: r.terms for r in find.question_terms(targets(spark, asked)).collect()}
-    like = lambda t: "".join("." if ch == "_" else __import__("re").escape(ch) for ch in t)
-    import re
-
     for name, _, _ in asked:
-        scores = []
-        for r in rows:
-            raw = sum(
-                w for t in terms[name] for w, field in ((2.0, r[3]), (1.5, r[4] or ""), (1.0, r[5]))
-                if re.search(like(t), field.lower(), re.S)
-            )
-            if raw:
-                scores.append((-raw, r[0]))
-        ours = [(-r.raw_score, r.chunk_id) for r in sorted(got, key=lambda r: r.rank) if r.target_id == name]
-        assert ours == sorted(scores)[:50]
+        assert best_of(got, name) == lexical_brute(terms[name], rows)[:50]
+
+
+@pytest.mark.parametrize("heavy", [4, 0, 10**9])
+def test_heavy_terms_wait_without_changing_the_result(spark, heavy, monkeypatch):
+    """A term of nearly every chunk beside rare ones; targets with filters, over all passes."""
+    rng = random.Random(9)
+    monkeypatch.setattr(find, "_HEAVY", heavy)
+    common = ["commonplace", "everywhere"]
+    rare = [f"rare{k}x" for k in range(8)]
+    rows = []
+    for i in range(400):
+        content = " ".join(rng.sample(common, rng.choice([0, 1, 2, 2])) + rng.sample(rare, rng.choice([0, 0, 0, 1, 3])))
+        rows.append((i, i, i % 3, rng.choice(["rare1x rare2x", "note", "everywhere"]), rng.choice(["alpha", "beta", None]), content, [], None))
+    queries = [("a", "commonplace rare0x rare1x rare2x", None, None), ("b", "everywhere commonplace", 1, ["ALP"]), ("c", "rare3x everywhere", 2, []), ("d", "rare4x rare5x rare6x", None, ["bet"])]
+    asked = spark.createDataFrame(
+        [(t, q, None, 5, p, s) for t, q, p, s in queries],
+        "target_id string, query string, embedding array<float>, fetch_k int, project_id long, section_terms array<string>",
+    )
+    got = find.lexical_topk(asked, corpus(spark, rows), max_k=5, passes=find.PASSES).collect()
+    terms = {r.target_id: r.terms for r in find.question_terms(asked).collect()}
+    for name, _, project, sections in queries:
+        in_project = lambda r: project is None or r[2] == project
+        in_section = lambda r: not sections or any(t.lower() in (r[4] or "").lower() for t in sections)
+        wanted = {1: lambda r: in_project(r) and in_section(r)}
+        if sections:
+            wanted[2] = in_project
+        if project is not None:
+            wanted[3] = in_section
+        for number in (1, 2, 3):
+            expected = lexical_brute(terms[name], rows, wanted[number])[:5] if number in wanted else []
+            assert best_of(got, name, number) == expected, (name, number)
 
 
 def test_full_hit_scores_one(spark):
