@@ -19,7 +19,7 @@ from evidentia import fixed_values as fixed
 from evidentia.functions.text import lexical_terms, like_literal
 from evidentia.operators.block_topk import topk_by_block
 from evidentia.operators.skew import salted_join
-from evidentia.session import broadcast_if_small, cut_lineage, holds_at_most
+from evidentia.session import broadcast_if_small, cut_lineage
 
 # Relaxation passes: both filters, without the section filter, without the entity filter.
 PASSES = (1, 2, 3)
@@ -73,6 +73,8 @@ def question_terms(targets: DataFrame, stop: Sequence[str] = fixed.LEXICAL_STOP_
 
 #: A list is heavy for a target when it is longer than so many times the target's shorter lists together.
 _HEAVY = 4
+#: Heavy lists wait when they are longer than so many times all light ones; else one join of all lists is cheaper.
+_WORTH_WAITING = 8
 
 
 def lexical_topk(
@@ -96,15 +98,16 @@ def lexical_topk(
     order = W.partitionBy("target_id").orderBy("length", "term")
     shorter = F.coalesce(F.sum("length").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     heavy = F.col("length") > _HEAVY * F.greatest(shorter, F.col("fetch_k").cast("long"))
-    wanted = (
-        wanted.join(broadcast_if_small(lengths, 1_000_000), "term").withColumn("heavy", heavy)
-        .withColumn("heavy", F.max("heavy").over(order))
+    wanted = cut_lineage(
+        wanted.join(lengths, "term").withColumn("heavy", heavy).withColumn("heavy", F.max("heavy").over(order))
     )
-    wanted = cut_lineage(wanted.drop("length"))
-    late = wanted.where("heavy")
-    sums = _sums(_met(lists, wanted.where(~F.col("heavy"))))
-    if not late.isEmpty():
-        sums = _with_late(cut_lineage(sums), lists, late, asked, passes)
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("length"))), F.lit(0))
+    size = wanted.agg(total(F.col("heavy")).alias("heavy"), total(~F.col("heavy")).alias("light"), F.count("*").alias("rows")).first()
+    few = size.rows <= 1_000_000
+    if size.heavy > _WORTH_WAITING * size.light:
+        sums = _with_late(cut_lineage(_sums(_met(lists, wanted.where("not heavy"), few))), lists, wanted.where("heavy"), asked, passes, few)
+    else:
+        sums = _sums(_met(lists, wanted, few))
     best = W.partitionBy("target_id", "pass_no").orderBy(F.desc("raw_score"), "chunk_id")
     ranked = (
         _passes(sums, asked, passes).withColumn("rank", F.row_number().over(best))
@@ -115,10 +118,10 @@ def lexical_topk(
     )
 
 
-def _met(lists: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Every entry of a list beside each target that wants its term."""
+def _met(lists: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
+    """Every entry of a list beside each target that wants its term; ``few``: the targets' terms may be broadcast."""
     narrow = wanted.select("target_id", "term")
-    if holds_at_most(narrow, 1_000_000):
+    if few:
         return lists.join(F.broadcast(narrow), "term")
     return salted_join(lists, narrow, ["term"], ["chunk_id"])
 
@@ -128,7 +131,9 @@ def _sums(met: DataFrame) -> DataFrame:
     return met.groupBy("target_id", "chunk_id").agg(F.sum("weight").alias("raw_score"), *carried)
 
 
-def _with_late(sums: DataFrame, lists: DataFrame, late: DataFrame, asked: DataFrame, passes: tuple[int, ...]) -> DataFrame:
+def _with_late(
+    sums: DataFrame, lists: DataFrame, late: DataFrame, asked: DataFrame, passes: tuple[int, ...], few: bool
+) -> DataFrame:
     """Sums of the light lists, completed by the heavy ones as far as these can matter."""
     bounds = late.groupBy("target_id").agg(F.sum("most").alias("bound"))
     scored = _passes(sums, asked.join(bounds, "target_id"), passes)
@@ -150,7 +155,7 @@ def _with_late(sums: DataFrame, lists: DataFrame, late: DataFrame, asked: DataFr
     added = lists.join(heavy, "term", "left_semi").join(chosen, ["chunk_id", "term"])
     columns = ["target_id", "chunk_id", "weight", *(c for c in ("project_id", "section") if c in lists.columns)]
     parts = kept.withColumnRenamed("raw_score", "weight").select(columns)
-    return _sums(parts.unionByName(_met(lists, still).select(columns)).unionByName(added.select(columns)))
+    return _sums(parts.unionByName(_met(lists, still, few).select(columns)).unionByName(added.select(columns)))
 
 
 def _applicable(asked: DataFrame, passes: tuple[int, ...]) -> DataFrame:
@@ -190,7 +195,10 @@ def term_lists(chunks: DataFrame, terms: DataFrame, terms_per_scan: int = 100_00
     slice. Terms match inside words; ``_`` matches any character: such a term is looked up by its
     longest literal part and verified. ``weight`` adds up the weights of the fields with the term.
     """
-    slices = max(1, -(-terms.count() // terms_per_scan))
+    first = [r.term for r in terms.select("term").limit(terms_per_scan + 1).collect()]
+    if len(first) <= terms_per_scan:
+        return _scan(chunks, first)
+    slices = -(-terms.count() // terms_per_scan)
     number = F.pmod(F.xxhash64("term"), F.lit(slices))
     parts = [_scan(chunks, [r.term for r in terms.where(number == k).select("term").collect()]) for k in range(slices)]
     union = parts[0]

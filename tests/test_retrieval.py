@@ -71,7 +71,8 @@ def test_lexical_topk_equals_brute_force(spark, terms_per_scan, small, monkeypat
     rows = [(i, i, None, text(2), rng.choice(["技术", "rag", None]), text(6), [], [1.0]) for i in range(80)]
     asked = [("q1", "what is RAG", [1.0]), ("q2", "data_keeper 的技术背景", [1.0]), ("q3", "。", [1.0])]
     if not small:
-        monkeypatch.setattr(find, "holds_at_most", lambda df, n: False)
+        met = find._met
+        monkeypatch.setattr(find, "_met", lambda lists, wanted, few: met(lists, wanted, False))
         monkeypatch.setattr(find, "broadcast_if_small", lambda df, n=0: df)
     got = find.lexical_topk(targets(spark, asked, 50), corpus(spark, rows), max_k=50, terms_per_scan=terms_per_scan).collect()
     terms = {r.target_id: r.terms for r in find.question_terms(targets(spark, asked)).collect()}
@@ -84,6 +85,7 @@ def test_heavy_terms_wait_without_changing_the_result(spark, heavy, monkeypatch)
     """A term of nearly every chunk beside rare ones; targets with filters, over all passes."""
     rng = random.Random(9)
     monkeypatch.setattr(find, "_HEAVY", heavy)
+    monkeypatch.setattr(find, "_WORTH_WAITING", 0)
     common = ["commonplace", "everywhere"]
     rare = [f"rare{k}x" for k in range(8)]
     rows = []
