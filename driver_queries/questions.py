@@ -374,6 +374,23 @@ def evidence_gates(spark, sf_dir):
     )
 
 
+@query(
+    _EVIDENCE + ", facts AS (SELECT question_id, bool_or(lower(CASE WHEN e.chunk_id % 2 = 0 THEN 'main > ' || c.section ELSE c.section END) IN ('src1', 'src2')) AS whole,"
+    " bool_or(lower(c.section) IN ('src1', 'src2')) AS last FROM evidence e JOIN corpus c USING (chunk_id) GROUP BY 1)"
+    " SELECT question_id, NOT regexp_matches(question, 'ing') OR coalesce(whole, false) AS whole_ok, NOT regexp_matches(question, 'ing') OR coalesce(last, false) AS last_ok"
+    " FROM questions LEFT JOIN facts USING (question_id)"
+)
+def evidence_gates_nested(spark, sf_dir):
+    """The lead gate on nested section names, compared as a whole and by their last part."""
+    evidence, _ = general_evidence(spark, sf_dir)
+    nested = F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("main > "), "section")).otherwise(F.col("section"))
+    evidence = evidence.withColumn("section", nested)
+    gate = lambda last: ev.evidence_gates(
+        _asked(spark, sf_dir), evidence, lead_pattern="ing", lead_sections=("src1", "src2"), match_last_segment=last
+    ).select("question_id", F.col("lead_ok").alias("last_ok" if last else "whole_ok"))
+    return gate(False).join(gate(True), "question_id")
+
+
 # Look-around is missing in the oracle's regular expressions: the next character is kept by a group.
 _REF = r"(?i)(?:[\p{L}\p{N}_.-]+[\\/])+[\p{L}\p{N}_.-]*|[\p{L}\p{N}_.-]+\.[a-z][a-z0-9_-]{0,11}([^a-z0-9]|$)".replace("{", "{{").replace("}", "}}")
 
@@ -428,12 +445,8 @@ def classify_safety(spark, sf_dir):
     "SELECT *, contains(lower(text), 'tion') AS s, contains(lower(text), 'ment') OR contains(lower(text), 'ble') AS w, contains(lower(text), 'heit') AS f FROM conversations)"
 )
 def answer_scope(spark, sf_dir):
-    names = {fixed.SCOPE_BOTH: "both", fixed.SCOPE_STRENGTH: "strength", fixed.SCOPE_WEAKNESS: "weakness", fixed.SCOPE_FIT: "fit"}
     scope = sf.answer_scope(F.col("text"), "tion", "ment|ble", "heit")
-    label = F.lit("default")
-    for text, name in names.items():
-        label = F.when(scope == text, name).otherwise(label)
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", label.alias("scope"))
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", scope.alias("scope"))
 
 
 @query(
@@ -453,17 +466,19 @@ def followups(spark, sf_dir):
     f" body AS (SELECT question_id, string_agg('[' || rank || '] ' || c.title || '（' || c.section || '）' || chr(10) || regexp_replace(c.content, '{_SECRET}', '[REDACTED]', 'g'), chr(10) || chr(10) ORDER BY rank) AS b"
     " FROM evidence JOIN corpus c USING (chunk_id) GROUP BY 1)"
     " SELECT question_id, md5('<knowledge_data>' || chr(10) || coalesce(b, '') || chr(10) || '</knowledge_data>') AS context_md5,"
-    " '要求覆盖：' || array_to_string(ks, '、') || '；已有证据：' || CASE WHEN len(has) > 0 THEN array_to_string(has, '、') ELSE '无' END"
-    " || '；缺少证据：' || CASE WHEN len(miss) > 0 THEN array_to_string(miss, '、') ELSE '无' END || '。' AS coverage_line FROM m LEFT JOIN body USING (question_id)"
+    " 'asked ' || array_to_string(ks, '、') || '; found ' || CASE WHEN len(has) > 0 THEN array_to_string(has, '、') ELSE 'none' END"
+    " || '; lacking ' || CASE WHEN len(miss) > 0 THEN array_to_string(miss, '、') ELSE 'none' END AS coverage_line FROM m LEFT JOIN body USING (question_id)"
 )
 def build_context(spark, sf_dir):
     plan, evidence, missing = cascade_evidence(spark, sf_dir)
-    return ev.build_context(plan, evidence, missing).select(
+    return ev.build_context(
+        plan, evidence, missing, coverage_template="asked {expected}; found {covered}; lacking {missing}", none_text="none"
+    ).select(
         "question_id", F.md5("context").alias("context_md5"), "coverage_line"
     )
 
 
-_TEMPLATE = fixed.FALLBACK_TEMPLATE.replace("\n", "' || chr(10) || '")
+_TEMPLATE = "Not enough is known. Known so far: {available_info}"
 
 
 @query(
@@ -472,7 +487,7 @@ _TEMPLATE = fixed.FALLBACK_TEMPLATE.replace("\n", "' || chr(10) || '")
 )
 def fallback_text(spark, sf_dir):
     evidence, _ = general_evidence(spark, sf_dir, min_score=0.5)
-    return ev.fallback_text(_asked(spark, sf_dir), evidence)
+    return ev.fallback_text(_asked(spark, sf_dir), evidence, _TEMPLATE)
 
 
 @query("SELECT page_id, CASE WHEN regexp_matches(trim(url), '(?i)^https?://[^/?#]') THEN trim(url) ELSE '' END AS url FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN ' ' || url || ' ' WHEN 1 THEN replace(url, 'http', 'ftp') ELSE url END AS url FROM pages)")

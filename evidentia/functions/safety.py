@@ -42,15 +42,16 @@ def answer_scope(
     weakness_pattern: str = fixed.WEAKNESS_PATTERN,
     fit_pattern: str = fixed.FIT_PATTERN,
 ) -> Column:
+    """What an answer should keep to: ``strength``, ``weakness``, ``both``, ``fit`` or ``default``; the wording is the caller's."""
     q = F.lower(c_question)
     strength = F.rlike(q, F.lit(strength_pattern))
     weakness = F.rlike(q, F.lit(weakness_pattern))
     return (
-        F.when(strength & weakness, fixed.SCOPE_BOTH)
-        .when(strength, fixed.SCOPE_STRENGTH)
-        .when(weakness, fixed.SCOPE_WEAKNESS)
-        .when(F.rlike(q, F.lit(fit_pattern)), fixed.SCOPE_FIT)
-        .otherwise(fixed.SCOPE_DEFAULT)
+        F.when(strength & weakness, "both")
+        .when(strength, "strength")
+        .when(weakness, "weakness")
+        .when(F.rlike(q, F.lit(fit_pattern)), "fit")
+        .otherwise("default")
     )
 
 

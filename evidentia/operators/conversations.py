@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from evidentia import fixed_values as fixed
 from evidentia.functions.text import display_text, estimate_tokens_ws, strip, summary_line
 from evidentia.operators.skew import latest, number_rows, salted_join
+from evidentia.session import broadcast_if_small
 
 
 def _newest_first() -> list[Column]:
@@ -34,7 +35,10 @@ def list_owned(conversations: DataFrame, messages: DataFrame, limit: int = 30, p
         .withColumn("position", F.row_number().over(order))
         .where(F.col("position") <= limit)
     )
-    return newest.join(_latest_message(messages), "conversation_id", "left").select(
+    # Only messages of conversations on the list are aggregated.
+    wanted = broadcast_if_small(newest.select("conversation_id"), 1_000_000)
+    latest_of = _latest_message(messages.join(wanted, "conversation_id", "left_semi"))
+    return newest.join(latest_of, "conversation_id", "left").select(
         "visitor_id", "position", "conversation_id",
         F.when(F.coalesce("title", F.lit("")) == "", fixed.DEFAULT_TITLE).otherwise(F.col("title")).alias("title"),
         F.when(F.col("last_message") != "", F.substring("last_message", 1, preview)).alias("last_message_preview"),
@@ -48,7 +52,9 @@ def list_admin(
     """The newest conversations of all visitors with first question and latest message."""
     shown = search_conversations(conversations, messages, search) if search else conversations
     top = shown.orderBy(*_newest_first()).limit(limit)
-    ends = messages.groupBy("conversation_id").agg(
+    ids = top.select("conversation_id")
+    wanted = F.broadcast(ids) if limit <= 100_000 else ids
+    ends = messages.join(wanted, "conversation_id", "left_semi").groupBy("conversation_id").agg(
         F.expr("min_by(content, sequence_no) FILTER (WHERE role = 'user')").alias("first_question"),
         F.max_by("content", "sequence_no").alias("last_message_preview"),
     )

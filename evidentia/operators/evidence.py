@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 from evidentia import fixed_values as fixed
 from evidentia.functions.safety import hide_internal_references, redact_sensitive
 
+#: Between the parts of a nested section's name.
+SECTION_BREAK = " > "
+
 
 def evidence_gates(
     questions: DataFrame,
@@ -19,16 +22,21 @@ def evidence_gates(
     lead_sections: Sequence[str] = fixed.LEAD_SECTIONS,
     topic_word: str = fixed.TOPIC_WORD,
     topic_tag: str = fixed.TOPIC_TAG,
+    match_last_segment: bool = False,
 ) -> DataFrame:
     """Whether each question's evidence suffices, with the verdict of every gate.
 
-    One pass over the evidence, pre-aggregated per question before the shuffle.
+    One pass over the evidence, pre-aggregated per question before the shuffle. With
+    ``match_last_segment`` a lead section may be the last part of a nested one (``main > duties``).
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    section = F.lower(text("section"))
+    if match_last_segment:
+        section = F.trim(F.substring_index(section, SECTION_BREAK, -1))
     facts = evidence.groupBy("question_id").agg(
         F.max("score").alias("top_score"),
         F.bool_or(F.rlike(text("content"), F.lit(r"\p{Nd}"))).alias("has_number"),
-        F.bool_or(F.lower(text("section")).isin(*lead_sections)).alias("has_lead"),
+        F.bool_or(section.isin(*lead_sections)).alias("has_lead"),
         F.bool_or(
             F.array_contains(F.coalesce("tags", F.array().cast("array<string>")), topic_tag)
             | F.contains(F.concat_ws(" ", text("title"), text("section"), text("content")), F.lit(topic_word))
@@ -77,10 +85,12 @@ def citations_per_question(citations: DataFrame) -> DataFrame:
 
 
 def build_context(
-    plans: DataFrame, evidence: DataFrame, missing: DataFrame, memory: DataFrame | None = None
+    plans: DataFrame, evidence: DataFrame, missing: DataFrame, memory: DataFrame | None = None,
+    coverage_template: str = "{expected} = {covered} + {missing}", none_text: str = "-",
 ) -> DataFrame:
     """Prompt parts per question: numbered redacted blocks, coverage line, memory.
 
+    The coverage line of a question that expects coverage is ``coverage_template`` with its keys; null for others.
     A question has at most ``context_limit`` (16) blocks, so the list per question
     is bounded.
     """
@@ -101,14 +111,10 @@ def build_context(
     expected = F.coalesce("expected_coverage", F.array().cast("array<string>"))
     absent = F.coalesce("missing", F.array().cast("array<string>"))
     covered = F.filter(expected, lambda k: ~F.array_contains(absent, k))
-    listed = lambda c: F.when(F.size(c) > 0, F.array_join(c, "、")).otherwise("无")
-    line = F.when(
-        F.size(expected) > 0,
-        F.concat(
-            F.lit("要求覆盖："), F.array_join(expected, "、"), F.lit("；已有证据："), listed(covered),
-            F.lit("；缺少证据："), listed(absent), F.lit("。"),
-        ),
-    ).otherwise("当前问题不要求多对象覆盖。")
+    line = F.lit(coverage_template)
+    for name, keys in (("expected", expected), ("covered", covered), ("missing", absent)):
+        line = F.replace(line, F.lit(f"{{{name}}}"), F.when(F.size(keys) > 0, F.array_join(keys, "、")).otherwise(none_text))
+    line = F.when(F.size(expected) > 0, line)
     joined = plans.join(blocks, "question_id", "left").join(missing, "question_id", "left")
     if memory is not None:
         joined = joined.join(memory.select("question_id", "summary"), "question_id", "left")
@@ -127,7 +133,7 @@ def build_context(
 
 
 def fallback_text(
-    questions: DataFrame, evidence: DataFrame, template: str = fixed.FALLBACK_TEMPLATE,
+    questions: DataFrame, evidence: DataFrame, template: str,
     none_text: str = fixed.NO_EVIDENCE_TEXT, preview: int = 80,
 ) -> DataFrame:
     """Text for questions without sufficient evidence, quoting the best chunk."""

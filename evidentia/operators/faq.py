@@ -39,17 +39,15 @@ def match_faq(questions: DataFrame, faq: DataFrame, min_len: int = 10) -> DataFr
     An exactly equal question wins; otherwise the first entry in table order that
     is equal in compact form, or contains / is contained in the question when the
     shorter of both has at least ``min_len`` characters. Three equi-joins, no
-    nested loop.
+    nested loop. Only titles meet the questions; answers are fetched for the entries that were chosen.
     """
     asked = questions.select(
         "question_id",
         normalize_question(F.col("question")).alias("q_normal"),
         compact_question(F.col("question")).alias("q_compact"),
     )
-    entries = faq.select(
-        "faq_order", "title", "answer", compact_question(F.col("title")).alias("t_compact")
-    )
-    columns = ["question_id", "faq_order", "title", "answer"]
+    entries = faq.select("faq_order", "title", compact_question(F.col("title")).alias("t_compact"))
+    columns = ["question_id", "faq_order", "title"]
     exact = asked.join(entries, asked.q_normal == entries.title).select(F.lit(0).alias("class"), *columns)
     equal = asked.join(entries, asked.q_compact == entries.t_compact).select(F.lit(1).alias("class"), *columns)
     long_asked = asked.where(F.length("q_compact") >= min_len)
@@ -62,6 +60,8 @@ def match_faq(questions: DataFrame, faq: DataFrame, min_len: int = 10) -> DataFr
     return (
         exact.unionByName(equal).unionByName(close)
         .groupBy("question_id")
-        .agg(F.min(F.struct("class", "faq_order", F.col("title").alias("faq_title"), "answer")).alias("best"))
-        .select("question_id", "best.faq_title", "best.answer")
+        .agg(F.min(F.struct("class", "faq_order", F.col("title").alias("faq_title"))).alias("best"))
+        .select("question_id", "best.faq_title")
+        .join(faq.select(F.col("title").alias("faq_title"), "answer"), "faq_title")
+        .select("question_id", "faq_title", "answer")
     )

@@ -15,6 +15,8 @@ from evidentia.operators.skew import salted_join
 from evidentia.session import holds_at_most
 
 _WIDTHS = (1, 2, 4)
+#: Phrases, with the columns they carry, are broadcast up to this size.
+_MAX_BYTES = 64 << 20
 
 
 def _anchor(c: Column) -> Column:
@@ -44,12 +46,12 @@ def substring_join(
     if key is not None:
         narrow = texts.select(key, F.explode(_anchors(text)).alias("_anchor"))
         short = phrases.where(F.col(phrase).isNotNull()).withColumn("_anchor", _anchor(F.col(phrase)))
-        small = holds_at_most(phrases, max_broadcast_rows)
+        small = holds_at_most(phrases, max_broadcast_rows, _MAX_BYTES)
         met = narrow.join(F.broadcast(short), "_anchor") if small else salted_join(narrow, short, ["_anchor"], [key], salts=salts)
         return texts.join(met.drop("_anchor"), key).where(F.contains(F.col(text), F.col(phrase)))
     left = texts.withColumn("_anchor", F.explode(_anchors(text)))
     right = phrases.where(F.col(phrase).isNotNull()).withColumn("_anchor", _anchor(F.col(phrase)))
-    if holds_at_most(phrases, max_broadcast_rows):
+    if holds_at_most(phrases, max_broadcast_rows, _MAX_BYTES):
         joined = left.join(F.broadcast(right), "_anchor")
     else:
         joined = salted_join(left, right, ["_anchor"], [text], salts=salts)

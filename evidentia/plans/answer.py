@@ -23,6 +23,8 @@ def route_answers(
     listing_title: str = "",
     listing_section: str = "",
     list_lead: str = "",
+    fallback_template: str = "{available_info}",
+    coverage_template: str = "{expected} = {covered} + {missing}",
 ) -> DataFrame:
     """``question_id, route, answer, context, coverage_line, memory, citations``.
 
@@ -30,7 +32,7 @@ def route_answers(
     generate. The catalogue is the evidence of a list question, under ``listing_title`` and
     ``listing_section``, and goes through the same gates as any other; ``list_lead`` stands before the
     lines, ``{n}`` in it for their number. ``answer`` is null where a text has to be generated
-    from ``context``; generation is outside this library. ``citations`` are those of
+    from ``context``; generation is outside this library. ``fallback_template`` is the text of insufficient evidence. ``citations`` are those of
     listed and generated answers. ``plans`` are routed questions with their text.
     """
     questions = plans.select("question_id", "question")
@@ -40,8 +42,8 @@ def route_answers(
         others = plans.where(F.col("intent") != routing.LIST).select("question_id")
         evidence = evidence.join(others, "question_id", "left_semi").unionByName(listed.drop("n"), allowMissingColumns=True)
     gates = ev.evidence_gates(questions, evidence, min_score).select("question_id", "sufficient")
-    fallback = ev.fallback_text(questions, evidence)
-    context = ev.build_context(plans, evidence, missing, memory)
+    fallback = ev.fallback_text(questions, evidence, fallback_template)
+    context = ev.build_context(plans, evidence, missing, memory, coverage_template)
     q = (
         plans.select("question_id", "question", "intent")
         .join(pinned, "question_id", "left")

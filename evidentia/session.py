@@ -55,8 +55,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     return F.broadcast(df) if holds_at_most(df, max_rows) else df
 
 
-def holds_at_most(df: DataFrame, max_rows: int) -> bool:
-    return df.select(F.lit(1).alias("one")).limit(max_rows + 1).count() <= max_rows
+def holds_at_most(df: DataFrame, max_rows: int, max_bytes: int | None = None) -> bool:
+    """Whether ``df`` has at most so many rows (and bytes of text and numbers); reads no more than proves it."""
+    if max_bytes is None:
+        return df.select(F.lit(1).alias("one")).limit(max_rows + 1).count() <= max_rows
+    size = F.lit(0).cast("long")
+    for name in df.columns:
+        size = size + F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0)) + F.lit(8)
+    found = df.select(size.alias("size")).limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    return found["n"] <= max_rows and (found["bytes"] or 0) <= max_bytes
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:

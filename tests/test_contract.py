@@ -39,3 +39,23 @@ def test_static_filters_reach_the_scan(spark, tmp_path):
 def test_newest_n_is_cut_before_the_shuffle(spark, sf):
     plan = entry.queries()["recent_memory"](spark, sf)._jdf.queryExecution().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_lists_aggregate_only_messages_of_listed_conversations(spark, sf):
+    """The semi-join stands below the aggregation of the messages."""
+    for name in ("list_owned", "list_admin"):
+        plan = entry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        lines = plan.split("\n")
+        semi = next(i for i, line in enumerate(lines) if "Join LeftSemi" in line)
+        assert any("Aggregate [conversation_id" in line for line in lines[:semi]), name
+
+
+def test_no_answer_meets_the_questions(spark):
+    from evidentia.operators.faq import match_faq
+
+    faq = spark.createDataFrame([(1, "what is this about", "a long answer")], "faq_order int, title string, answer string")
+    asked = spark.createDataFrame([(1, "What is this about?"), (2, "so tell me what is this about now")], "question_id long, question string")
+    found = match_faq(asked, faq)
+    assert {(r.question_id, r.answer) for r in found.collect()} == {(1, "a long answer"), (2, "a long answer")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("answer#") and all("answer#" not in line for line in plan.split("\n") if "Contains" in line or "StartsWith" in line)

@@ -27,7 +27,7 @@ def test_safety_table(spark):
 def test_answer_scope(spark):
     asked = ["他的优势是什么", "有什么不足", "优势和短板分别是什么", "岗位匹配度如何", "做过什么"]
     assert column(spark, asked, safety.answer_scope) == [
-        fixed.SCOPE_STRENGTH, fixed.SCOPE_WEAKNESS, fixed.SCOPE_BOTH, fixed.SCOPE_FIT, fixed.SCOPE_DEFAULT,
+        "strength", "weakness", "both", "fit", "default",
     ]
 
 
