@@ -29,25 +29,32 @@ def sliding_log_limit(requests: DataFrame, window_seconds: int = 60) -> DataFram
     are taken in (ts, request_id) order.
     """
     width = window_seconds * 1_000_000
-    micros = F.unix_micros("ts")
-    rows = requests.withColumn("_us", micros).withColumn("_cell", F.floor(F.col("_us") / width))
-    key = ["namespace", "client"]
-    cells = _runs(rows.groupBy(*key, "_cell").agg(F.count("*").alias("_n"), F.max("minute_limit").alias("_limit")), key)
+    placed = _placed(requests, width)
+    quiet = placed.where("_quiet").select(*requests.columns, F.lit(True).alias("accepted"))
+    return quiet.unionByName(_replayed(placed, width).select(*requests.columns, "accepted"))
+
+
+_KEY = ["namespace", "client"]
+
+
+def _placed(requests: DataFrame, width: int) -> DataFrame:
+    """``requests`` with ``_us``, ``_quiet`` (accepted whatever happens) and ``_run`` (null: none)."""
+    rows = requests.withColumn("_us", F.unix_micros("ts")).withColumn("_cell", F.floor(F.col("_us") / width))
+    cells = _runs(rows.groupBy(*_KEY, "_cell").agg(F.count("*").alias("_n"), F.max("minute_limit").alias("_limit")), _KEY)
     # Many cells hold a row or two, so salting all of them would cost more than it
     # saves; a cell with very many rows is split by the adaptive skew join.
-    placed = rows.join(cells, [*key, "_cell"])
-    quiet = placed.where("_quiet").select(*requests.columns, F.lit(True).alias("accepted"))
+    return rows.join(cells, [*_KEY, "_cell"]).drop("_cell")
+
 
-    busy = placed.where(F.col("_run").isNotNull())
-    columns = ["_run", "_quiet", "_us", *requests.columns]
+def _replayed(placed: DataFrame, width: int) -> DataFrame:
+    """The rows of busy cells with ``accepted``, run by run."""
     ordered = (
-        busy.select(*columns)
-        .repartition(*key, "_run")
-        .sortWithinPartitions(*key, "_run", "_us", "request_id")
+        placed.where(F.col("_run").isNotNull())
+        .repartition(*_KEY, "_run")
+        .sortWithinPartitions(*_KEY, "_run", "_us", "request_id")
     )
-    schema = T.StructType([*requests.schema.fields, T.StructField("accepted", T.BooleanType())])
-    replayed = ordered.mapInPandas(_replay(width, requests.columns), schema)
-    return quiet.unionByName(replayed)
+    schema = T.StructType([*placed.schema.fields, T.StructField("accepted", T.BooleanType())])
+    return ordered.mapInPandas(_replay(width, placed.columns), schema)
 
 
 def _runs(cells: DataFrame, key: list[str]) -> DataFrame:
@@ -169,27 +176,55 @@ def admit_by_policy(
     A request refused for the day takes no place in the log, which matters just
     after midnight. So requests after a day's cap are taken out and the log is
     computed again until the caps no longer change; two rounds are usual, and each
-    round settles at least one more day. Between rounds only the caps (one row per
-    namespace and day) are kept.
+    round settles at least one more day. A round replays only runs that hold a request which a changed
+    cap takes out or lets in: runs are independent, and removing requests never joins them. Caps are
+    counted again only for days that such a run or a changed cap touches.
     """
-    ruled = broadcast_if_small(policies)
-    known = requests.join(ruled, "namespace")
-    unruled = requests.join(ruled, "namespace", "left_anti")
+    width = window_seconds * 1_000_000
+    ruled = requests.join(broadcast_if_small(policies.withColumn("_known", F.lit(True))), "namespace", "left")
+    open_ = ruled.where(F.col("_known").isNull()).drop("_known").withColumn("accepted", F.lit(None).cast("boolean"))
+    known = ruled.where("_known").drop("_known")
+    columns = known.columns
     max_daily = policies.agg(F.max("daily_limit")).first()[0] or 0
-    caps = None
+    placed = cut_lineage(_placed(known, width).withColumn("day", F.to_date("ts")))
+    decided = cut_lineage(_replayed(placed, width))
+    quiet = placed.where("_quiet").withColumn("accepted", F.lit(True))
+    caps = cut_lineage(daily_caps(quiet.unionByName(decided).where("accepted"), max_daily))
+    old = caps.limit(0)
     while True:  # a round settles one more day at least, so days bound the rounds
-        live = known if caps is None else _mark(known, caps).where("within_cap").drop("within_cap")
-        decided = sliding_log_limit(live, window_seconds)
-        found = cut_lineage(daily_caps(decided.where("accepted"), max_daily))
-        same = caps is not None and found.exceptAll(caps).isEmpty() and caps.exceptAll(found).isEmpty()
-        none = caps is None and found.isEmpty()
-        caps = found
-        if same or none:
+        changed = cut_lineage(_changed_caps(old, caps))
+        if changed.isEmpty():
             break
-    over = _mark(known, caps).where(~F.col("within_cap")).drop("within_cap")
-    refused = over.withColumn("accepted", F.lit(False))
-    open_ = unruled.withColumn("accepted", F.lit(None).cast("boolean"))
-    return decided.unionByName(refused).unionByName(open_, allowMissingColumns=True)
+        near = placed.where(F.col("_run").isNotNull()).join(broadcast_if_small(changed), ["namespace", "day"])
+        flipped = near.where(F.struct("ts", "request_id") > F.struct("from_ts", "from_id"))
+        dirty = broadcast_if_small(cut_lineage(flipped.select(*_KEY, "_run").distinct()))
+        again = placed.join(dirty, [*_KEY, "_run"], "left_semi")
+        decided = cut_lineage(
+            decided.join(dirty, [*_KEY, "_run"], "left_anti").unionByName(_replayed(_within(again, caps), width).select(decided.columns))
+        )
+        days = broadcast_if_small(cut_lineage(again.select("namespace", "day").unionByName(changed.select("namespace", "day")).distinct()))
+        touched = lambda rows: rows.join(days, ["namespace", "day"], "left_semi")
+        live = _within(touched(quiet), caps).select(decided.columns).unionByName(touched(decided))
+        found = daily_caps(live.where("accepted"), max_daily)
+        old, caps = caps, cut_lineage(caps.join(days, ["namespace", "day"], "left_anti").unionByName(found.select(caps.columns)))
+    marked = _mark(placed.drop("day"), caps)
+    refused = marked.where(~F.col("within_cap")).select(*columns, F.lit(False).alias("accepted"))
+    free = marked.where(F.col("within_cap") & F.col("_quiet")).select(*columns, F.lit(True).alias("accepted"))
+    return free.unionByName(decided.select(*columns, "accepted")).unionByName(refused).unionByName(open_, allowMissingColumns=True)
+
+
+def _within(rows: DataFrame, caps: DataFrame) -> DataFrame:
+    kept = _mark(rows.drop("day"), caps).where("within_cap").drop("within_cap")
+    return kept.withColumn("day", F.to_date("ts"))
+
+
+def _changed_caps(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``namespace, day, from_ts, from_id``: days whose cap differs, and the earlier of both caps."""
+    key = ["namespace", "day"]
+    at = F.struct(F.col("cap_ts").alias("ts"), F.col("cap_id").alias("id"))
+    both = old.select(*key, at.alias("a")).join(new.select(*key, at.alias("b")), key, "full")
+    first = F.least("a", "b")  # the one there is, where only one is
+    return both.where(~F.col("a").eqNullSafe(F.col("b"))).select(*key, first["ts"].alias("from_ts"), first["id"].alias("from_id"))
 
 
 def admit(

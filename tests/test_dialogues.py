@@ -55,6 +55,19 @@ def test_limiter_equals_brute_force(spark, limit, daily, window):
     assert got == brute(rows, limit, daily, window)
 
 
+def test_later_rounds_replay_only_runs_at_the_caps(spark, monkeypatch):
+    """One client is busy around midnight after a full day; the busy runs of the other days are not replayed."""
+    rows = [("a", 86400 * d + 40_000 + s) for d in range(6) for s in range(60)] + [("b", 86400 * d + 50_000 + s) for d in range(6) for s in range(60)]
+    rows += [("m", 86400 - 30 + s) for s in range(60)]
+    policy = spark.createDataFrame([("n", 3, 8)], "namespace string, minute_limit int, daily_limit int")
+    asked = requests(spark, rows).withColumn("namespace", F.lit("n")).withColumn("minute_limit", F.lit(3))
+    replayed, real = [], limiter._replayed
+    monkeypatch.setattr(limiter, "_replayed", lambda placed, width: replayed.append(placed.where("_run is not null").count()) or real(placed, width))
+    got = {r.request_id: r.accepted for r in limiter.admit_by_policy(asked.drop("minute_limit"), policy, 60).collect()}
+    assert got == brute(rows, 3, 8, 60)
+    assert len(replayed) >= 2 and sum(replayed[1:]) < replayed[0] / 3
+
+
 def test_address_slot_is_spent(spark):
     rows = requests(spark, [("v", 0), ("v", 1), ("w", 2), ("w", 70)]).select("request_id", "ts", F.col("client").alias("visitor"), F.lit("ip").alias("ip"))
     got = {r.request_id: (r.ip_ok, r.accepted) for r in limiter.admit(rows, ip_limit=2, visitor_limit=1, daily_limit=9).collect()}
