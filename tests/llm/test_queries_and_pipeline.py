@@ -47,17 +47,17 @@ def test_the_entry_works_without_the_operators(monkeypatch):
     assert entry.queries() and not any(n.startswith("op1_") or n == "pipeline" for n in entry.queries())
 
 
-def test_other_import_errors_are_raised(monkeypatch):
+def test_a_missing_library_takes_out_the_operators_alone(monkeypatch):
     real = importlib.import_module
 
     def broken(name, *rest):
         if name.startswith("evidentia.llm"):
-            raise ModuleNotFoundError("No module named 'numpy'", name="numpy")
+            raise ModuleNotFoundError("No module named 'zstandard'", name="zstandard")
         return real(name, *rest)
 
     monkeypatch.setattr(importlib, "import_module", broken)
-    with pytest.raises(ModuleNotFoundError):
-        entry.queries()
+    with pytest.warns(UserWarning, match="zstandard"):
+        assert "hybrid_retrieval" in entry.queries()
 
 
 PHRASE = "pack my box with five dozen liquor jugs and then some more words"
