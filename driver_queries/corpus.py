@@ -454,12 +454,31 @@ def embed_text(spark, sf_dir):
     return chunked(spark, sf_dir).select("source_id", "chunk_index", F.md5("embed_text").alias("embed_md5"))
 
 
-@query()
+# The checksum of a word, bit by bit, as the hashing provider takes it.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(w, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda bits, _: xor(bits >> 1, 3988292384 * (bits & 1)))), 4294967295)"""
+
+
+@query(
+    f"""WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-z]+')) AS w FROM documents),
+codes AS (SELECT w, {_CRC} AS code FROM (SELECT DISTINCT w FROM words)),
+sums AS (
+  SELECT doc_id, code % 64 AS d, sum(CASE WHEN code >= 2147483648 THEN 1 ELSE -1 END) AS v FROM words JOIN codes USING (w) GROUP BY ALL HAVING v <> 0
+), tops AS (SELECT doc_id, arg_max(d, (abs(v), -d)) AS top, arg_max(v, (abs(v), -d)) > 0 AS up FROM sums GROUP BY 1)
+SELECT doc_id, 64 AS dimensions, CASE WHEN top IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS norm, coalesce(top + 1, 0) AS top_dimension, coalesce(up, false) AS top_up
+FROM documents LEFT JOIN tops USING (doc_id)"""
+)
 def embed_documents(spark, sf_dir):
-    """Vectors of whole documents; length one unless the text has no words."""
+    """Vectors of whole documents: their length (one unless the text has no words), and their largest dimension with its sign."""
     vectors = embed(load(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     norm = F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return vectors.select("doc_id", F.size("embedding").alias("dimensions"), F.round(F.sqrt(norm), 4).alias("norm"))
+    sizes = F.transform("embedding", F.abs)
+    top = F.when(F.array_max(sizes) > 0, F.array_position(sizes, F.array_max(sizes))).otherwise(0)
+    return vectors.select(
+        "doc_id", F.size("embedding").alias("dimensions"), F.round(F.sqrt(norm), 4).alias("norm"), top.alias("top_dimension"),
+        F.when(top > 0, F.element_at("embedding", F.greatest(top, F.lit(1)).cast("int")) > 0).otherwise(False).alias("top_up"),
+    )
 
 
 @query(

@@ -249,13 +249,24 @@ def evaluation_summary(spark, sf_dir):
     return evaluation.evaluation_summary(cases(spark, sf_dir))
 
 
-@query()
+@query(
+    _CASES + " SELECT id, array_to_string(got, ',') AS retrieved, array_to_string(matched, ',') AS matched,"
+    " CASE WHEN len(matched) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS score, -1 AS sample_size FROM cases"
+    " UNION ALL SELECT 'summary', '', '', round(avg(CASE WHEN len(matched) > 0 THEN 1.0 ELSE 0.0 END), 4)::DOUBLE, count(*) FROM cases"
+)
 def evaluation_artifact(spark, sf_dir):
-    """The artifact written as JSON lines and read back."""
+    """The artifact written as JSON lines, read back and parsed: the summary and every case."""
     root = runs.new_folder(spark, "evaluation")
     result = evaluation.evaluation_result(cases(spark, sf_dir), "benchmark", "2024-01-01T00:00:00Z")
     tables.write_evaluation(result, f"{root}/latest")
-    return spark.read.text(f"{root}/latest").select(F.get_json_object("value", "$.id").alias("id"), F.length("value").alias("n"))
+    body = "id string, hit_at_5 double, retrieved_sources array<string>, matched_sources array<string>, sample_size int, metrics struct<hit_rate_at_5: double>"
+    line = spark.read.text(f"{root}/latest").select(F.from_json("value", body).alias("l"))
+    listed = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
+    return line.select(
+        F.coalesce("l.id", F.lit("summary")).alias("id"), listed("l.retrieved_sources").alias("retrieved"),
+        listed("l.matched_sources").alias("matched"), F.coalesce("l.hit_at_5", "l.metrics.hit_rate_at_5").alias("score"),
+        F.coalesce("l.sample_size", F.lit(-1)).alias("sample_size"),
+    )
 
 
 def catalogue_rows(spark, sf_dir, name):

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-SQL_FREE = {"embed_documents", "sanitize_pages", "route_answers", "evaluation_artifact"}
+SQL_FREE = {"sanitize_pages", "route_answers"}
 
 
 def test_every_query_has_an_oracle_or_a_reason():
