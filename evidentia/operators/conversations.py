@@ -242,7 +242,7 @@ def clip_summary(c: Column, max_chars: int = 4000, head: int = 600) -> Column:
 
 
 # Role, colon and line break around an empty text.
-_SHORTEST_LINE = 4
+SHORTEST_LINE = 4
 
 
 def roll_summary(
@@ -250,12 +250,12 @@ def roll_summary(
 ) -> DataFrame:
     """One summary step per conversation: ``conversation_id, summary, summarized_through_sequence``.
 
-    A line takes at least ``_SHORTEST_LINE`` characters, and a long summary keeps its two ends. So the
-    first and the last ``max_chars / _SHORTEST_LINE`` lines decide the text, whatever the
+    A line takes at least ``SHORTEST_LINE`` characters, and a long summary keeps its two ends. So the
+    first and the last ``max_chars / SHORTEST_LINE`` lines decide the text, whatever the
     length of the history, and no more than these are put together in a row.
     """
     line = summary_line(F.col("role"), F.col("content"))
-    ends = max_chars // _SHORTEST_LINE + 1
+    ends = max_chars // SHORTEST_LINE + 1
     of = W.partitionBy("conversation_id")
     lines = unsummarized(conversations, messages, n).select("conversation_id", "sequence_no", line.alias("line"))
     first = lines.withColumn("_rn", F.row_number().over(of.orderBy("sequence_no"))).where(F.col("_rn") <= ends)

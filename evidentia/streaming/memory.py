@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from evidentia.functions.text import estimate_tokens_ws, summary_line
+from evidentia.operators.conversations import SHORTEST_LINE
 from evidentia.streaming.runs import with_state_store
 
 _OUT = (
@@ -32,8 +33,7 @@ class RollingMemory(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         recent = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
         summary, through = self.summary.get() if self.summary.exists() else ("", 0)
-        arrived = pd.concat(list(rows)).sort_values("sequence_no")
-        for row in arrived[["sequence_no", "role", "content", "line", "tokens"]].itertuples(index=False, name=None):
+        for row in self._arrived(rows).itertuples(index=False, name=None):
             recent.append(row)
             if len(recent) > self.n:
                 oldest = recent.pop(0)
@@ -57,6 +57,20 @@ class RollingMemory(StatefulProcessor):
             }
         )
 
+    def _arrived(self, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        """The messages in order; of very many in one micro-batch only those at both ends.
+
+        A clipped summary keeps its head and its tail, and a line takes ``SHORTEST_LINE`` characters at least. So the
+        first ``ends`` messages fill the head, the last ones the tail, and what lies between never shows.
+        """
+        ends = self.max_chars // SHORTEST_LINE + self.n + 2
+        first = last = None
+        for part in rows:
+            part = part[["sequence_no", "role", "content", "line", "tokens"]]
+            first = (part if first is None else pd.concat([first, part])).nsmallest(ends, "sequence_no")
+            last = (part if last is None else pd.concat([last, part])).nlargest(ends, "sequence_no")
+        return pd.concat([first, last[~last["sequence_no"].isin(first["sequence_no"])]]).sort_values("sequence_no")
+
     def close(self) -> None:
         pass
 

@@ -85,6 +85,29 @@ def test_stream_limit_over_several_batches(spark, tmp_path):
     assert got == brute(rows, 3, None, 60)
 
 
+def test_a_busy_client_in_one_micro_batch(spark, tmp_path):
+    """One client sends nearly all requests of a batch, in no order; results leave in slices."""
+    rng = random.Random(8)
+    rows = [("hot" if k % 50 else "b", round(rng.uniform(0, 40_000), 3)) for k in range(120_000)]
+    asked = requests(spark, rows).withColumn("namespace", F.lit("n")).withColumn("minute_limit", F.lit(3))
+    asked.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(asked.schema).parquet(str(tmp_path / "in"))
+    got = {r.request_id: r.accepted for r in runs.drain(stream_limiter.stream_limit(stream), "test").collect()}
+    assert got == brute(rows, 3, None, 60)
+
+
+def test_a_long_history_in_one_micro_batch(spark, tmp_path):
+    """20,000 messages of one conversation at once: head and tail of the summary as if all lines had been joined."""
+    messages = talk(spark, 20_000)
+    messages.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(messages.schema).parquet(str(tmp_path / "in"))
+    got = runs.drain(memory.stream_memory(stream, max_chars=1000), "test").first()
+    state = spark.createDataFrame([(1, "", 0)], "conversation_id long, summary string, summarized_through_sequence int")
+    rolled = cv.roll_summary(state, messages, max_chars=1000).first()
+    assert got.summary == rolled.summary and len(got.summary) == 1000
+    assert got.summarized_through_sequence == 19_992 and got.recent_sequences == list(range(19_993, 20_001))
+
+
 def talk(spark, n, conversation=1):
     return spark.createDataFrame(
         [(conversation * 1000 + i, conversation, i, "user" if i % 2 else "assistant", f"m{i} words", "completed") for i in range(1, n + 1)], MESSAGE
