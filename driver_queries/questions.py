@@ -374,6 +374,21 @@ def evidence_gates(spark, sf_dir):
     )
 
 
+@query(
+    _EVIDENCE + " SELECT question_id, rank, chunk_id, coalesce(slug, '') AS project_slug FROM evidence JOIN corpus USING (chunk_id)"
+    " LEFT JOIN (SELECT p_partkey AS project_id, 'part' || p_partkey AS slug FROM part) USING (project_id)"
+)
+def evidence_slugs(spark, sf_dir):
+    """Retrieved chunks with the slug of the entity they belong to."""
+    evidence, _ = general_evidence(spark, sf_dir)
+    slugs = load(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("entity_id"), F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("slug")
+    )
+    return fusion.attach_slug(evidence, slugs).select(
+        "question_id", "rank", "chunk_id", F.coalesce("project_slug", F.lit("")).alias("project_slug")
+    )
+
+
 @query(
     _EVIDENCE + ", facts AS (SELECT question_id, bool_or(lower(CASE WHEN e.chunk_id % 2 = 0 THEN 'main > ' || c.section ELSE c.section END) IN ('src1', 'src2')) AS whole,"
     " bool_or(lower(c.section) IN ('src1', 'src2')) AS last FROM evidence e JOIN corpus c USING (chunk_id) GROUP BY 1)"

@@ -139,3 +139,24 @@ def test_golden_checks(spark, tmp_path):
     path.write_text('[{"id": "1", "category": "c", "question": "q", "expected_sources": ["a"]}, {"id": "1", "category": "c", "question": "q", "expected_sources": []}]')
     golden = tables.read_golden(spark, str(path))
     assert {(r.id, r.rule) for r in validation.check_golden(golden).collect()} == {("1", "id_repeated"), ("1", "no_source")}
+
+
+def test_chunk_options(spark):
+    body = "before the first heading, long enough to stay as a chunk of its own\n\n## One\n\n" + "y" * 60
+    df = spark.createDataFrame([(body, "句子。" * 300)], "b string, flat string")
+    got = df.select(
+        md.chunks_of(F.col("b"), F.lit("main")).alias("cut"), md.chunks_of(F.col("b"), F.lit("main"), keep_preamble=True).alias("kept"),
+        md.chunks_of(F.col("flat"), F.lit("")).alias("whole"), md.chunks_of(F.col("flat"), F.lit(""), split_long_always=True).alias("split"),
+    ).first()
+    assert [c.section for c in got.cut] == ["main > One"] and [c.section for c in got.kept] == ["main", "main > One"]
+    assert len(got.whole) == 1 and len(got.split) == 2 and "".join(c.content for c in got.split) == "句子。" * 300
+
+
+def test_catalogue_is_cleared_or_merged(spark):
+    schema = "slug string, title string, content_html string, related_links array<struct<label:string,url:string>>"
+    old = spark.createDataFrame([("a", "old a", "<p>a</p>", []), ("b", "old b", "<p>b</p>", [])], schema)
+    new = spark.createDataFrame([("a", "new a", "<p>a</p><script>x</script>", [("l", "javascript:x")])], schema)
+    merged = {r.slug: (r.title, r.related_links) for r in tables.load_catalogue(old, new).collect()}
+    assert merged == {"a": ("new a", []), "b": ("old b", [])}
+    assert [r.slug for r in tables.load_catalogue(old, new, clear=True).collect()] == ["a"]
+    assert [r.slug for r in tables.load_catalogue(None, new).collect()] == ["a"]

@@ -230,3 +230,13 @@ def test_list_questions_go_through_the_gates(spark):
     assert got[1].route == "list" and got[1].answer.startswith("4:\n\n1. ") and got[1].citations[0].id == "catalogue"
     assert got[2].route == "insufficient" and got[2].citations is None
     assert got[3].route == "empty"
+
+
+def test_corpus_predicate_by_entity_and_section(spark):
+    rows = [(1, "public", "confirmed", 5, "Main > Duties"), (2, "public", "confirmed", 6, "duties"), (3, "public", "confirmed", 5, None),
+            (4, "private", "confirmed", 5, "duties"), (5, "public", "unverified", 5, "duties")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, visibility string, confidence string, project_id long, section string")
+    kept = lambda **options: sorted(r.chunk_id for r in find.filter_chunks(chunks, **options).collect())
+    assert kept() == [1, 2, 3] and kept(project_ids=[5]) == [1, 3]
+    assert kept(section_terms=["DUT"]) == [1, 2] and kept(project_ids=[5], section_terms=["dut", "none"]) == [1]
+    assert kept(confidence=None) == [1, 2, 3, 5]
