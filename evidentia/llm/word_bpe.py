@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 #: Characters on which normal forms, lower case and classes are the same everywhere.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-įı-ɏ]+")
 _WORD_END = b"\xff"  # never part of UTF-8
-_MOST = 400_000  # remembered chunks; then the memory starts anew
+_MOST = 100_000  # remembered chunks, some 20 MB; then the memory starts anew
 
 
 class WordBpe:
