@@ -26,12 +26,11 @@ QUERIES, ORACLES = query.queries, query.oracles
 
 
 def table_stream(spark, sf_dir, name):
-    """A given table as a file stream."""
+    """A given table, one file or a folder of files, as a file stream."""
     schema = load(spark, sf_dir, name).schema
     stored_schema = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet").schema
-    stream = spark.readStream.schema(stored_schema).option("pathGlobFilter", f"{name}.parquet").option(
-        "maxBytesPerTrigger", 4 << 30
-    ).parquet(sf_dir)
+    # A stream takes a plain path for a folder; a pattern may stand for either.
+    stream = spark.readStream.schema(stored_schema).option("maxBytesPerTrigger", 4 << 30).parquet(f"{sf_dir}/{name}.parque[t]")
     return stream.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
