@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -92,49 +93,77 @@ def stream_memory(messages: DataFrame, n: int = 8, budget: int = 2500, max_chars
     )
 
 
+#: Answers share this many groups, each with one state and one timer; a call of the processor serves a whole group.
+STALE_GROUPS = 1024
+
+
 class StaleAnswers(StatefulProcessor):
-    """State per answer: when it started. A timer reports it unless it ends in time."""
+    """State per group of answers: which are open and since when. A timer reports those that did not end in time."""
 
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.started = handle.getValueState("started", "started_ms bigint")
+        # Two arrays of 64-bit numbers, so that a group is read and written in one call.
+        self.open = handle.getValueState("open", "generation_ids binary, started_ms binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts_ms", "phase"], ascending=[True, False])
-        for phase, at in events[["phase", "ts_ms"]].itertuples(index=False, name=None):
-            if phase == "started":
-                self._forget()
-                self.started.update((int(at),))
-                self.handle.registerTimer(int(at) + self.timeout_ms)
-            elif self.started.exists() and at - self.started.get()[0] <= self.timeout_ms:
-                self._forget()
-        yield pd.DataFrame({"generation_id": [], "started_ms": []}).astype("int64")
+        held = self._held()
+        events = pd.concat(list(rows))[["generation_id", "phase", "ts_ms"]].sort_values(["ts_ms", "phase"], ascending=[True, False])
+        # What is open comes first, as a start; the last start of an answer counts, and an end in time after it.
+        known = held.rename(columns={"started_ms": "ts_ms"}).assign(phase="started")
+        events = pd.concat([known, events], ignore_index=True)
+        events["place"] = events.index
+        starts = events[events["phase"] == "started"].drop_duplicates("generation_id", keep="last")
+        ends = events[events["phase"] != "started"].merge(starts, on="generation_id", suffixes=("", "_start"))
+        ended = ends[(ends["place"] > ends["place_start"]) & (ends["ts_ms"] - ends["ts_ms_start"] <= self.timeout_ms)]
+        left = starts[~starts["generation_id"].isin(ended["generation_id"])]
+        self._keep(held, left.rename(columns={"ts_ms": "started_ms"}))
+        yield held[:0]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.started.exists():
-            at = self.started.get()[0]
-            self.started.clear()
-            yield pd.DataFrame({"generation_id": [key[0]], "started_ms": [at]})
-
-    def _forget(self) -> None:
-        if self.started.exists():
-            self.handle.deleteTimer(self.started.get()[0] + self.timeout_ms)
-            self.started.clear()
+        held = self._held()
+        stale = held["started_ms"] + self.timeout_ms <= max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        # The timer that has fired is gone, so none is left to delete.
+        self._keep(held[:0], held[~stale])
+        found = held[stale]
+        yield found.assign(generation_id=None) if key[0] is None else found
+
+    def _held(self) -> pd.DataFrame:
+        ids, starts = self.open.get() if self.open.exists() else (b"", b"")
+        return pd.DataFrame({"generation_id": np.frombuffer(ids, "<i8"), "started_ms": np.frombuffer(starts, "<i8")})
+
+    def _keep(self, before: pd.DataFrame, after: pd.DataFrame) -> None:
+        """``after`` is what is open now; the group's timer stands at the first of them."""
+        old, new = (int(t["started_ms"].min()) if len(t) else None for t in (before, after))
+        if old is not None and old != new:
+            self.handle.deleteTimer(old + self.timeout_ms)
+        if new is not None and old != new:
+            self.handle.registerTimer(new + self.timeout_ms)
+        if len(after):
+            self.open.update(tuple(after[c].to_numpy("<i8").tobytes() for c in ("generation_id", "started_ms")))
+        elif self.open.exists():
+            self.open.clear()
 
     def close(self) -> None:
         pass
 
 
 def stream_stale(generations: DataFrame, timeout_seconds: int = 120, delay: str = "0 seconds") -> DataFrame:
-    """Answers (``generation_id, phase, ts``) without an end within the timeout, by event time."""
+    """Answers (``generation_id, phase, ts``) without an end within the timeout, by event time.
+
+    Answers are grouped by a hash of their id, so a micro-batch calls Python once per group and not once per answer.
+    """
     with_state_store(generations.sparkSession)
-    keyed = generations.withWatermark("ts", delay).select(
-        "generation_id", "phase", F.unix_millis("ts").alias("ts_ms"), "ts"
+    answer = F.col("generation_id")
+    # Events without an id are one answer, in a group of their own.
+    group = F.when(answer.isNotNull(), F.pmod(F.xxhash64(answer), F.lit(STALE_GROUPS)))
+    keyed = generations.where(F.col("ts").isNotNull()).withWatermark("ts", delay).select(
+        group.alias("answers"), F.coalesce(answer, F.lit(0)).cast("long").alias("generation_id"), "phase",
+        F.unix_millis("ts").alias("ts_ms"), "ts",
     )
-    return keyed.groupBy("generation_id").transformWithStateInPandas(
+    return keyed.groupBy("answers").transformWithStateInPandas(
         statefulProcessor=StaleAnswers(timeout_seconds * 1000),
         outputStructType="generation_id bigint, started_ms bigint", outputMode="append", timeMode="EventTime",
     )

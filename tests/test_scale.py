@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from driver_queries import streams
+from evidentia.streaming.memory import StaleAnswers
 
 
 def test_streams_read_tables_that_are_folders(spark, tmp_path):
@@ -19,3 +23,63 @@ def test_streams_read_tables_that_are_folders(spark, tmp_path):
         sf = str(tmp_path / layout)
         for name, count in (("stream_rollup", 10), ("stream_memory", 10), ("stream_dedupe", 20)):
             assert streams.QUERIES[name](spark, sf).count() == count, (layout, name)
+
+
+class _Held:
+    """A value state, the timers of one key, and the times they tell."""
+
+    def __init__(self):
+        self.value, self.timers, self.now = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    def getExpiryTimeInMs(self):
+        return self.now
+
+
+def test_one_call_serves_many_stale_answers():
+    chance, held, told, open_answers, wanted = random.Random(5), _Held(), [], {}, []
+    processor = StaleAnswers(100)
+    processor.init(held)
+    for step in range(30):
+        events = [(chance.randrange(40), chance.choice(("started", "finished")), step * 60 + chance.randrange(90)) for _ in range(25)]
+        parts = [pd.DataFrame(events[:9], columns=["generation_id", "phase", "ts_ms"]), pd.DataFrame(events[9:], columns=["generation_id", "phase", "ts_ms"])]
+        told += [part for part in processor.handleInputRows((3,), iter(parts), held)]
+        for answer, phase, at in sorted(events, key=lambda e: (e[2], e[1] == "finished")):
+            if phase == "started":
+                open_answers[answer] = at
+            elif answer in open_answers and at - open_answers[answer] <= 100:
+                del open_answers[answer]
+        held.now = step * 60
+        while due := [at for at in held.timers if at <= held.now]:
+            held.timers.remove(min(due))
+            told += [part for part in processor.handleExpiredTimer((3,), held, held)]
+        for answer, at in sorted(open_answers.items()):
+            if at + 100 <= held.now:
+                wanted.append((answer, at))
+                del open_answers[answer]
+        assert len(held.timers) <= 1
+    found = [row for part in told for row in part[["generation_id", "started_ms"]].itertuples(index=False, name=None)]
+    assert len(wanted) > 50 and sorted(found) == sorted(wanted)
