@@ -7,7 +7,9 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
-from driver_queries import streams
+from driver_queries import questions, streams
+from evidentia.functions.text import normalize_key
+from evidentia.operators import fusion
 from evidentia.streaming.memory import StaleAnswers
 
 
@@ -83,3 +85,30 @@ def test_one_call_serves_many_stale_answers():
         assert len(held.timers) <= 1
     found = [row for part in told for row in part[["generation_id", "started_ms"]].itertuples(index=False, name=None)]
     assert len(wanted) > 50 and sorted(found) == sorted(wanted)
+
+
+def test_title_boost_normalises_a_title_once(spark):
+    """Compared with a plain count over pairs; the plan of a pair holds no normalisation when the key is given."""
+    rows = [("Grand Hôtel Nord", "über nord", ["nord"]), ("Süd", "nord süd", ["nord"]), (None, "x", [""]), ("项目经验", "项目经验好", None), ("项目", "经验", [])]
+    pairs = spark.createDataFrame(rows, "title string, query string, mentioned array<string>")
+    keyed = pairs.withColumn("key", normalize_key(F.coalesce("title", F.lit(""))))
+    plain = fusion.title_boost(F.col("title"), F.col("query"), F.col("mentioned"))
+    given = fusion.title_boost(F.col("title"), F.col("query"), F.col("mentioned"), c_key=F.col("key"))
+    found = keyed.select((plain > 0).alias("plain"), (given > 0).alias("given")).collect()
+    assert [tuple(r) for r in found] == [(True, True), (False, False), (True, True), (True, True), (False, False)]
+
+
+def test_title_boost_pairs_only_keys_before_texts(spark, tmp_path):
+    """Titles follow for distinct pairs: no row that is shuffled for a (title, name) match carries the title."""
+    words = "alpha beta gamma delta epsilon zeta".split()
+    spark.createDataFrame([(n, " ".join(words[n % 3:] + words)) for n in range(12)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    documents = [(n, f"{words[n % 6]} of {words[n % 4]} {n}\nrest") for n in range(30)] + [(29, "eps"), (None, "beta"), (None, None)]
+    spark.createDataFrame(documents, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = [tuple(r) for r in questions.QUERIES["title_boost"](spark, str(tmp_path)).select("item_id", "doc_id").collect()]
+    passages = {n: words[n % 3:] + words for n in range(12)}
+    canonical = [(p[1], p[5]) for p in passages.values()]
+    wanted = [
+        (n, doc) for n, p in passages.items() for doc, text in documents
+        if text is not None and any(alias in "".join(p) and name in text.split("\n")[0].replace(" ", "") for name, alias in canonical)
+    ]
+    assert len(wanted) > 50 and sorted(found, key=str) == sorted(wanted, key=str)
