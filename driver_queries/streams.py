@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from driver_queries import dialogues as dg
@@ -166,12 +170,42 @@ def stream_ingest(spark, sf_dir):
 # --- sources -------------------------------------------------------------------------
 
 
+def _write_one_each(lines, folder):
+    """Every row as a file of its own, ended by a line break; the tasks write them, in a folder per partition.
+
+    Hadoop's local file system starts a process for the mode of each new file, and the writer's commit moves the files
+    one by one; on such a system the tasks open the files themselves. A repeated task writes the same names again.
+    """
+    spark = lines.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        lines.write.option("maxRecordsPerFile", 1).text(folder)
+        return
+    local = path.toUri().getPath()
+
+    def write(batches):
+        task, n = TaskContext.get(), 0
+        part = f"{local}/{task.partitionId():05d}"
+        os.makedirs(part, exist_ok=True)
+        for batch in batches:
+            for value in batch.column(0):
+                name = f"{part}/{n:09d}"
+                with open(f"{name}.{task.taskAttemptId()}", "wb") as file:
+                    file.write((value.as_py() or b"") + b"\n")
+                os.replace(f"{name}.{task.taskAttemptId()}", f"{name}.txt")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], type=pa.int64())], names=["n"])
+
+    os.makedirs(local, exist_ok=True)
+    lines.select(F.col("value").cast("binary")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 @query("SELECT count(*) AS files, sum(strlen(text) + 1) AS bytes, 0 AS errors FROM documents")
 def markdown_scan(spark, sf_dir):
     """Every document written as a file of its own (the writer ends it with a line break), then scanned."""
     root = runs.new_folder(spark, "markdown")
     documents = load(spark, sf_dir, "documents").select(F.col("text").alias("value"))
-    documents.write.option("maxRecordsPerFile", 1).text(f"{root}/docs")
+    _write_one_each(documents, f"{root}/docs")
     scanned = markdown.read_markdown(spark, f"{root}/docs", "*.txt")
     return scanned.agg(
         F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"),

@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from driver_queries import questions, streams
 from evidentia.functions.text import normalize_key
-from evidentia.operators import fusion
+from evidentia.operators import fusion, routing
+from evidentia.session import prepare
 from evidentia.streaming.memory import StaleAnswers
 
 
@@ -112,3 +114,31 @@ def test_title_boost_pairs_only_keys_before_texts(spark, tmp_path):
         if text is not None and any(alias in "".join(p) and name in text.split("\n")[0].replace(" ", "") for name, alias in canonical)
     ]
     assert len(wanted) > 50 and sorted(found, key=str) == sorted(wanted, key=str)
+
+
+def test_every_text_is_written_to_a_file_by_its_task(spark, tmp_path):
+    texts = [("a\nb",), ("",), (None,), ("é",)] * 5
+    streams._write_one_each(spark.createDataFrame(texts, "value string").repartition(3), str(tmp_path / "docs"))
+    written = sorted(path.read_bytes() for path in (tmp_path / "docs").rglob("*.txt"))
+    assert written == sorted(((t or "") + "\n").encode() for (t,) in texts)
+    assert not [path for path in (tmp_path / "docs").rglob("*") if path.is_file() and path.suffix != ".txt"]
+
+
+def test_the_listing_is_shown_once_for_all_questions(spark):
+    plans = spark.range(50).select(F.col("id").alias("question_id"), F.lit(routing.LIST).alias("intent"))
+    catalogue = spark.createDataFrame([(1, 7, "x"), (0, 8, "y")], "sort_order int, entity_id long, title string")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def shown(text):
+        calls.add(1)
+        return f"<{text}>"
+
+    found = {r.content for r in routing.list_answer(plans, catalogue, shown=shown).collect()}
+    assert found == {"<1. y\n2. x>"} and calls.value <= 2
+
+
+def test_python_workers_get_batches_cut_by_bytes(spark):
+    texts = prepare(spark).range(4_000, numPartitions=1).select(F.repeat(F.lit("x"), 20_000).alias("text"))
+    longest = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long")
+    assert longest.agg(F.max("n")).first()[0] < 12 << 20
