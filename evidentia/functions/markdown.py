@@ -201,6 +201,7 @@ def _section_pieces(body: str, cut: bool, max_chars: int, min_chars: int) -> lis
     return [p for p in (piece.strip(WHITE) for piece in pieces) if len(p) >= min_chars]
 
 
+_ROWS = 256
 _PIECES = "array<struct<section:string,content:string>>"
 
 
@@ -217,15 +218,19 @@ def chunks_of(
 
     @F.arrow_udf(_PIECES)
     def pieces(rows: pa.Array) -> pa.Array:
-        out = [
-            None if sections is None else [
-                {"section": s["section"], "content": piece}
-                for s in sections
-                for piece in _section_pieces(s["body"] or "", s["headed"] or split_long_always, max_chars, min_chars)
+        kind, parts = pa.list_(pa.struct([("section", pa.string()), ("content", pa.string())])), []
+        # A slice of rows at a time is held as objects.
+        for start in range(0, len(rows), _ROWS):
+            out = [
+                None if sections is None else [
+                    {"section": s["section"], "content": piece}
+                    for s in sections
+                    for piece in _section_pieces(s["body"] or "", s["headed"] or split_long_always, max_chars, min_chars)
+                ]
+                for sections in rows.slice(start, _ROWS).to_pylist()
             ]
-            for sections in rows.to_pylist()
-        ]
-        return pa.array(out, type=pa.list_(pa.struct([("section", pa.string()), ("content", pa.string())])))
+            parts.append(pa.array(out, type=kind))
+        return pa.concat_arrays(parts) if parts else pa.array([], type=kind)
 
     return pieces(split_sections(c_body, c_section, keep_preamble))
 
