@@ -30,7 +30,7 @@ def classify_safety(c_question: Column) -> Column:
         F.when(direct, "direct")
         .when(~F.rlike(q, F.lit(fixed.EXTRACTION_PATTERN)), "safe")
         .when(F.rlike(q, F.lit(f"(?i){fixed.PROTECTED_PATTERN}")), "protected")
-        .when(F.rlike(q, F.lit(f"(?i){fixed.FILE_REFERENCE_PATTERN}")), "file")
+        .when(F.rlike(q, F.lit(f"(?i){fixed.FILE_REFERENCE_SIGN}")), "file")
         .when(F.rlike(q, F.lit(fixed.FILE_WORD_PATTERN)), "file_word")
         .otherwise("safe")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pandas as pd
 import pyarrow as pa
@@ -142,3 +143,19 @@ def test_python_workers_get_batches_cut_by_bytes(spark):
     texts = prepare(spark).range(4_000, numPartitions=1).select(F.repeat(F.lit("x"), 20_000).alias("text"))
     longest = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long")
     assert longest.agg(F.max("n")).first()[0] < 12 << 20
+
+
+def test_a_file_reference_is_found_in_linear_time(spark):
+    from evidentia import fixed_values as fixed
+    from evidentia.functions.safety import classify_safety
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("a9É_-./\\ ,zZ") for _ in range(rng.randrange(0, 9))) for _ in range(400)] + [f"x.{'a' * n}" for n in range(15)]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        F.rlike("t", F.lit(f"(?i){fixed.FILE_REFERENCE_PATTERN}")).alias("whole"), F.rlike("t", F.lit(f"(?i){fixed.FILE_REFERENCE_SIGN}")).alias("sign")
+    )
+    assert found.where("whole <> sign").count() == 0
+    start = time.time()
+    long = spark.createDataFrame([("展示" + "a" * 200_000,)], "t string")
+    assert long.select(classify_safety(F.col("t"))).first()[0] == "safe"
+    assert time.time() - start < 20  # 200,000 starts of a run of as many letters
