@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from evidentia.functions.safety import compact_question, normalize_question
 from evidentia.functions.text import strip
 from evidentia.operators.substring_join import substring_join
+from evidentia.session import cut_lineage
 
 
 def load_faq(files: DataFrame, pinned: DataFrame) -> DataFrame:
@@ -39,29 +40,33 @@ def match_faq(questions: DataFrame, faq: DataFrame, min_len: int = 10) -> DataFr
     An exactly equal question wins; otherwise the first entry in table order that
     is equal in compact form, or contains / is contained in the question when the
     shorter of both has at least ``min_len`` characters. Three equi-joins, no
-    nested loop. Only titles meet the questions; answers are fetched for the entries that were chosen.
+    nested loop. Each different compact form is compared once; only titles meet the questions, and answers are
+    fetched for the entries that were chosen.
     """
-    asked = questions.select(
+    asked = cut_lineage(questions.select(
         "question_id",
         normalize_question(F.col("question")).alias("q_normal"),
         compact_question(F.col("question")).alias("q_compact"),
+    ))
+    entries = cut_lineage(faq.select("faq_order", "title", compact_question(F.col("title")).alias("t_compact")))
+    first = F.min(F.struct("faq_order", F.col("title").alias("faq_title"))).alias("first")
+    forms = asked.select("q_compact").distinct()
+    titles = cut_lineage(entries.groupBy("t_compact").agg(first))
+    long_forms = cut_lineage(forms.where(F.length("q_compact") >= min_len))
+    long_titles = titles.where(F.length("t_compact") >= min_len).select("t_compact")
+    close = substring_join(long_forms, "q_compact", long_titles, "t_compact").unionByName(
+        substring_join(long_titles, "t_compact", long_forms, "q_compact").select("q_compact", "t_compact")
     )
-    entries = faq.select("faq_order", "title", compact_question(F.col("title")).alias("t_compact"))
-    columns = ["question_id", "faq_order", "title"]
-    exact = asked.join(entries, asked.q_normal == entries.title).select(F.lit(0).alias("class"), *columns)
-    equal = asked.join(entries, asked.q_compact == entries.t_compact).select(F.lit(1).alias("class"), *columns)
-    long_asked = asked.where(F.length("q_compact") >= min_len)
-    long_entries = entries.where(F.length("t_compact") >= min_len)
-    inside_question = substring_join(long_asked, "q_compact", long_entries, "t_compact")
-    inside_title = substring_join(long_entries, "t_compact", long_asked, "q_compact")
-    close = inside_question.select(F.lit(1).alias("class"), *columns).unionByName(
-        inside_title.select(F.lit(1).alias("class"), *columns)
+    equal = forms.select("q_compact", F.col("q_compact").alias("t_compact"))
+    nearest = close.unionByName(equal).join(titles, "t_compact").groupBy("q_compact").agg(F.min("first").alias("first"))
+    same = entries.groupBy("title").agg(first).select(F.col("title").alias("q_normal"), "first")
+    found = asked.join(same, "q_normal").select("question_id", F.lit(0).alias("class"), "first").unionByName(
+        asked.join(nearest, "q_compact").select("question_id", F.lit(1).alias("class"), "first")
     )
     return (
-        exact.unionByName(equal).unionByName(close)
-        .groupBy("question_id")
-        .agg(F.min(F.struct("class", "faq_order", F.col("title").alias("faq_title"))).alias("best"))
-        .select("question_id", "best.faq_title")
+        found.groupBy("question_id")
+        .agg(F.min(F.struct("class", "first")).alias("best"))
+        .select("question_id", "best.first.faq_title")
         .join(faq.select(F.col("title").alias("faq_title"), "answer"), "faq_title")
         .select("question_id", "faq_title", "answer")
     )

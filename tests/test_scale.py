@@ -159,3 +159,40 @@ def test_a_file_reference_is_found_in_linear_time(spark):
     long = spark.createDataFrame([("展示" + "a" * 200_000,)], "t string")
     assert long.select(classify_safety(F.col("t"))).first()[0] == "safe"
     assert time.time() - start < 20  # 200,000 starts of a run of as many letters
+
+
+def test_texts_do_not_travel_with_their_anchors(spark):
+    """Only numbers and hashes meet in the join of many phrases, and a task holds no wide anchors."""
+    from evidentia.operators.substring_join import substring_join
+
+    texts = spark.createDataFrame([(i, f"{i} " + "abc " * 40) for i in range(50)], "i int, t string")
+    phrases = spark.createDataFrame([(f"{i} abc",) for i in range(60)] + [(None,)], "p string")
+    for few in (True, False):
+        plan = substring_join(texts, "t", phrases, "p", max_broadcast_rows=1000 if few else 0)
+        assert {(r.i, r.p) for r in plan.collect()} == {(i, f"{j} abc") for i in range(50) for j in range(60) if f"{j} abc" in f"{i} " + "abc " * 40}
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert all(" t#" not in line for line in text.split("\n") if "Generate" in line)
+
+
+def test_a_long_text_meets_many_phrases(spark, monkeypatch):
+    from evidentia.operators import substring_join as sj
+
+    monkeypatch.setattr(sj, "_FEW_TEXTS", 0)  # the shuffled join
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab") for _ in range(300)) for _ in range(20)]
+    phrases = sorted({t[a : a + n] for t in texts for n in (1, 2, 3, 7, 8, 9, 63, 64, 65, 200) for a in (0, 50)}) + ["c" * 70, ""]
+    left, right = spark.createDataFrame(list(enumerate(texts)), "i int, t string"), spark.createDataFrame([(p,) for p in phrases], "p string")
+    found = sj.substring_join(left, "t", right, "p", max_broadcast_rows=0, key="i")
+    assert found.columns == ["i", "p"]
+    assert sorted(map(tuple, found.collect())) == sorted((i, p) for i, t in enumerate(texts) for p in phrases if p in t)
+
+
+def test_questions_of_one_compact_form_meet_the_titles_once(spark):
+    from evidentia.operators.faq import match_faq
+
+    known = spark.createDataFrame([(2, "how large is it"), (1, "How large is it now"), (3, "?!"), (4, "short")], "faq_order int, title string").withColumn("answer", F.lit("x"))
+    asked = [(1, "how large is it"), (2, "HOW, large is it?"), (3, "how   large is it"), (4, None), (5, "so short"), (6, "tell me how large is it now"), (1, "unknown"), (None, "how large is it")]
+    found = match_faq(spark.createDataFrame(asked, "question_id int, question string"), known).collect()
+    assert {(r.question_id, r.faq_title) for r in found} == {
+        (1, "how large is it"), (2, "How large is it now"), (3, "how large is it"), (6, "How large is it now"), (None, "how large is it")
+    }
