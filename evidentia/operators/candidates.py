@@ -75,6 +75,8 @@ def question_terms(targets: DataFrame, stop: Sequence[str] = fixed.LEXICAL_STOP_
 _HEAVY = 4
 #: Heavy lists wait when they are longer than so many times all light ones; else one join of all lists is cheaper.
 _WORTH_WAITING = 8
+#: Entries of lists, each beside a target, that a task adds up.
+_PAIRS_PER_TASK = 1_000_000
 
 
 def lexical_topk(
@@ -93,7 +95,9 @@ def lexical_topk(
         "target_id", "fetch_k", "terms", *_filter_columns(targets)
     ))
     wanted = asked.withColumn("term", F.explode("terms")).drop("terms")
-    lists = cut_lineage(term_lists(chunks, wanted.select("term").distinct(), terms_per_scan))
+    # Lists carry what the targets filter by and no more: sums without texts need no sorting of all entries.
+    carried = [c for c, by in (("project_id", "project_id"), ("section", "section_terms")) if by in targets.columns and c in chunks.columns]
+    lists = cut_lineage(term_lists(chunks, wanted.select("term").distinct(), terms_per_scan, carried))
     lengths = lists.groupBy("term").agg(F.count("*").alias("length"), F.max("weight").alias("most"))
     order = W.partitionBy("target_id").orderBy("length", "term")
     shorter = F.coalesce(F.sum("length").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -104,6 +108,10 @@ def lexical_topk(
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("length"))), F.lit(0))
     size = wanted.agg(total(F.col("heavy")).alias("heavy"), total(~F.col("heavy")).alias("light"), F.count("*").alias("rows")).first()
     few = size.rows <= 1_000_000
+    if few:
+        # All entries of a chunk meet in one task, which adds them up for a bounded number of pairs with targets.
+        parts = max(lists.sparkSession.sparkContext.defaultParallelism, -(-(size.heavy + size.light) // _PAIRS_PER_TASK))
+        lists = lists.repartition(parts, "chunk_id")
     if size.heavy > _WORTH_WAITING * size.light:
         sums = _with_late(cut_lineage(_sums(_met(lists, wanted.where("not heavy"), few))), lists, wanted.where("heavy"), asked, passes, few)
     else:
@@ -188,8 +196,8 @@ def _passes(sums: DataFrame, asked: DataFrame, passes: tuple[int, ...]) -> DataF
     return rows
 
 
-def term_lists(chunks: DataFrame, terms: DataFrame, terms_per_scan: int = 100_000) -> DataFrame:
-    """The inverted lists of ``terms``: ``term, chunk_id, weight`` (and filter columns) for every chunk that holds the term.
+def term_lists(chunks: DataFrame, terms: DataFrame, terms_per_scan: int = 100_000, carried: Sequence[str] = ()) -> DataFrame:
+    """The inverted lists of ``terms``: ``term, chunk_id, weight`` (and ``carried`` columns) for every chunk that holds the term.
 
     A scan looks for a bounded slice of terms at once, by one pass over each whole field with an automaton of the
     slice. Terms match inside words; ``_`` matches any character: such a term is looked up by its
@@ -197,18 +205,18 @@ def term_lists(chunks: DataFrame, terms: DataFrame, terms_per_scan: int = 100_00
     """
     first = [r.term for r in terms.select("term").limit(terms_per_scan + 1).collect()]
     if len(first) <= terms_per_scan:
-        return _scan(chunks, first)
+        return _scan(chunks, first, carried)
     slices = -(-terms.count() // terms_per_scan)
     number = F.pmod(F.xxhash64("term"), F.lit(slices))
-    parts = [_scan(chunks, [r.term for r in terms.where(number == k).select("term").collect()]) for k in range(slices)]
+    parts = [_scan(chunks, [r.term for r in terms.where(number == k).select("term").collect()], carried) for k in range(slices)]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
     return union
 
 
-def _scan(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    carried = ["chunk_id", *_filter_columns(chunks)]
+def _scan(chunks: DataFrame, terms: list[str], carried: Sequence[str]) -> DataFrame:
+    carried = ["chunk_id", *carried]
     weights = list(fixed.LEXICAL_WEIGHTS.values())
     fields = [F.lower(F.coalesce(F.col(name), F.lit(""))).alias(f"field{n}") for n, name in enumerate(fixed.LEXICAL_WEIGHTS)]
     shared = chunks.sparkSession.sparkContext.broadcast(terms)

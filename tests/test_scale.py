@@ -196,3 +196,18 @@ def test_questions_of_one_compact_form_meet_the_titles_once(spark):
     assert {(r.question_id, r.faq_title) for r in found} == {
         (1, "how large is it"), (2, "How large is it now"), (3, "how large is it"), (6, "How large is it now"), (None, "how large is it")
     }
+
+
+def test_sums_of_lists_are_made_in_bounded_tasks(spark, monkeypatch):
+    from evidentia.operators import candidates as find
+
+    corpus = spark.createDataFrame([(i, "t", "s", f"alpha beta {'gamma' if i % 5 == 0 else ''}") for i in range(100)], "chunk_id long, title string, section string, content string")
+    asked = spark.createDataFrame([(k, "alpha beta gamma", 3) for k in range(10)], "target_id int, query string, fetch_k int")
+    parts = []
+    real = find._sums
+    monkeypatch.setattr(find, "_PAIRS_PER_TASK", 50)
+    monkeypatch.setattr(find, "_HEAVY", 1_000)
+    monkeypatch.setattr(find, "_sums", lambda met: parts.append((met.rdd.getNumPartitions(), max(map(len, met.rdd.glom().collect())))) or real(met))
+    found = find.lexical_topk(asked, corpus, max_k=3).collect()
+    assert sorted((r.target_id, r.chunk_id, r["rank"]) for r in found) == [(k, 5 * n, n + 1) for k in range(10) for n in range(3)]
+    assert parts[0][0] >= 2200 // 50 and parts[0][1] <= 400
