@@ -25,11 +25,12 @@ class HashingEmbedder:
         self.dimensions, self.seed = dimensions, seed
 
     def embed(self, texts: Sequence[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimensions))
-        for row, text in enumerate(texts):
-            for word in re.findall(r"[0-9a-z]+|[\u4e00-\u9fff]", (text or "").lower()):
-                code = zlib.crc32(word.encode(), self.seed)
-                out[row, code % self.dimensions] += 1.0 if code & 0x80000000 else -1.0
+        words = [re.findall(r"[0-9a-z]+|[\u4e00-\u9fff]", (text or "").lower()) for text in texts]
+        codes = np.array([zlib.crc32(word.encode(), self.seed) for own in words for word in own], dtype=np.int64)
+        places = np.repeat(np.arange(len(texts)) * self.dimensions, [len(own) for own in words]) + codes % self.dimensions
+        signs = np.where(codes & 0x80000000, 1.0, -1.0)
+        # Sums of whole numbers: exact in any order.
+        out = np.bincount(places, weights=signs, minlength=len(texts) * self.dimensions).astype(float).reshape(len(texts), self.dimensions)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norms, out=out, where=norms > 0)
 

@@ -81,11 +81,15 @@ def infer_slug(parsed: DataFrame, root: str = "knowledge") -> DataFrame:
 
 
 def link_entities(documents: DataFrame, entities: DataFrame) -> DataFrame:
-    """Adds ``project_id``; ``unmatched_slug`` marks a slug no entity has."""
-    known = entities.select(F.col("slug").alias("project_slug"), F.col("entity_id").alias("project_id"))
-    return documents.join(broadcast_if_small(known), "project_slug", "left").withColumn(
-        "unmatched_slug", (F.coalesce("project_slug", F.lit("")) != "") & F.col("project_id").isNull()
-    )
+    """Adds ``project_id``; ``unmatched_slug`` marks a slug no entity has.
+
+    Documents without a slug, often most of them, match nothing; beside a large table of entities they are
+    spread over the tasks instead of meeting in the one of the null key.
+    """
+    known = entities.select(F.col("slug").alias("project_slug"), F.col("entity_id").alias("project_id"), F.lit(0).cast("long").alias("_spread"))
+    spread = F.when(F.col("project_slug").isNull(), F.xxhash64("source_id")).otherwise(0)
+    linked = documents.withColumn("_spread", spread).join(broadcast_if_small(known), ["project_slug", "_spread"], "left").drop("_spread")
+    return linked.withColumn("unmatched_slug", (F.coalesce("project_slug", F.lit("")) != "") & F.col("project_id").isNull())
 
 
 def classify_changes(incoming: DataFrame, existing: DataFrame, force: bool = False) -> DataFrame:

@@ -22,6 +22,8 @@ CHUNKS = (
     " embedding array<float>"
 )
 
+_CLASSIFIED = ("source_id", "read_error", "filtered", "content_hash", "project_id")
+
 
 def describe(files: DataFrame, entities: DataFrame) -> DataFrame:
     """Every scanned file with its metadata and whether it is filtered."""
@@ -34,8 +36,7 @@ def describe(files: DataFrame, entities: DataFrame) -> DataFrame:
 
 def classify(files: DataFrame, documents: DataFrame, entities: DataFrame, force: bool = False) -> DataFrame:
     """What changed in every scanned file; no texts."""
-    described = describe(files, entities).select("source_id", "read_error", "filtered", "content_hash", "project_id")
-    return op.classify_changes(described, documents, force)
+    return op.classify_changes(describe(files, entities).select(*_CLASSIFIED), documents, force)
 
 
 def plan_changes(
@@ -48,11 +49,16 @@ def plan_changes(
     ``chunks_of`` gives the stored chunks of some ``source_id``; it is asked only for documents whose link
     moved. With ``partial`` the files are not the whole corpus (a stream of changes), so nothing is an orphan.
     """
-    seen = cut_lineage(classify(files, documents, entities, force))
+    # One narrow row per file; it becomes the document's row if the file is new or changed.
+    facts = list(dict.fromkeys([*_CLASSIFIED, "project_slug", *_names(DOCUMENTS)]))
+    described = cut_lineage(describe(files, entities).select(*facts))
+    seen = cut_lineage(op.classify_changes(described.select(*_CLASSIFIED), documents, force))
     ok = seen.where(~F.col("read_error") & ~F.col("filtered"))
     wanted = broadcast_if_small(ok.where(F.col("change").isin("new", "changed")).select("source_id"))
-    due = describe(files.join(wanted, "source_id", "left_semi"), entities)
-    pieces = op.chunk_documents(due)
+    due = described.join(wanted, "source_id", "left_semi")
+    # Texts meet only the entities that they name.
+    named = cut_lineage(entities.join(due.select(F.col("project_slug").alias("slug")).distinct(), "slug", "left_semi"))
+    pieces = op.chunk_documents(describe(files.join(wanted, "source_id", "left_semi"), named))
     # Embedding is the dear step; its result feeds both tables and the report.
     fresh = cut_lineage(
         embed(pieces, "embed_text", provider).select(*_names(CHUNKS))

@@ -1,7 +1,13 @@
+import math
+import re
+import zlib
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from evidentia.functions import markdown as md
 from evidentia.operators import html, ingest as op, validation
+from evidentia.operators.embedding import HashingEmbedder
 from evidentia.plans import ingest as job
 from evidentia.sources.markdown import read_markdown
 from evidentia.sources import tables
@@ -160,3 +166,46 @@ def test_catalogue_is_cleared_or_merged(spark):
     assert merged == {"a": ("new a", []), "b": ("old b", [])}
     assert [r.slug for r in tables.load_catalogue(old, new, clear=True).collect()] == ["a"]
     assert [r.slug for r in tables.load_catalogue(None, new).collect()] == ["a"]
+
+
+def test_documents_without_a_slug_do_not_meet_in_one_task(spark):
+    """A table of entities that is not broadcast: null slugs match nothing, so they need no common task."""
+    documents = spark.range(400).select(
+        F.concat(F.lit("k/"), F.col("id").cast("string")).alias("source_id"),
+        F.when(F.col("id") < 6, F.element_at(F.array(*map(F.lit, ("s1", "s1", "s2", "none", "", "s25000"))), (F.col("id") + 1).cast("int"))).alias("project_slug"),
+    )
+    entities = spark.range(25_001).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("slug"), F.col("id").alias("entity_id"))
+    entities = entities.unionByName(spark.createDataFrame([("s2", -2), (None, -1), ("", -3)], "slug string, entity_id long"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        linked = op.link_entities(documents, entities)
+        assert linked.columns == ["project_slug", "source_id", "project_id", "unmatched_slug"]
+        rows = linked.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    found = sorted((r.source_id, r.project_slug, r.project_id, r.unmatched_slug) for r in rows if r.project_slug is not None)
+    assert found == [
+        ("k/0", "s1", 1, False), ("k/1", "s1", 1, False), ("k/2", "s2", -2, False), ("k/2", "s2", 2, False),
+        ("k/3", "none", None, True), ("k/4", "", -3, False), ("k/5", "s25000", 25000, False),
+    ]
+    bare = [r for r in rows if r.project_slug is None]
+    assert len(bare) == 394 and all(r.project_id is None and not r.unmatched_slug for r in bare)
+    assert len({r.task for r in bare}) > 1
+
+
+def test_embedded_words_add_up(spark):
+    texts = ["the cat the CAT 中文", "", None, "...", "a-b_c 12 中"]
+    for dimensions, seed in ((64, 0), (5, 3)):
+        found = HashingEmbedder(dimensions, seed).embed(texts)
+        for text, row in zip(texts, found):
+            plain = [0.0] * dimensions
+            for word in re.findall(r"[0-9a-z]+|[一-鿿]", (text or "").lower()):
+                code = zlib.crc32(word.encode(), seed)
+                plain[code % dimensions] += 1 if code & 0x80000000 else -1
+            length = math.sqrt(sum(x * x for x in plain))
+            assert np.allclose(row, [x / (length or 1) for x in plain], atol=1e-12)
+    assert HashingEmbedder().embed([]).shape == (0, 64)
