@@ -86,9 +86,10 @@ def link_entities(documents: DataFrame, entities: DataFrame) -> DataFrame:
     Documents without a slug, often most of them, match nothing; beside a large table of entities they are
     spread over the tasks instead of meeting in the one of the null key.
     """
-    known = entities.select(F.col("slug").alias("project_slug"), F.col("entity_id").alias("project_id"), F.lit(0).cast("long").alias("_spread"))
-    spread = F.when(F.col("project_slug").isNull(), F.xxhash64("source_id")).otherwise(0)
-    linked = documents.withColumn("_spread", spread).join(broadcast_if_small(known), ["project_slug", "_spread"], "left").drop("_spread")
+    known = entities.select(F.col("slug").alias("project_slug"), F.col("entity_id").alias("project_id"), F.xxhash64("slug").alias("_spread"))
+    # Not a constant, which the optimizer would take out of the join's keys.
+    spread = documents.withColumn("_spread", F.xxhash64(F.coalesce("project_slug", "source_id")))
+    linked = spread.join(broadcast_if_small(known), ["project_slug", "_spread"], "left").drop("_spread")
     return linked.withColumn("unmatched_slug", (F.coalesce("project_slug", F.lit("")) != "") & F.col("project_id").isNull())
 
 
