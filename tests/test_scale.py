@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import time
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from driver_queries import questions, streams
 from evidentia.functions.text import normalize_key
-from evidentia.operators import fusion, routing
+from evidentia.operators import fusion, listing, routing
 from evidentia.session import prepare
 from evidentia.streaming.memory import StaleAnswers
 
@@ -139,6 +140,32 @@ def test_the_listing_is_shown_once_for_all_questions(spark):
     assert found == {"<1. y\n2. x>"} and calls.value <= 2
 
 
+def test_no_task_holds_the_text_of_a_long_listing(spark, tmp_path):
+    """list_answer sorts, numbers and digests parts in pieces; the same text as from one row, nulls and equal rows included."""
+    parts = [(n % 7919 if n % 97 else None, f"name {n % 13}" if n % 11 else None, "SMALL" if n % 6 == 0 else "LARGE", n * 7 % 50 if n % 89 else None) for n in range(25_000)]
+    schema = "p_partkey long, p_name string, p_type string, p_size int"
+    spark.createDataFrame(parts, schema).repartition(5).write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1, "an odd passage of plain words"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    turns = [(1, 0, "user", "what motion"), (2, 0, "user", "plain"), (3, 0, "assistant", "what motion"), (1, 0, "user", "which nation")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+
+    first = lambda c: (c is not None, c if c is not None else 0)
+    public = sorted(((size, key, name) for key, name, kind, size in parts if kind != "SMALL"), key=lambda r: (first(r[0]), first(r[1]), (r[2] is not None, r[2] or "")))
+    text = "\n".join(f"{k}. {name}" if name is not None else str(k) for k, (_, _, name) in enumerate(public, 1))
+    found = questions.QUERIES["list_answer"](spark, str(tmp_path))
+    assert [tuple(r) for r in found.collect()] == [(1000, hashlib.md5(text.encode()).hexdigest(), 1.0)] * 2
+    assert "array_join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+    catalogue = spark.createDataFrame(public, "sort_order int, entity_id long, title string").repartition(4)
+    pieces, n = listing.numbered_lines(catalogue, ["sort_order", "entity_id", "title"], "title")
+    lengths = [r.lines.count(b"\n") + 1 for r in pieces.collect()]
+    assert n == sum(lengths) == len(public) and len(lengths) > 1 and max(lengths) <= 10_000
+    plans = spark.createDataFrame([(5, routing.LIST), (6, routing.GENERAL)], "question_id long, intent string")
+    assert [(r.question_id, r.content, r.n) for r in routing.list_answer(plans, catalogue).collect()] == [(5, text, n)]
+    empty = routing.list_answer(plans, catalogue.where("false"), "none", digest="md5").collect()
+    assert [(r.content, r.n) for r in empty] == [(hashlib.md5(b"none").hexdigest(), 0)]
+
+
 def test_python_workers_get_batches_cut_by_bytes(spark):
     texts = prepare(spark).range(4_000, numPartitions=1).select(F.repeat(F.lit("x"), 20_000).alias("text"))
     longest = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long")
